@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int) -> Ite
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         part = (np.cumsum(sizes) - sizes) // most_bytes
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, lm, mixing
 
 QUERIES = {
+    "op1_deleted_interpolation": lm.op1,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op9_source_mixing": mixing.op9,
 }
