@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, mixing
+from . import decontaminate, lm, minhash, mixing
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op9_source_mixing": mixing.op9,
+    "op10_minhash_near_dedup": minhash.op10,
 }
 
 ORACLES = {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
+    "op10_minhash_near_dedup": minhash.ORACLE,
 }
