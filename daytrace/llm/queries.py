@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, minhash, mixing, quality, toxicity
+from . import decontaminate, langid, lm, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
     "op2_subword_quality": quality.op2,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op5_toxicity": toxicity.op5,
+    "op7_byte_cnn_language": langid.op7,
     "op9_source_mixing": mixing.op9,
     "op10_minhash_near_dedup": minhash.op10,
 }
