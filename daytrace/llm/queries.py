@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lm, minhash, mixing, quality, toxicity
+from . import decontaminate, flac, langid, lm, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3,
     "op5_toxicity": toxicity.op5,
     "op7_byte_cnn_language": langid.op7,
+    "op8_flac_media": flac.op8,
     "op9_source_mixing": mixing.op9,
     "op10_minhash_near_dedup": minhash.op10,
 }
