@@ -30,6 +30,8 @@ from .common import as_bytes, slices, table
 BLOCK, RATE, UNIT = 1024, 8000, 64
 #: Frames that are worked on at once.
 LANES = 4096
+#: Frames that are encoded at once: their arrays stay in the cache.
+CACHED = 384
 FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 PRECISION, SHIFT = 12, 9
 
@@ -298,8 +300,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     first = (np.cumsum(lens) - lens)[owner] + number * BLOCK
     n = np.minimum(BLOCK, lens[owner] - number * BLOCK)
     body, sizes = [], []
-    for at in range(0, len(owner), LANES):
-        some = slice(at, at + LANES)
+    for at in range(0, len(owner), CACHED):
+        some = slice(at, at + CACHED)
         x = flat[first[some, None] + np.arange(BLOCK)].astype(np.int16) - 128
         data, size = encode_frames(x, n[some], number[some])
         body.append(data.tobytes())
