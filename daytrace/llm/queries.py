@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, langid, lm, minhash, mixing, quality, toxicity
+from . import decontaminate, flac, htmltext, langid, lm, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
     "op2_subword_quality": quality.op2,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op5_toxicity": toxicity.op5,
+    "op6_template_extraction": htmltext.op6,
     "op7_byte_cnn_language": langid.op7,
     "op8_flac_media": flac.op8,
     "op9_source_mixing": mixing.op9,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_template_extraction": htmltext.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
     "op10_minhash_near_dedup": minhash.ORACLE,
 }
