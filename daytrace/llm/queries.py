@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, htmltext, langid, lm, minhash, mixing, quality, toxicity
+from . import decontaminate, flac, htmltext, langid, linededup, lm, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
     "op2_subword_quality": quality.op2,
     "op3_benchmark_decontamination": decontaminate.op3,
+    "op4_line_dedup": linededup.op4,
     "op5_toxicity": toxicity.op5,
     "op6_template_extraction": htmltext.op6,
     "op7_byte_cnn_language": langid.op7,
