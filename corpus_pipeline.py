@@ -7,11 +7,23 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from daytrace.llm import decontaminate, minhash, mixing
+from daytrace.llm import decontaminate, linededup, minhash, mixing, toxicity
 from daytrace.llm.common import checkpointed, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores 0.7 or more go; it learns from the labels of the documents at hand."""
+    toxic = toxicity.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["__gone"]), "left_anti")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks that an earlier document has are deleted; a document that consists of such blocks alone goes."""
+    return linededup.deduplicate(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
     return minhash.deduplicate(docs)
@@ -27,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix)]
 
 #: No SQL trains the first stage's network; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -36,6 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; what a stage returns is written to the shared folder before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
