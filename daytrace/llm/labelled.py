@@ -7,23 +7,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """(text, label) of the rows that may be learnt from. A doc_id with several labels gives several rows; null labels give none."""
-    marks = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
-    return docs.filter(learn).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-
-
-def sample(rows: DataFrame, most: int) -> tuple[list[bytes], list]:
-    """Texts and labels of about `most` rows of each label at most: a row is in by the hash of its doc_id."""
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row for each label
+def _picked(marks: DataFrame, most: int) -> DataFrame | None:
+    """About `most` rows of each label of (doc_id, label), by the hash of doc_id; None if there are no rows."""
+    counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}  # one row for each label
     if not counts:
-        return [], []
+        return None
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, most / n))])
-    part = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
-    got = sorted((r["doc_id"], r["label"], r["text"]) for r in part.collect())
+    return marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
+
+
+def _rows(part: DataFrame) -> tuple[list[bytes], list]:
+    got = sorted((r["doc_id"], r["label"], r["text"] or "") for r in part.select("doc_id", "label", "text").collect())
     return [t.encode() for _, _, t in got], [y for _, y, _ in got]
 
 
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> tuple[list[bytes], list]:
+    """Texts and labels of about `most` documents of each label at most.
+
+    `learn` is a condition on doc_id. The labels are drawn first, so that the draw (its size is
+    bounded by `most`) is broadcast to the scan of the texts. Null labels are none; a doc_id
+    with several labels gives a row for each.
+    """
+    marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).filter(learn)
+    picked = _picked(marks, most)
+    if picked is None:
+        return [], []
+    return _rows(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+
+
+def sample_own(rows: DataFrame, most: int) -> tuple[list[bytes], list]:
+    """The same of (doc_id, text, label)."""
+    picked = _picked(rows, most)
+    return ([], []) if picked is None else _rows(picked)
+
+
 def ngrams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of words: (index of the word, bucket) of each byte n-gram of <word>, and the bucket of each whole word."""
     if not words:

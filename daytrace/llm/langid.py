@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, fold, slices, table
-from .labelled import sample
+from .labelled import sample_own
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 8, 256
 STEP = WINDOW - max(WIDTHS) + 1
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, most: int = 300) -> DataFrame:
     """Per document row: doc_id, held_out, lang_pred, score. Held out: crc32(doc_id as text) mod 5 is 0."""
     held = fold("doc_id", 5) == 0
     learn = docs.filter(~held & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").alias("label"))
-    net = train(*sample(learn, most))
+    net = train(*sample_own(learn, most))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), letters.alias("letters"), "text")
     if net is None:

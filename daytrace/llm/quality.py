@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Ids, as_bytes, fold, slices, table
-from .labelled import labelled, ngrams, sample
+from .labelled import ngrams, sample
 
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (3, 4)
 #: The row after the buckets is the repeated word.
@@ -110,7 +110,7 @@ def _score(model: Model):
 def classify(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
     """Per document row: doc_id, held_out, score, predicted. Held out: crc32(doc_id as text) mod 5 is 0."""
     held = fold("doc_id", 5) == 0
-    model = train(*sample(labelled(docs, labels, "quality", ~held), most))
+    model = train(*sample(docs, labels, "quality", ~held, most))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     scored = d.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
