@@ -21,7 +21,7 @@ def format_instant(ts: Column) -> Column:
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
     left = F.pmod(ms, F.lit(86_400_000))
     part = lambda size, n: F.pmod(F.floor(left / size), F.lit(n)).cast("int")
-    return F.format_string("%sT%02d:%02d:%02d.%03dZ", day.cast("string"), part(3_600_000, 24), part(60_000, 60), part(1000, 60), part(1, 1000))
+    return F.when(ts.isNotNull(), F.format_string("%sT%02d:%02d:%02d.%03dZ", day.cast("string"), part(3_600_000, 24), part(60_000, 60), part(1000, 60), part(1, 1000)))
 
 
 def ms(ts: Column) -> Column:

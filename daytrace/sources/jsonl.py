@@ -28,7 +28,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return spark.createDataFrame([], "date date, seq int, line string")
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), DAY_FILE, 1).alias("day"), "value")
-    files = files.select(F.try_to_date("day", F.lit("yyyy-MM-dd")).alias("date"), "value").filter("date IS NOT NULL")
+    files = files.select(F.try_to_date("day", "yyyy-MM-dd").alias("date"), "value").filter("date IS NOT NULL")
     return files.select("date", F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line")).filter(F.trim("line") != "")
 
 
@@ -70,7 +70,7 @@ def recorded_days(spark: SparkSession, root: str, folder: str = "events", suffix
     if not _exists(spark, path):
         return spark.createDataFrame([], "date date")
     names = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.%s$" % suffix, 1).alias("day"))
-    return names.select(F.try_to_date("day", F.lit("yyyy-MM-dd")).alias("date")).filter("date IS NOT NULL").distinct().orderBy("date")
+    return names.select(F.try_to_date("day", "yyyy-MM-dd").alias("date")).filter("date IS NOT NULL").distinct().orderBy("date")
 
 
 def append(records: DataFrame, root: str) -> None:

@@ -29,7 +29,7 @@ def file_text(title: Column, date: Column, saved_at: Column, body: Column) -> Co
 def save(docs: DataFrame, root: str) -> None:
     """Writes (id, title, date, saved_at, body): a folder for each id, with one Markdown file."""
     text = file_text(F.col("title"), F.col("date"), F.col("saved_at"), F.col("body"))
-    docs.filter(valid_id(F.col("id"))).select("id", text.alias("value")).write.partitionBy("id").mode("append").option("lineSep", "").text(f"{root}/library")
+    docs.filter(valid_id(F.col("id"))).select("id", text.alias("value")).write.partitionBy("id").mode("append").text(f"{root}/library")
 
 
 def entries(spark: SparkSession, root: str) -> DataFrame:
@@ -37,7 +37,7 @@ def entries(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.text(f"{root}/library", wholetext=True, recursiveFileLookup=True).select("value", "_metadata.file_path", F.col("_metadata.file_size").alias("bytes"))
     id_ = F.coalesce(F.nullif(F.regexp_extract("file_path", r"/id=([^/]+)/", 1), F.lit("")), F.regexp_extract("file_path", r"([^/]+)\.md$", 1))
     head = F.regexp_extract("value", FRONT, 1)
-    e = files.select(id_.alias("id"), _field(head, "title").alias("title"), _field(head, "date").alias("date"), _field(head, "savedAt").alias("saved_at"), "bytes", F.regexp_replace("value", FRONT + r"\n?", "").alias("body"))
+    e = files.select(id_.alias("id"), _field(head, "title").alias("title"), _field(head, "date").alias("date"), _field(head, "savedAt").alias("saved_at"), "bytes", F.regexp_replace(F.regexp_replace("value", FRONT + r"\n?", ""), r"\n\z", "").alias("body"))
     return e.filter(F.col("id") != "").orderBy(F.desc("saved_at"), F.desc("id"))
 
 
