@@ -17,8 +17,9 @@ def _picked(marks: DataFrame, most: int) -> DataFrame | None:
 
 
 def _rows(part: DataFrame) -> tuple[list[bytes], list]:
-    got = sorted((r["doc_id"], r["label"], r["text"] or "") for r in part.select("doc_id", "label", "text").collect())
-    return [t.encode() for _, _, t in got], [y for _, y, _ in got]
+    """In an order that doesn't depend on the run; null ids last."""
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["label"], r["text"] or "") for r in part.select("doc_id", "label", "text").collect())
+    return [t.encode() for *_, t in got], [y for _, _, y, _ in got]
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> tuple[list[bytes], list]:
