@@ -1,7 +1,7 @@
 """Equivalence-class template deduction: tokens of same-host pages with equal occurrence vectors make the template, the rest is slots.
 
-1. Tokens. A page is a run of tags and text nodes; a token's role is its path of open block
-   elements (with their classes) and, for a text node, its words as well. Raw text (scripts,
+1. Tokens. A page is a run of tags and texts between block tags; a token's role is its path of open block
+   elements (with their classes) and, for a text, its words as well. Raw text (scripts,
    styles) and comments are one token. Inline elements don't change the path.
 2. Occurrence vectors. For each host and role, every page adds hash(page, count) to a sum:
    roles with equal sums and page numbers have the same vector over the host's pages. Tasks add
@@ -11,8 +11,8 @@
    construction: a class whose paths extend another's lies in a slot of that one. Hosts with
    fewer than 8 pages use the classes of all pages' tags instead.
 4. Extraction. The valid classes' roles are the template. Text between template tokens is in
-   slots; the main text is the text of those slots that lie inside the template's article (or main)
-   element, or, where the template has none, outside all page furniture. Text nodes that are
+   slots; the main text is the text of those slots that lie inside the page's article (or main)
+   element, or, where it has none, outside all page furniture. Texts that are
    part of the template, furniture by element or class, and reader comments are left out.
 
 Text is decoded, white space inside a block becomes one space, blocks (block elements and
@@ -59,7 +59,22 @@ def _names(attrs: str) -> tuple[str, ...]:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], str, tuple[tuple[str, tuple[str, ...]], ...]]]:
-    """(kind, name, class words, text, open elements) of each token; kind: open, close, break or text."""
+    """(kind, name, class words, text, open elements) of each token; kind: open, close, break or text. Text goes on over inline elements and comments."""
+    text, at = [], ()
+    for token in _tokens(page):
+        if token[0] == "text":
+            text.append(token[3])
+            at = token[4]
+            continue
+        if text:
+            yield "text", "", (), "".join(text), at
+            text.clear()
+        yield token
+    if text:
+        yield "text", "", (), "".join(text), at
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], str, tuple[tuple[str, tuple[str, ...]], ...]]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     at, n = 0, len(page)
     path = ()
@@ -128,7 +143,7 @@ def host_of(url: str | None) -> str:
     return (url or "").split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
 
 
-COUNTS = "host string, role long, body boolean, pages long, sum long"
+COUNTS = "host string, role long, pages long, sum long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,24 +155,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flushed() -> pa.RecordBatch:
         keys, values = list(sums), list(sums.values())
         total = np.array([v[1] for v in values], np.uint64).view(np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[2] for v in values], pa.bool_()), pa.array([v[0] for v in values], pa.int64()), pa.array(total)], names=["host", "role", "body", "pages", "sum"])
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array(total)], names=["host", "role", "pages", "sum"])
         sums.clear()
         return out
 
     for batch in slices(batches, "html", 8 << 20):
         for page, url, text in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
             counts, host = {}, host_of(url)
-            for kind, name, _, body, path in tokens(text or ""):
-                if kind == "text" and not body.strip():
+            for kind, name, _, words, path in tokens(text or ""):
+                if kind == "text" and not words.strip():
                     continue
-                key = (roles(kind, name, body, path), kind != "text", kind == "open" and name in BODIES)
+                key = (roles(kind, name, words, path), kind != "text")
                 counts[key] = counts.get(key, 0) + 1
-            for (role, tag, body), n in [((0, True, False), 1), *counts.items()]:
+            for (role, tag), n in [((0, True), 1), *counts.items()]:
                 mark = xxhash.xxh64_intdigest(f"{page}|{url}|{n}") if role else 0
                 for of in ((host, "") if tag and host else (host,)):
                     s = sums.get((of, role))
                     if s is None:
-                        sums[of, role] = [1, mark, body]
+                        sums[of, role] = [1, mark]
                     else:
                         s[0] += 1
                         s[1] = (s[1] + mark) & 0xFFFFFFFFFFFFFFFF
@@ -167,18 +182,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, roles, body): each deducing host's template, and whether it holds an article or main element. The host '' stands for all."""
+    """(host, roles): each deducing host's template. The host '' stands for all."""
     counted = pages.select("page_id", "url", "html").mapInArrow(_count, COUNTS)
     # the wrapping sum of 64-bit hashes: halves are added apart, so that no sum overflows
     halves = [F.sum(F.col("sum").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned("sum", 32)).alias("high")]
-    by_role = checkpointed(counted.groupBy("host", "role").agg(F.sum("pages").alias("pages"), F.max("body").alias("body"), *halves))
+    by_role = checkpointed(counted.groupBy("host", "role").agg(F.sum("pages").alias("pages"), *halves))
     half = F.lit(0xFFFFFFFF)
     carried = (F.col("high") + F.shiftrightunsigned("low", 32)).bitwiseAND(half)
     vector = F.struct("pages", F.col("low").bitwiseAND(half).alias("low"), carried.alias("high"))
     total = by_role.filter("role = 0").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
-    frequent = by_role.filter("role <> 0").join(total, "host").filter(F.col("pages") >= F.col("all") * SUPPORT).select("host", "role", "body", vector.alias("vector"))
-    classes = frequent.groupBy("host", "vector").agg(F.collect_list("role").alias("roles"), F.max("body").alias("body")).filter(F.size("roles") >= 2)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("roles")).alias("roles"), F.max("body").alias("body"))
+    frequent = by_role.filter("role <> 0").join(total, "host").filter(F.col("pages") >= F.col("all") * SUPPORT).select("host", "role", vector.alias("vector"))
+    classes = frequent.groupBy("host", "vector").agg(F.collect_list("role").alias("roles")).filter(F.size("roles") >= 2)
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("roles")).alias("roles"))
 
 
 def _furniture(path: tuple) -> bool:
@@ -191,11 +206,11 @@ def _furniture(path: tuple) -> bool:
     return False
 
 
-def main_text(page: str, template: frozenset[int], body: bool, roles: Roles) -> tuple[str, int]:
+def main_text(page: str, template: frozenset[int], roles: Roles) -> tuple[str, int]:
     """The main text, and the number of the template's slots that it came from."""
     blocks: list[tuple[bool, int, str]] = []  # inside an article or main, slot, text
     buffer: list[str] = []
-    slot, state = 0, (False, False)
+    slot, state, body = 0, (False, False), False
     known: dict[tuple, tuple[bool, bool]] = {}
 
     def closed() -> None:
@@ -207,6 +222,7 @@ def main_text(page: str, template: frozenset[int], body: bool, roles: Roles) ->
     for kind, name, _, text, path in tokens(page):
         if kind != "text":
             closed()
+            body = body or (kind == "open" and name in BODIES)
             slot += roles(kind, name, "", path) in template
             continue
         if path not in known:
@@ -215,8 +231,7 @@ def main_text(page: str, template: frozenset[int], body: bool, roles: Roles) ->
         if not state[0] and not (text.strip() and roles("text", "", text, path) in template):
             buffer.append(text)
     closed()
-    inside = [b for b in blocks if b[0]]
-    kept = inside if body or inside else blocks
+    kept = [b for b in blocks if b[0] or not body]
     return "\n".join(b[2] for b in kept), len({b[1] for b in kept})
 
 
@@ -228,13 +243,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html", 8 << 20):
         texts, counts = [], []
         template = batch["roles"]
-        for i, (url, page, body) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), batch["body"].to_pylist(), strict=True)):
+        for i, (url, page) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)):
             host = host_of(url)
             if host not in cache:
                 if len(cache) > 10_000:
                     cache.clear()
                 cache[host] = frozenset(template[i].as_py() or ())
-            text, n = main_text(page or "", cache[host], bool(body), roles)
+            text, n = main_text(page or "", cache[host], roles)
             texts.append(text)
             counts.append(n)
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "slots"])
@@ -244,12 +259,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page row: page_id, url, text, slots."""
     deduced = checkpointed(templates(pages))
     few = deduced.count() <= MOST_BROADCAST
-    everyone = deduced.filter("host = ''").select(F.col("roles").alias("e_roles"), F.col("body").alias("e_body"))  # one row at most
+    everyone = deduced.filter("host = ''").select(F.col("roles").alias("e_roles"))  # one row at most
     own = deduced.filter("host <> ''").withColumnRenamed("host", "of")
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^.*?://", "")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"))
     p = p.join(F.broadcast(own) if few else own, F.col("host") == F.col("of"), "left").join(F.broadcast(everyone), F.lit(True), "left")
-    p = p.select("page_id", "url", "html", F.coalesce("roles", "e_roles").alias("roles"), F.coalesce("body", "e_body").alias("body"))
+    p = p.select("page_id", "url", "html", F.coalesce("roles", "e_roles").alias("roles"))
     return p.mapInArrow(_extract, TEXTS)
 
 
