@@ -292,3 +292,60 @@ ORACLES: dict[str, str] = {
     "paragraphs": r"""WITH w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(concat_ws(chr(10) || chr(10), role, regexp_replace(text, '\. ', '.' || chr(10) || ' ' || chr(10), 'g')), '\n\s*\n'), lambda p: trim(p, ' ' || chr(10) || chr(9))), lambda p: p <> '') AS ps FROM conversations)
       SELECT conv_id, turn, CAST(n - 1 AS INTEGER) AS pos, ps[n] AS paragraph FROM (SELECT *, unnest(generate_series(1, len(ps))) AS n FROM w)""",
 }
+
+_SHIFTED = _ROWS.replace("epoch_us(e.ts) // 1000 AS ms", "epoch_us(e.ts) // 1000 - CASE WHEN e.event_id % 50 = 0 AND day(CAST(e.ts AS DATE)) % 2 = 0 THEN 1200000 ELSE 0 END AS ms")
+_OPENERS = ("here is a summary:", "here''s a summary:", "here is the summary:", "here''s the summary:", "summary:")
+
+
+def _without_openers(text: str) -> str:
+    for o in _OPENERS:
+        n = len(o.replace("''", "'"))
+        text = f"(SELECT CASE WHEN lower(substr(t, 1, {n})) = '{o}' THEN ltrim(substr(t, {n + 1}), ' ' || chr(9) || chr(10) || chr(13)) ELSE t END FROM (SELECT {text} AS t))"
+    return text
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
+_MARKDOWN = r"""
+ml AS (SELECT doc_id, seq, CASE WHEN seq % 7 = 0 THEN '## ' || line WHEN seq % 7 IN (1, 2) THEN '- ' || line WHEN seq % 7 = 3 THEN '---' WHEN seq % 7 = 4 THEN '' ELSE line END AS raw FROM ln),
+mt AS (SELECT doc_id, seq, trim(raw, ' ' || chr(9) || chr(13)) AS t FROM ml),
+mk AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^-{3,}$') THEN 'rule' WHEN regexp_matches(t, '^(#{1,6})\s+(.*)$') THEN 'heading' WHEN regexp_matches(t, '^[-*]\s+(.*)$') THEN 'list' ELSE 'paragraph' END AS kind FROM mt),
+mx AS (SELECT *, CASE kind WHEN 'heading' THEN trim(regexp_extract(t, '^(#{1,6})\s+(.*)$', 2)) WHEN 'list' THEN trim(regexp_extract(t, '^[-*]\s+(.*)$', 1)) WHEN 'paragraph' THEN t ELSE '' END AS body, CASE kind WHEN 'heading' THEN least(length(regexp_extract(t, '^(#{1,6})', 1)), 3) ELSE 0 END AS level,
+  CASE WHEN kind IN ('heading', 'rule', 'blank') OR lag(kind) OVER (PARTITION BY doc_id ORDER BY seq) IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM mk),
+mb AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS block FROM mx),
+bl AS (SELECT doc_id, block, kind, level, sum(length(body)) + count(*) - 1 AS chars FROM mb WHERE kind <> 'blank' GROUP BY ALL)"""
+
+ORACLES |= {
+    "redact_budget": _with(
+        _LINES + _SHOWN,
+        """, ti AS (SELECT doc_id, arg_min(c, seq) AS title FROM rd GROUP BY ALL), di AS (SELECT doc_id, shown, min(seq % 3 * 1000000 + seq) AS place FROM rd JOIN ti USING (doc_id) WHERE shown IS NOT NULL AND shown IS DISTINCT FROM title GROUP BY ALL),
+        li AS (SELECT doc_id, list({'kept': [shown], 'total': CAST(length(shown) AS BIGINT)} ORDER BY place) AS x FROM di GROUP BY ALL)
+        SELECT doc_id, coalesce(array_to_string(list_reduce(x, lambda a, b: CASE WHEN len(a.kept) < 12 AND a.total + b.total <= 1000 THEN {'kept': list_concat(a.kept, b.kept), 'total': a.total + b.total} ELSE a END, {'kept': CAST([] AS VARCHAR[]), 'total': CAST(0 AS BIGINT)}).kept, chr(10)), '') AS shown
+        FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN li USING (doc_id)""",
+    ),
+    "episodes_any_order": "WITH RECURSIVE "
+    + _SHIFTED
+    + """,
+n AS (SELECT stream, date, seq, ms, away, private, app, row_number() OVER (PARTITION BY stream, date ORDER BY seq) AS k, count(*) OVER (PARTITION BY stream, date) AS size FROM rel),
+f AS (
+  SELECT stream, date, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS app, FALSE AS private, CAST(NULL AS BIGINT) AS start, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS active, CAST(0 AS BIGINT) AS cnt,
+    CAST(NULL AS VARCHAR) AS c_app, FALSE AS c_private, CAST(NULL AS BIGINT) AS c_start, CAST(0 AS BIGINT) AS c_end, CAST(0 AS BIGINT) AS c_active, CAST(0 AS BIGINT) AS c_n FROM (SELECT DISTINCT stream, date FROM n)
+  UNION ALL
+  SELECT stream, date, k, CASE WHEN away THEN NULL ELSE r_app END, r_private, CASE WHEN away THEN NULL WHEN stays THEN start ELSE ms END, CASE WHEN stays THEN greatest(last, ms) ELSE ms END,
+    CASE WHEN stays THEN active + least(greatest(ms - last, 0), 300000) ELSE 0 END, CASE WHEN stays THEN cnt + 1 ELSE 1 END,
+    app, private, CASE WHEN stays THEN NULL ELSE start END, fin, active + least(greatest(fin - last, 0), 300000), cnt
+  FROM (SELECT *, greatest(CASE WHEN idle THEN last ELSE ms END, start) AS fin FROM (
+    SELECT f.*, n.k AS k_, n.ms, n.away, n.private AS r_private, n.app AS r_app, NOT n.away AND n.ms - f.last > 900000 AS idle, f.start IS NOT NULL AND NOT n.away AND n.ms - f.last <= 900000 AND f.app = n.app AND f.private = n.private AS stays
+    FROM f JOIN n ON n.stream = f.stream AND n.date = f.date AND n.k = f.k + 1) AS q(stream, date, k0, app, private, start, last, active, cnt, c_app, c_private, c_start, c_end, c_active, c_n, k, ms, away, r_private, r_app, idle, stays))
+),
+done AS (
+  SELECT stream, date, c_app AS app, c_private AS is_private, c_start AS start_ms, c_end AS end_ms, c_active AS active_ms, c_n AS event_count FROM f WHERE c_start IS NOT NULL
+  UNION ALL
+  SELECT f.stream, f.date, f.app, f.private, f.start, greatest(f.last, f.start), f.active, f.cnt FROM f JOIN (SELECT DISTINCT stream, date, size FROM n) z ON z.stream = f.stream AND z.date = f.date AND z.size = f.k WHERE f.start IS NOT NULL
+)
+SELECT stream, CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) || '#' || start_ms AS id, app, start_ms, end_ms, end_ms - start_ms AS duration_ms, active_ms, event_count, is_private FROM done""",
+    "tidy_text": f"""WITH r AS (SELECT conv_id, turn, ['Summary: ', '  ', 'here IS the summary:' || chr(10)][1 + turn % 3] || CASE WHEN conv_id % 2 = 0 THEN '"' || text || '"' ELSE text || chr(10) || ' ' || chr(10) || 'end' || chr(10) || 'of it' END AS raw FROM conversations WHERE text IS NOT NULL),
+      o AS (SELECT conv_id, turn, {_without_openers(f"trim(raw, {_WS})")} AS t FROM r),
+      q AS (SELECT conv_id, turn, CASE WHEN length(t) > 1 AND starts_with(t, '"') AND ends_with(t, '"') AND NOT contains(substr(t, 2, length(t) - 2), '"') THEN trim(substr(t, 2, length(t) - 2), {_WS}) ELSE t END AS t FROM o)
+      SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\\r?\\n(?:[ \\t\\r]*\\n)+'), lambda p: array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\\r?\\n'), lambda x: trim(x, {_WS})), lambda x: x <> ''), ' ')), lambda p: p <> ''), chr(10) || chr(10)) AS tidied FROM q""",
+    "markdown_blocks": _with(_LINES + "," + _MARKDOWN, "SELECT doc_id, kind, count(*) AS blocks, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(level) AS BIGINT) AS levels FROM bl GROUP BY ALL"),
+}
