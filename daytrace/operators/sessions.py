@@ -36,9 +36,13 @@ def is_private(kind: Column, sensitive: Column) -> Column:
 
 
 def relevant(activity: DataFrame) -> DataFrame:
-    """Window and away rows with a readable time, with ms, away, private and app filled in."""
+    """Window and away rows with a readable time, with ms, away, private and app filled in.
+
+    The date becomes text here, before anything is dealt by it, so that one exchange by (stream, date)
+    serves the sessions and all rollups by (stream, date, ...) after them.
+    """
     return activity.filter(F.col("ts").isNotNull() & (is_window(F.col("kind")) | is_away(F.col("kind")))).select(
-        *KEY, "seq", F.unix_millis("ts").alias("ms"), is_away(F.col("kind")).alias("away"), is_private(F.col("kind"), F.col("sensitive")).alias("private"), F.coalesce("app", F.lit("")).alias("app"), "app_path",
+        "stream", F.date_format("date", "yyyy-MM-dd").alias("date"), "seq", F.unix_millis("ts").alias("ms"), is_away(F.col("kind")).alias("away"), is_private(F.col("kind"), F.col("sensitive")).alias("private"), F.coalesce("app", F.lit("")).alias("app"), "app_path",
         "title", "url", document_label(F.col("doc_title"), F.col("doc_path")).alias("document"), "visible_text",
     )
 
@@ -64,36 +68,37 @@ def _ordered(values: Column, most: int | None = None) -> Column:
     return F.slice(out, 1, most) if most else out
 
 
-def headline(rows: DataFrame) -> DataFrame:
-    """(stream, date, ep, title): the title held longest; a title is held from its event until the next title."""
+def _with_holds(rows: DataFrame) -> DataFrame:
+    """Adds the current title of each row, and how long its episode held it in all: a title is held from its event until the next title.
+
+    Windows rather than a join back: all partition within (stream, date), so they need no further exchange.
+    """
     order = W.partitionBy(*KEY, "ep").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     named = F.when(~F.col("private") & (F.trim("title") != ""), F.col("title"))
-    held = rows.withColumn("current", F.last(named, ignorenulls=True).over(order)).filter("current IS NOT NULL")
-    held = held.groupBy(*KEY, "ep", "current").agg(F.sum("credit").alias("total"), F.min("seq").alias("first"))
-    rank = F.struct("total", F.col("first") if TIES_GO_LAST else -F.col("first"))
-    return held.groupBy(*KEY, "ep").agg(F.max_by("current", rank).alias("title"))
+    rows = rows.withColumn("current", F.last(named, ignorenulls=True).over(order))
+    by_title = W.partitionBy(*KEY, "ep", "current")
+    return rows.withColumn("held", F.sum("credit").over(by_title)).withColumn("first_seq", F.min("seq").over(by_title))
 
 
 def episodes(activity: DataFrame) -> DataFrame:
     """Episodes of days whose rows are in order of time."""
-    rows = marked(activity)
+    rows = _with_holds(marked(activity))
     open_ = ~F.col("private")
+    rank = F.when(F.col("current").isNotNull(), F.struct("held", F.col("first_seq") if TIES_GO_LAST else -F.col("first_seq")))
     item = lambda c, ok: F.struct("seq", F.when(open_ & ok, F.col(c)).alias("v"))
     texts = F.filter(F.array_sort(F.collect_list(F.struct("seq", F.when(open_, F.col("visible_text")).alias("v")))), lambda x: x["v"].isNotNull())
-    body = rows.groupBy(*KEY, "ep").agg(
-        F.min_by("app", "seq").alias("app"), F.min_by("app_path", "seq").alias("app_path"), F.first("private").alias("is_private"), F.min_by("ms", "seq").alias("start_ms"), F.max_by("until", "seq").alias("end_ms"),
+    e = rows.groupBy(*KEY, "ep").agg(
+        F.max_by("current", rank).alias("title"), F.min_by("app", "seq").alias("app"), F.min_by("app_path", "seq").alias("app_path"), F.first("private").alias("is_private"), F.min_by("ms", "seq").alias("start_ms"), F.max_by("until", "seq").alias("end_ms"),
         F.sum("credit").alias("active_ms"), F.count("*").alias("event_count"), _ordered(item("title", F.trim("title") != "")).alias("titles"), _ordered(item("url", F.lit(True))).alias("urls"),
         _ordered(item("document", F.lit(True)), MAX_DOCUMENTS).alias("documents"), F.slice(F.array_distinct(F.flatten(F.transform(texts, lambda x: x["v"]))), 1, MAX_TEXT).alias("visible_text"),
     )
-    e = body.join(headline(rows), [*KEY, "ep"], "left")
     return _finished(e)
 
 
 def _finished(e: DataFrame) -> DataFrame:
     start, end = F.timestamp_millis("start_ms"), F.timestamp_millis("end_ms")
-    day = F.date_format("date", "yyyy-MM-dd")
     return e.select(
-        "stream", day.alias("date"), F.concat(day, F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "app_path", "title", "titles", "urls", "documents", "visible_text",
+        "stream", "date", F.concat("date", F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "app_path", "title", "titles", "urls", "documents", "visible_text",
         format_instant(start).alias("start"), format_instant(end).alias("end"), "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private",
     )
 
@@ -103,8 +108,7 @@ def core(activity: DataFrame) -> DataFrame:
     e = marked(activity).groupBy(*KEY, "ep").agg(
         F.min_by("app", "seq").alias("app"), F.first("private").alias("is_private"), F.min_by("ms", "seq").alias("start_ms"), F.max_by("until", "seq").alias("end_ms"), F.sum("credit").alias("active_ms"), F.count("*").alias("event_count")
     )
-    day = F.date_format("date", "yyyy-MM-dd")
-    return e.select("stream", day.alias("date"), F.concat(day, F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private")
+    return e.select("stream", "date", F.concat("date", F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private")
 
 
 _ROW = "struct<ms:bigint,away:boolean,private:boolean,app:string>"
@@ -113,7 +117,7 @@ _ROW = "struct<ms:bigint,away:boolean,private:boolean,app:string>"
 def out_of_order_days(activity: DataFrame) -> DataFrame:
     """(stream, date) of days in which a row's time is before that of the row before."""
     back = F.lag("ms").over(W.partitionBy(*KEY).orderBy("seq")) > F.col("ms")
-    return relevant(activity).select(*KEY, back.alias("back")).filter("back").select(*KEY).distinct()
+    return relevant(activity).select(*KEY, back.alias("back")).filter("back").select("stream", F.to_date("date").alias("date")).distinct()
 
 
 def episodes_exact(activity: DataFrame) -> DataFrame:
@@ -146,8 +150,7 @@ def episodes_exact(activity: DataFrame) -> DataFrame:
         return F.when(o.isNotNull(), F.concat(acc["done"], F.array(close(o, o["last"]))).cast(closed)).otherwise(acc["done"])
 
     e = rows.select(*KEY, F.explode(F.aggregate("rows", zero, step, finish)).alias("e"))
-    day = F.date_format("date", "yyyy-MM-dd")
-    return e.select("stream", day.alias("date"), F.concat(day, F.lit("#"), F.col("e.start").cast("string")).alias("id"), "e.app", F.col("e.start").alias("start_ms"), F.col("e.end").alias("end_ms"), (F.col("e.end") - F.col("e.start")).alias("duration_ms"), F.col("e.active").alias("active_ms"), F.col("e.n").alias("event_count"), F.col("e.private").alias("is_private"))
+    return e.select("stream", "date", F.concat("date", F.lit("#"), F.col("e.start").cast("string")).alias("id"), "e.app", F.col("e.start").alias("start_ms"), F.col("e.end").alias("end_ms"), (F.col("e.end") - F.col("e.start")).alias("duration_ms"), F.col("e.active").alias("active_ms"), F.col("e.n").alias("event_count"), F.col("e.private").alias("is_private"))
 
 
 def sessionise(activity: DataFrame) -> DataFrame:
