@@ -23,6 +23,21 @@ ASK_HOUR = "Describe in two or three sentences what these entries show was worke
 ASK_DAY = "Write four paragraphs about the day: its subjects, where attention held and broke, its course, and a conclusion."
 ASK_CHAT = "Answer from the log above alone; where it says nothing, say that."
 
+# The wording of prompts, lines and documents.
+HOUR_HEAD = "Activity for %s between %02d:00 and %02d:59, %s of it active.\n\n"
+DAY_HEAD = "Hour-by-hour summaries for %s, %s active in total across %d sessions.\n\n"
+CHAT_HEAD = "Activity for %s, %s active in total across %d sessions.\n\n"
+OMITTED = "\n(%d further short entries omitted.)\n"
+UNLISTED = "\n(%d further entries are not listed.)\n"
+BRIEF = "\n(%d briefer switches, each under a minute, are counted in the total above but are not listed: they were not worked in.)\n"
+PRIVATE_LINE = " — private session, nothing recorded\n"
+PRIVATE_TIME = "%d private sessions were recorded as time only."
+WRITTEN, BY_HOUR, FRONT, EARLIER = "The summary already written for this day:\n", "Hour by hour:\n", "What was in front, in the order it happened:\n", "Earlier in this conversation:\n"
+NOTHING_LONG = "Nothing was in front for longer than a minute on this day.\n\n"
+TURN = "They asked: %s\nYou answered: %s\n"
+NO_SUMMARY, NO_RECORD = "No whole-day summary was written.\n\n", "Nothing was recorded on this day.\n\n"
+SPENT = "%s at the machine, %s of it working.\n\n"
+
 KEYS = ("stream", "date")
 
 
@@ -38,7 +53,7 @@ def _details(public: dict[str, Column]) -> Column:
 def episode_line(when: Column, e: dict[str, Column]) -> Column:
     head = F.concat(F.lit("- "), when, F.lit(" "), e["app"])
     named = F.when(e["title"].isNotNull(), F.concat(head, F.lit(": "), e["title"], F.lit("\n"))).otherwise(F.concat(head, F.lit("\n")))
-    return F.when(e["is_private"], F.concat(head, F.lit(" — private session, nothing recorded\n"))).otherwise(F.concat(named, _details(e)))
+    return F.when(e["is_private"], F.concat(head, F.lit(PRIVATE_LINE))).otherwise(F.concat(named, _details(e)))
 
 
 def _cols(*names: str) -> dict[str, Column]:
@@ -66,7 +81,7 @@ def line_in_day() -> Column:
 
 
 def _brief(n: Column) -> Column:
-    return F.when(n > 0, F.format_string("\n(%d briefer switches, each under a minute, are counted in the total above but are not listed: they were not worked in.)\n", n)).otherwise("")
+    return F.when(n > 0, F.format_string(BRIEF, n)).otherwise("")
 
 
 def hour_prompts(public: DataFrame, hour_ids: DataFrame, hours: DataFrame, instructions: str = ASK_HOUR) -> DataFrame:
@@ -83,8 +98,8 @@ def hour_prompts(public: DataFrame, hour_ids: DataFrame, hours: DataFrame, instr
         F.array_sort(F.collect_list(F.when(listed, F.struct("pos", line_in_hour().alias("line"))))).alias("lines"), F.count_if("named").alias("n_named"), F.count_if(~F.col("named")).alias("n_brief")
     )
     h = g.join(hours.select(*KEYS, "hour", F.col("active_ms").alias("hour_ms")), [*KEYS, "hour"]).filter(F.col("hour_ms") >= WORTH_MS)
-    head = F.format_string("Activity for %s between %02d:00 and %02d:59, %s of it active.\n\n", long_day(F.col("date").cast("date")), "hour", "hour", human_duration(F.col("hour_ms")))
-    over = F.when(F.col("n_named") > HOUR_EPISODES, F.format_string("\n(%d further short entries omitted.)\n", F.col("n_named") - HOUR_EPISODES)).otherwise("")
+    head = F.format_string(HOUR_HEAD, long_day(F.col("date").cast("date")), "hour", "hour", human_duration(F.col("hour_ms")))
+    over = F.when(F.col("n_named") > HOUR_EPISODES, F.format_string(OMITTED, F.col("n_named") - HOUR_EPISODES)).otherwise("")
     user = F.concat(head, _joined(F.transform("lines", lambda x: x["line"]), ""), over, _brief(F.col("n_brief")), F.lit("\n" + instructions))
     return h.select(*KEYS, "hour", user.alias("user"), F.lit(HOUR_TOKENS).alias("max_tokens"))
 
@@ -107,13 +122,13 @@ def _apps(by: str) -> Column:
 
 
 def _private(end: str) -> Column:
-    return F.when(F.col("private_episodes") > 0, F.format_string("%d private sessions were recorded as time only." + end, F.col("private_episodes"))).otherwise("")
+    return F.when(F.col("private_episodes") > 0, F.format_string(PRIVATE_TIME + end, F.col("private_episodes"))).otherwise("")
 
 
 def day_prompts(days: DataFrame, usage: DataFrame, summaries: DataFrame, instructions: str = ASK_DAY) -> DataFrame:
     """(stream, date, user, max_tokens) for days with a summarised hour. summaries: (stream, date, hour, active_ms, text)."""
     j = days.join(_hour_lines(summaries), list(KEYS)).join(leaders(usage, DAY_APPS), list(KEYS), "left")
-    head = F.format_string("Hour-by-hour summaries for %s, %s active in total across %d sessions.\n\n", long_day(F.col("date").cast("date")), human_duration(F.col("active_ms")), F.col("episodes"))
+    head = F.format_string(DAY_HEAD, long_day(F.col("date").cast("date")), human_duration(F.col("active_ms")), F.col("episodes"))
     return j.select(*KEYS, F.concat(head, F.col("hour_lines"), _apps("\n"), _private("\n"), F.lit("\n" + instructions)).alias("user"), F.lit(DAY_TOKENS).alias("max_tokens"))
 
 
@@ -138,22 +153,22 @@ def chat_prompts(public: DataFrame, days: DataFrame, usage: DataFrame, summaries
     order = W.partitionBy(*KEYS).orderBy("start", "id", "app")
     named = public.filter(F.col("active_ms") >= WORTH_MS).withColumn("rank", F.row_number().over(order))
     lines = named.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= CHAT_EPISODES, F.struct("rank", line_in_day().alias("line"))))).alias("lines"), F.count("*").alias("n_named"))
-    turn = F.format_string("They asked: %s\nYou answered: %s\n", trimmed(F.col("asked")), trimmed(F.col("answered")))
+    turn = F.format_string(TURN, trimmed(F.col("asked")), trimmed(F.col("answered")))
     carried = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.desc("turn"))) <= CHAT_TURNS
     said = turns.withColumn("__in", carried).filter("__in").groupBy(*KEYS).agg(_joined(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("x")))), lambda r: r["x"]), "").alias("said"))
     j = days
     for other in (lines, _hour_lines(summaries), leaders(usage, CHAT_APPS), daily.select(*KEYS, "daily"), said):
         j = j.join(other, list(KEYS), "left")
     n_named = F.coalesce("n_named", F.lit(0))
-    head = F.format_string("Activity for %s, %s active in total across %d sessions.\n\n", long_day(F.col("date").cast("date")), human_duration(F.col("active_ms")), F.col("episodes"))
-    written = F.when(F.col("daily").isNotNull(), F.concat(F.lit("The summary already written for this day:\n"), trimmed(F.col("daily")), F.lit("\n\n"))).otherwise("")
-    by_hour = F.when(F.col("hour_lines").isNotNull(), F.concat(F.lit("Hour by hour:\n"), F.col("hour_lines"), F.lit("\n"))).otherwise("")
-    over = F.when(n_named > CHAT_EPISODES, F.format_string("\n(%d further entries are not listed.)\n", n_named - CHAT_EPISODES)).otherwise("")
-    front = F.when(n_named == 0, F.lit("Nothing was in front for longer than a minute on this day.\n\n")).otherwise(
-        F.concat(F.lit("What was in front, in the order it happened:\n"), _joined(F.transform("lines", lambda x: x["line"]), ""), over, _brief(F.col("episodes") - n_named), F.lit("\n"))
+    head = F.format_string(CHAT_HEAD, long_day(F.col("date").cast("date")), human_duration(F.col("active_ms")), F.col("episodes"))
+    written = F.when(F.col("daily").isNotNull(), F.concat(F.lit(WRITTEN), trimmed(F.col("daily")), F.lit("\n\n"))).otherwise("")
+    by_hour = F.when(F.col("hour_lines").isNotNull(), F.concat(F.lit(BY_HOUR), F.col("hour_lines"), F.lit("\n"))).otherwise("")
+    over = F.when(n_named > CHAT_EPISODES, F.format_string(UNLISTED, n_named - CHAT_EPISODES)).otherwise("")
+    front = F.when(n_named == 0, F.lit(NOTHING_LONG)).otherwise(
+        F.concat(F.lit(FRONT), _joined(F.transform("lines", lambda x: x["line"]), ""), over, _brief(F.col("episodes") - n_named), F.lit("\n"))
     )
     apps = F.when(F.col("leaders").isNotNull(), F.concat(F.lit("Time by application: "), F.col("leaders"), F.lit(".\n\n"))).otherwise("")
-    earlier = F.when(F.col("said").isNotNull(), F.concat(F.lit("Earlier in this conversation:\n"), F.col("said"), F.lit("\n"))).otherwise("")
+    earlier = F.when(F.col("said").isNotNull(), F.concat(F.lit(EARLIER), F.col("said"), F.lit("\n"))).otherwise("")
     user = F.concat(head, written, by_hour, front, apps, _private("\n\n"), earlier, F.lit(f"Their question: {question.strip()}\n\n{instructions}"))
     return j.select(*KEYS, user.alias("user"), F.lit(CHAT_TOKENS).alias("max_tokens"))
 
@@ -166,10 +181,10 @@ def day_documents(days: DataFrame, usage: DataFrame, summaries: DataFrame, daily
     hours = summaries.groupBy(*KEYS).agg(_joined(F.transform(F.array_sort(F.collect_list(F.struct("hour", hour.alias("x")))), lambda r: r["x"]), "").alias("hours"), F.min_by("model", "hour").alias("model"))
     j = days.join(apps, list(KEYS), "left").join(hours, list(KEYS), "left").join(daily.select(*KEYS, "daily"), list(KEYS), "left")
     title = long_day(F.col("date").cast("date"))
-    text = F.coalesce(F.concat(trimmed(F.col("daily")), F.lit("\n\n")), F.lit("No whole-day summary was written.\n\n"))
-    spent = F.format_string("%s at the machine, %s of it working.\n\n", human_duration(F.col("screen_ms")), human_duration(F.col("active_ms")))
+    text = F.coalesce(F.concat(trimmed(F.col("daily")), F.lit("\n\n")), F.lit(NO_SUMMARY))
+    spent = F.format_string(SPENT, human_duration(F.col("screen_ms")), human_duration(F.col("active_ms")))
     idle = F.when(F.col("idle_ms") > 0, F.format_string("- Idle — %s\n", human_duration(F.col("idle_ms")))).otherwise("")
-    time_ = F.when(F.col("screen_ms") == 0, F.lit("Nothing was recorded on this day.\n\n")).otherwise(F.concat(spent, F.coalesce("apps", F.lit("")), idle, F.lit("\n")))
+    time_ = F.when(F.col("screen_ms") == 0, F.lit(NO_RECORD)).otherwise(F.concat(spent, F.coalesce("apps", F.lit("")), idle, F.lit("\n")))
     by_hour = F.coalesce(F.concat(F.lit("## Hours\n\n"), F.col("hours")), F.lit(""))
     model = F.coalesce("model", F.when(F.col("daily").isNotNull(), F.lit("an unnamed model")))
     foot = F.coalesce(F.concat(F.lit("---\n\nSummaries written by "), model, F.lit(".\n")), F.lit(""))
