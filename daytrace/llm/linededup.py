@@ -39,6 +39,8 @@ PARTS = r"\n|(?<=[^.!?][.!?]) "
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Ids of paired documents are broadcast to the scan of the texts up to this number (16 bytes each).
 MOST_BROADCAST = 1_000_000
+#: Pairs of one owner that go together.
+PER_SALT = 500
 
 
 def _lis(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,8 +172,15 @@ def deletions(docs: DataFrame) -> DataFrame:
     found = checkpointed(pairs(docs))
     ids = found.select("id").union(found.select("owner")).distinct()
     texts = docs.join(F.broadcast(ids) if found.count() <= MOST_BROADCAST else ids, "id", "left_semi")
-    earlier = found.join(texts.groupBy(F.col("id").alias("owner")).agg(F.min("text").alias("earlier")), "owner")
-    both = earlier.join(texts.select("id", F.xxhash64("text").alias("h"), F.col("text").alias("later")), "id").select("id", "h", "earlier", "later")
+    texts = texts.groupBy("id", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    # a text that very many documents share has one owner: its pairs are dealt over salts, and its text goes to each
+    busy = checkpointed(found.groupBy("owner").agg(F.count("*").alias("n")).filter(F.col("n") > PER_SALT).select("owner", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
+    busy = F.broadcast(busy) if busy.count() <= MOST_BROADCAST else busy
+    pairs_ = found.join(busy, "owner", "left").select("id", "owner", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+    owners = texts.select(F.col("id").alias("owner"), F.col("text").alias("earlier")).join(busy, "owner", "left")
+    owners = owners.select("owner", "earlier", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    earlier = pairs_.join(owners, ["owner", "salt"]).select("id", "earlier")
+    both = earlier.join(texts.select("id", "h", F.col("text").alias("later")), "id").select("id", "h", "earlier", "later")
     spans = checkpointed(both.mapInArrow(_align, SPANS))
     # unite overlapping spans: a span starts a new one if it begins after all ends before it
     by = W.partitionBy("id", "h").orderBy("start", "end")
