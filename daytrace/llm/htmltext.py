@@ -191,7 +191,8 @@ def templates(pages: DataFrame) -> DataFrame:
     carried = (F.col("high") + F.shiftrightunsigned("low", 32)).bitwiseAND(half)
     vector = F.struct("pages", F.col("low").bitwiseAND(half).alias("low"), carried.alias("high"))
     total = by_role.filter("role = 0").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
-    frequent = by_role.filter("role <> 0").join(total, "host").filter(F.col("pages") >= F.col("all") * SUPPORT).select("host", "role", vector.alias("vector"))
+    # no host that deduces has fewer pages than LEAST_PAGES, so roles of few pages go before anything is joined by host
+    frequent = by_role.filter((F.col("role") != 0) & (F.col("pages") >= LEAST_PAGES * SUPPORT)).join(total, "host").filter(F.col("pages") >= F.col("all") * SUPPORT).select("host", "role", vector.alias("vector"))
     classes = frequent.groupBy("host", "vector").agg(F.collect_list("role").alias("roles")).filter(F.size("roles") >= 2)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("roles")).alias("roles"))
 
