@@ -167,20 +167,23 @@ def pairs(docs: DataFrame) -> DataFrame:
 
 
 def deletions(docs: DataFrame) -> DataFrame:
-    """(id, h, keeps, removed, blocks, owners) of each text with deletions: the spans to keep (start, length), characters removed, blocks, and the earlier documents' ids. h is the hash of the text."""
+    """(id, h, head, keeps, removed, blocks) of each text with deletions; h is the hash of the text.
+
+    The first `head` characters stay, and then the spans `keeps` (at, length); removed counts characters.
+    """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     found = checkpointed(pairs(docs))
-    ids = found.select("id").union(found.select("owner")).distinct()
-    texts = docs.join(F.broadcast(ids) if found.count() <= MOST_BROADCAST else ids, "id", "left_semi")
-    texts = texts.groupBy("id", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    few = found.count() <= MOST_BROADCAST
+    laters, holders = (found.select(F.col(c).alias("id")).distinct() for c in ("id", "owner"))
+    texts, owner_texts = (docs.join(F.broadcast(ids) if few else ids, "id", "left_semi") for ids in (laters, holders))
     # a text that very many documents share has one owner: its pairs are dealt over salts, and its text goes to each
     busy = checkpointed(found.groupBy("owner").agg(F.count("*").alias("n")).filter(F.col("n") > PER_SALT).select("owner", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts")))
     busy = F.broadcast(busy) if busy.count() <= MOST_BROADCAST else busy
     pairs_ = found.join(busy, "owner", "left").select("id", "owner", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
-    owners = texts.select(F.col("id").alias("owner"), F.col("text").alias("earlier")).join(busy, "owner", "left")
+    owners = owner_texts.groupBy(F.col("id").alias("owner")).agg(F.min("text").alias("earlier")).join(busy, "owner", "left")
     owners = owners.select("owner", "earlier", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     earlier = pairs_.join(owners, ["owner", "salt"]).select("id", "earlier")
-    both = earlier.join(texts.select("id", "h", F.col("text").alias("later")), "id").select("id", "h", "earlier", "later")
+    both = earlier.join(texts.select("id", F.xxhash64("text").alias("h"), F.col("text").alias("later")), "id").select("id", "h", "earlier", "later")
     spans = checkpointed(both.mapInArrow(_align, SPANS))
     # unite overlapping spans: a span starts a new one if it begins after all ends before it
     by = W.partitionBy("id", "h").orderBy("start", "end")
