@@ -16,8 +16,9 @@ How it runs:
    Large buckets are dealt into parts, each with the bucket's centre.
 4. Candidates that are distinct get both texts and are confirmed; the links' connected
    components are found by joins. If a bucket then still has members of different
-   components that look alike, each component's best pairs with three others are confirmed
-   too, again and again until no link is new.
+   components that look alike, their full sets meet in the bucket, where all pairs of
+   different components are confirmed. What leaves a bucket are the links that join
+   components, fewer than its members.
 
 A candidate is left out only if the bytes agree in so few bins that a similarity of 0.75
 is five standard deviations away. 32 bands of 4 bins find a pair at 0.75 with probability
@@ -164,29 +165,60 @@ def _star(bucket: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _across(bucket: pa.Table) -> pa.Table:
-    """Members of different components that look alike: for each component, its best pairs with three others."""
-    bucket = bucket.sort_by("id")
-    ids, comp = bucket["id"].to_numpy(), bucket["component"].to_numpy()
-    n = bucket["n"].to_numpy().astype(float)
+ALIKE = "key long, part int, id long, set binary, component long"
+
+
+def _alike(bucket: pa.Table) -> pa.Table:
+    """The members that look like a member of another component."""
+    comp, n = bucket["component"].to_numpy(), bucket["n"].to_numpy().astype(float)
     marks = np.frombuffer(b"".join(bucket["bytes"].to_pylist()), np.uint8).reshape(-1, BINS)
-    best: dict[int, dict[int, tuple[float, int, int]]] = {}
-    for i in range(1, len(ids)):
-        share = (marks[:i] == marks[i]).mean(1)
-        for j in np.flatnonzero((comp[:i] != comp[i]) & (share >= 0.7) & (np.minimum(n[i], n[:i]) * 100 >= PERCENT * np.maximum(n[i], n[:i]))):
-            pair = (share[j], -i, -j)
-            for x, y in ((comp[i], comp[j]), (comp[j], comp[i])):
-                own = best.setdefault(x, {})
-                if y in own or len(own) < 3:
-                    own[y] = max(own.get(y, pair), pair)
-                elif pair > (least := min(own.items(), key=lambda e: e[1]))[1]:
-                    del own[least[0]]
-                    own[y] = pair
-    found = sorted({(ids[-j], ids[-i]) for own in best.values() for _, i, j in own.values()})
-    a, b = [p[0] for p in found], [p[1] for p in found]
+    seen = np.zeros(len(n), bool)
+    for i in range(1, len(n)):
+        other = np.flatnonzero(comp[:i] != comp[i])
+        low = np.minimum(n[i], n[other])
+        other = other[((marks[other] == marks[i]).mean(1) >= 0.7) & (low * 100 >= PERCENT * np.maximum(n[i], n[other]))]
+        seen[other] = True
+        seen[i] |= len(other) > 0
+    return bucket.select([c.split()[0] for c in ALIKE.split(", ")]).filter(pa.array(seen))
+
+
+def _bridges(group: pa.Table) -> pa.Table:
+    """Links that join components, on the full sets of all members; a link within what is joined already is left out."""
+    ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(n)), n)
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders, first, ends = owner[np.argsort(code, kind="stable")], np.cumsum(held) - held, np.cumsum(n)
+    _, joined = np.unique(comp, return_inverse=True)
+    a, b = [], []
+    for i in range(len(n)):
+        if (joined == joined[i]).all():
+            continue
+        mine = code[ends[i] - n[i] : ends[i]]
+        mine = mine[held[mine] > 1]
+        m = held[mine]
+        both = np.bincount(holders[np.repeat(first[mine] - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=len(n))
+        for j in np.flatnonzero((both > 0) & (100 * both >= PERCENT * (n[i] + n - both)) & (joined != joined[i])):
+            if joined[j] != joined[i]:
+                joined[joined == joined[j]] = joined[i]
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+SETS = "id long, set binary, shingles binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full sets of the texts, with their 128-bit hashes."""
+    import xxhash
+
+    for batch in slices(batches, "text", 4 << 20):
+        full = [s.tobytes() for s in shingles(as_bytes(batch["text"]))]
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([xxhash.xxh128_digest(s) for s in full], pa.binary()), pa.array(full, pa.binary())], names=["id", "set", "shingles"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs (a, b) with their texts, those that link. Rows of the same a mostly follow each other: its set is kept."""
     last, kept = None, None
@@ -217,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
     signed = checkpointed(docs.select(F.col("id").alias("doc_id"), "text").mapInArrow(_sign, SIGNED))
     classes = signed.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"))
-    reps = signed.join(classes.select("set", F.col("id").alias("doc_id")), ["set", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "bytes")
+    reps = signed.join(classes.select("set", F.col("id").alias("doc_id")), ["set", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "bytes", "set")
     slots = reps.select("id", F.explode("keys").alias("key"))
     buckets = slots.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.min("id").alias("centre")).filter("m > 1")
     buckets = buckets.groupBy("m", "sum", "centre").agg(F.min("key").alias("key"))
@@ -225,20 +257,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = checkpointed(buckets.select("key", "centre", parts.alias("parts")))
     members = slots.join(buckets, "key").select("key", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id")
     centres = buckets.filter("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("id"))
-    members = checkpointed(members.union(centres).join(reps.select("id", "n", "bytes"), "id"))
+    members = checkpointed(members.union(centres).join(reps.select("id", "n", "bytes", "set"), "id"))
     tried = checkpointed(members.groupBy("key", "part").applyInArrow(_star, CANDIDATES).distinct())
     links = _linked(tried, docs)
     found = components(links)
-    while True:
-        placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        torn = placed.groupBy("key", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "part")
-        more = placed.join(torn, ["key", "part"]).groupBy("key", "part").applyInArrow(_across, CANDIDATES).distinct()
-        more = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
-        new = _linked(more, docs)
-        if new.isEmpty():
-            break
-        tried, links = tried.union(more), links.union(new)
-        found = components(links)
+    placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    torn = placed.groupBy("key", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "part")
+    alike = checkpointed(placed.join(torn, ["key", "part"]).groupBy("key", "part").applyInArrow(_alike, ALIKE))
+    ids = alike.select("id").distinct()
+    texts = docs.join(F.broadcast(ids) if alike.count() <= MOST_BROADCAST else ids, "id", "left_semi")
+    sets = texts.mapInArrow(_sets, SETS).groupBy("id", "set").agg(F.min("shingles").alias("shingles"))
+    bridges = checkpointed(alike.join(sets, ["id", "set"]).select("key", "part", "id", "component", "shingles").groupBy("key", "part").applyInArrow(_bridges, CANDIDATES).distinct())
+    if not bridges.isEmpty():
+        found = components(links.union(bridges))
     of_set = classes.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n", "set").join(of_set, "set", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -46,6 +46,25 @@ def test_near_duplicates(spark, texts):
     assert got == brute.components(texts)
 
 
+def family(rng, base, edits, n):
+    """Variants of a text, each with so many words of its own."""
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for at in rng.sample(range(len(w)), edits):
+            w[at] = f"own{rng.getrandbits(40)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_among_many_that_look_alike(spark):
+    """Pairs of one template all lie close to 0.75 on either side: a link may rank behind many that are none."""
+    rng = random.Random(3)
+    rows = list(enumerate(t for _ in range(6) for t in family(rng, prose(rng, 400, 5000), 7, 40)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.components(rows)
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "A b c d E f"), (2, None), (3, ""), (4, "a b")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
