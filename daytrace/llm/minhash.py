@@ -176,7 +176,7 @@ def _alike(bucket: pa.Table) -> pa.Table:
     for i in range(1, len(n)):
         other = np.flatnonzero(comp[:i] != comp[i])
         low = np.minimum(n[i], n[other])
-        other = other[((marks[other] == marks[i]).mean(1) >= 0.7) & (low * 100 >= PERCENT * np.maximum(n[i], n[other]))]
+        other = other[((marks[other] == marks[i]).mean(1) >= least_agreement(low)) & (low * 100 >= PERCENT * np.maximum(n[i], n[other]))]
         seen[other] = True
         seen[i] |= len(other) > 0
     return bucket.select([c.split()[0] for c in ALIKE.split(", ")]).filter(pa.array(seen))

@@ -65,6 +65,25 @@ def test_near_duplicates_among_many_that_look_alike(spark):
     assert got == brute.components(rows)
 
 
+def bridged(rng, n, apart, mark):
+    """Two components, of which only the last members link: they differ at the places `apart`, their variants in the word at `mark` too."""
+    def other(w, places):
+        return [f"own{rng.getrandbits(40)}" if i in places else x for i, x in enumerate(w)]
+
+    a = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    b = other(a, apart)
+    return [" ".join(w) for x in (a, b) for w in (*[other(x, [mark]) for _ in range(4)], x)]
+
+
+def test_near_duplicates_of_components_bridged_by_one_pair(spark):
+    """The bridging pairs have similarities of 0.756 and 0.778, and some of them agree in fewer than 0.7 of their bins."""
+    rng = random.Random(5)
+    shapes = [(36, [32], 0), (40, [20], 0), (400, range(15, 390, 35), 200)]
+    rows = list(enumerate(t for shape in shapes for _ in range(30) for t in bridged(rng, *shape)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.components(rows)
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "A b c d E f"), (2, None), (3, ""), (4, "a b")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
