@@ -13,12 +13,13 @@ How it runs:
    before the shuffle, tell that). In a bucket each member is a candidate for its centre,
    the smallest id; one whose bytes don't agree with the centre's nearly everywhere is also
    one for the earlier member it agrees with most. That is at most two edges a member.
-   Large buckets are dealt into parts, each with the bucket's centre.
+   Large buckets are dealt into parts, each with the bucket's centre; the parts meet later.
 4. Candidates that are distinct get both texts and are confirmed; the links' connected
    components are found by joins. If a bucket then still has members of different
    components that look alike, their full sets meet in the bucket, where all pairs of
    different components are confirmed. What leaves a bucket are the links that join
-   components, fewer than its members.
+   components, fewer than its members. In a large bucket each two parts meet, except
+   those of its largest component: what lies outside that one meets all members.
 
 A candidate is left out only if the bytes agree in so few bins that a similarity of 0.75
 is five standard deviations away. 32 bands of 4 bins find a pair at 0.75 with probability
@@ -48,8 +49,8 @@ BANDS = BINS // ROWS
 PERCENT = 75
 #: Sets up to this size get prefix keys.
 SMALL = 32
-#: A bucket is dealt into parts of about so many members.
-PART = 1024
+#: A bucket is dealt into parts of about so many members, and for full sets of about so many shingles.
+PART, PART_SHINGLES = 1024, 1 << 20
 #: Ids of candidates are broadcast to the scan of the texts up to this number (16 bytes each).
 MOST_BROADCAST = 1_000_000
 
@@ -165,16 +166,35 @@ def _star(bucket: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-ALIKE = "key long, part int, id long, set binary, component long"
+def _meeting(placed: DataFrame) -> DataFrame:
+    """The members of each bucket with several components, once for each pair (part, part_b) of parts in which they meet others.
+
+    The largest component's parts come first; as it is one already, they don't meet each other.
+    """
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    sizes = sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "component")).alias("most"))
+    parts = lambda m, s: F.greatest(F.ceil(m / PART), F.ceil(s / PART_SHINGLES)).cast("int")
+    large, rest = F.col("most.m"), F.col("m") - F.col("most.m")
+    deal = sizes.filter("components > 1").select("key", F.col("most.component").alias("large"), parts(F.col("m"), F.col("s")).alias("all"), parts(large, F.col("most.s")).alias("p"), parts(rest, F.col("s") - F.col("most.s")).alias("q"))
+    deal = deal.select("key", "large", *[F.when(F.col("all") > 1, F.col(c)).otherwise(other).alias(c) for c, other in (("p", 0), ("q", 1))])
+    hashed = F.xxhash64("id", "key")
+    of_large = (F.col("component") == F.col("large")) & (F.col("p") > 0)
+    dealt = placed.join(deal, "key").withColumn("side", F.when(of_large, F.pmod(hashed, F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(hashed, F.col("q"))).cast("int"))
+    meets = F.explode(F.sequence(F.when(of_large, F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1))
+    return dealt.withColumn("with", meets).select("key", F.least("side", "with").alias("part"), F.greatest("side", "with").alias("part_b"), "side", "id", "n", "set", "bytes", "component")
+
+
+ALIKE = "key long, part int, part_b int, side int, id long, set binary, component long"
 
 
 def _alike(bucket: pa.Table) -> pa.Table:
-    """The members that look like a member of another component."""
+    """The members that look like a member of another component; of two parts, one in the other part."""
+    side, across = bucket["side"].to_numpy(), bucket["part"][0].as_py() != bucket["part_b"][0].as_py()
     comp, n = bucket["component"].to_numpy(), bucket["n"].to_numpy().astype(float)
     marks = np.frombuffer(b"".join(bucket["bytes"].to_pylist()), np.uint8).reshape(-1, BINS)
     seen = np.zeros(len(n), bool)
     for i in range(1, len(n)):
-        other = np.flatnonzero(comp[:i] != comp[i])
+        other = np.flatnonzero((comp[:i] != comp[i]) & ((side[:i] != side[i]) | (not across)))
         low = np.minimum(n[i], n[other])
         other = other[((marks[other] == marks[i]).mean(1) >= least_agreement(low)) & (low * 100 >= PERCENT * np.maximum(n[i], n[other]))]
         seen[other] = True
@@ -184,7 +204,8 @@ def _alike(bucket: pa.Table) -> pa.Table:
 
 def _bridges(group: pa.Table) -> pa.Table:
     """Links that join components, on the full sets of all members; a link within what is joined already is left out."""
-    ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
+    ids, comp, side = (group[c].to_numpy() for c in ("id", "component", "side"))
+    across = group["part"][0].as_py() != group["part_b"][0].as_py()
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(n)), n)
@@ -199,7 +220,7 @@ def _bridges(group: pa.Table) -> pa.Table:
         mine = mine[held[mine] > 1]
         m = held[mine]
         both = np.bincount(holders[np.repeat(first[mine] - (np.cumsum(m) - m), m) + np.arange(m.sum())], minlength=len(n))
-        for j in np.flatnonzero((both > 0) & (100 * both >= PERCENT * (n[i] + n - both)) & (joined != joined[i])):
+        for j in np.flatnonzero((both > 0) & (100 * both >= PERCENT * (n[i] + n - both)) & (joined != joined[i]) & ((side != side[i]) | (not across))):
             if joined[j] != joined[i]:
                 joined[joined == joined[j]] = joined[i]
                 a.append(min(ids[i], ids[j]))
@@ -255,19 +276,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = buckets.groupBy("m", "sum", "centre").agg(F.min("key").alias("key"))
     parts = F.ceil(F.col("m") / PART).cast("int")
     buckets = checkpointed(buckets.select("key", "centre", parts.alias("parts")))
-    members = slots.join(buckets, "key").select("key", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "id")
-    centres = buckets.filter("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("id"))
+    members = slots.join(buckets, "key").select("key", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int").alias("part"), "id", F.lit(True).alias("own"))
+    centres = buckets.filter("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("id"), F.lit(False).alias("own"))
     members = checkpointed(members.union(centres).join(reps.select("id", "n", "bytes", "set"), "id"))
     tried = checkpointed(members.groupBy("key", "part").applyInArrow(_star, CANDIDATES).distinct())
     links = _linked(tried, docs)
     found = components(links)
-    placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = placed.groupBy("key", "part").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "part")
-    alike = checkpointed(placed.join(torn, ["key", "part"]).groupBy("key", "part").applyInArrow(_alike, ALIKE))
+    placed = members.filter("own").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    alike = checkpointed(_meeting(placed).groupBy("key", "part", "part_b").applyInArrow(_alike, ALIKE))
     ids = alike.select("id").distinct()
     texts = docs.join(F.broadcast(ids) if alike.count() <= MOST_BROADCAST else ids, "id", "left_semi")
     sets = texts.mapInArrow(_sets, SETS).groupBy("id", "set").agg(F.min("shingles").alias("shingles"))
-    bridges = checkpointed(alike.join(sets, ["id", "set"]).select("key", "part", "id", "component", "shingles").groupBy("key", "part").applyInArrow(_bridges, CANDIDATES).distinct())
+    bridges = checkpointed(alike.join(sets, ["id", "set"]).select("key", "part", "part_b", "side", "id", "component", "shingles").groupBy("key", "part", "part_b").applyInArrow(_bridges, CANDIDATES).distinct())
     if not bridges.isEmpty():
         found = components(links.union(bridges))
     of_set = classes.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component"))

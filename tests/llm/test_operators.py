@@ -84,6 +84,19 @@ def test_near_duplicates_of_components_bridged_by_one_pair(spark):
     assert got == brute.components(rows)
 
 
+def test_near_duplicates_in_buckets_of_many_parts(spark, monkeypatch):
+    """Few members link with their bucket's centre, and parts of 4 members keep most links apart."""
+    monkeypatch.setattr(minhash, "PART", 4)
+    rng = random.Random(3)
+    rows = list(enumerate(t for _ in range(3) for t in family(rng, prose(rng, 400, 5000), 7, 40)))
+    rows += [(1000 + i, t) for i, t in enumerate(t for _ in range(4) for t in bridged(rng, 400, range(15, 390, 35), 200))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.components(rows)
+    monkeypatch.setattr(minhash, "PART_SHINGLES", 1000)
+    again = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert again == got
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "A b c d E f"), (2, None), (3, ""), (4, "a b")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
