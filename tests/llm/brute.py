@@ -87,3 +87,49 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
             out[s] = most * sizes[s]
         left -= set(over)
     return out
+
+
+def line_dedup(rows):
+    """{(doc_id, text): deleted characters} by aligning every document with every earlier one; a null id is the last."""
+    from daytrace.llm import linededup
+
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    out, seen = {}, {}
+    for d, text in rows:
+        t = text or ""
+        w = list(linededup.WORD.finditer(t))
+        if t in seen and seen[t] != d:
+            out[d, text] = len(t) if len(w) >= 20 else 0
+            continue
+        seen.setdefault(t, d)
+        at, gone = [m.start() for m in w] + [len(t)], set()
+        for e, other in seen.items():
+            if other != d and e:
+                for a, b in linededup.common_blocks(e, t):
+                    gone |= set(range(at[a], at[b]))
+        out[d, text] = len(gone)
+    return out
+
+
+def repeated_lines(rows, left):
+    """Runs of whole lines with 20 words or more that are left in a document though an earlier one has them; left: {(doc_id, text): remaining text}."""
+    def lines(text):
+        return [" ".join(x.split()) for x in re.split(r"\n|(?<=[^.!?][.!?]) ", text or "") if x.split()]
+
+    def runs(ls):
+        """The shortest ones from each line on."""
+        n, out = [len(x.split()) for x in ls], set()
+        for i in range(len(ls)):
+            j, total = i, 0
+            while j < len(ls) and total < 20:
+                total, j = total + n[j], j + 1
+            if total >= 20:
+                out.add(tuple(ls[i:j]))
+        return out
+
+    seen, out = {}, []
+    for (d, text), rest in sorted(left.items(), key=lambda kv: (kv[0][0] is None, kv[0][0] or 0)):
+        out += [(d, r) for r in runs(lines(rest)) if seen.get(r, d) != d]
+        for r in runs(lines(text)):
+            seen.setdefault(r, d)
+    return out

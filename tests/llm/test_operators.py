@@ -242,6 +242,35 @@ def test_line_dedup(spark):
     assert linededup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_blocks_whose_lines_have_different_first_holders(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(10)) + "." for k in "ab")
+    rows = [(1, f"own one.\n{a}"), (2, f"own two.\n{b}"), (3, f"{a}\n{b}\nthird."), (4, f"fourth.\n{a}\n{b}")]
+    for n in (1, 40):  # rare lines, and lines of too many texts to be rare
+        more = rows + [(10 + i, f"{rows[i % 3][1]}\nown {i}.") for i in range(n)]
+        got = {r.doc_id: r.text for r in linededup.deduplicated(frame(spark, more)).collect()}
+        assert got[3] == rows[2][1] and got[4] == "fourth."
+
+
+@pytest.mark.parametrize("rare", [2, 1000])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, rare):
+    monkeypatch.setattr(linededup, "RARE", rare)
+    rng = random.Random(31)
+    pool = [prose(rng, rng.choice([1, 2, 5, 9, 14, 30]), 9999).replace(".", "") + rng.choice([".", "!", ""]) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        at = rng.randrange(100)
+        lines = pool[at : at + rng.randrange(1, 9)] + [prose(rng, 7, 9999) + "." for _ in range(rng.randrange(3))] + pool[rng.randrange(100) :][: rng.randrange(4)]
+        rows.append((i, "\n".join(lines)))
+    rows += [(200, rows[3][1]), (3, rows[3][1]), (201, "short copy"), (202, "short copy"), (203, None), (None, rows[7][1] + "\nmore"), (None, ""), (204, "\n".join(pool) * 20)]
+    want = brute.line_dedup(rows)
+    got = {(r.doc_id, r.before): r for r in linededup.deduplicated(frame(spark, rows).withColumn("before", F.col("text"))).collect()}
+    assert all(got[k]["__removed"] <= n for k, n in want.items())  # nothing is deleted that no pair has in common
+    removed, total = (sum(n for k, n in x.items() if k[0] != 204) for x in ({k: r["__removed"] for k, r in got.items()}, want))
+    assert removed == total if rare == 1000 else removed >= 0.97 * total
+    assert sum(n > 0 for n in want.values()) > 50
+    assert not brute.repeated_lines(rows, {k: r.text for k, r in got.items()})
+
+
 def labelled(rng, n):
     rows, labels = [], []
     for i in range(n):
