@@ -1,25 +1,29 @@
-"""Equivalence-class template deduction: tokens of same-host pages with equal occurrence vectors make the template, the rest is slots.
+"""Equivalence-class template deduction: tokens of same-host pages with equal occurrence vectors make nested classes, whose slots hold the text.
 
 1. Tokens. A page is a run of tags and texts between block tags; a token's role is its path of open block
    elements (with their classes) and, for a text, its words as well. Raw text (scripts,
    styles) and comments are one token. Inline elements don't change the path.
 2. Occurrence vectors. For each host and role, every page adds hash(page, count) to a sum:
-   roles with equal sums and page numbers have the same vector over the host's pages. Tasks add
+   roles with equal sums, page numbers and counts have the same vector over the host's pages. Tasks add
    up first, so a host with a third of all pages sends one row for each role and task.
-3. Classes. Roles of one vector are an equivalence class; a class is valid if it has two
-   roles or more on 80 % of the host's pages. Roles being paths, valid classes nest by
-   construction: a class whose paths extend another's lies in a slot of that one. Hosts with
-   fewer than 8 pages use the classes of all pages' tags instead.
-4. Extraction. The valid classes' roles are the template. Text between template tokens is in
-   slots; the main text is the text of those slots that lie inside the page's article (or main)
-   element, or, where it has none, outside all page furniture. Texts that are
-   part of the template, furniture by element or class, and reader comments are left out.
+3. Classes. Roles of one vector on 80 % of the host's pages are an equivalence class. Its slot is
+   the innermost element around all its roles; a class nests there. The class of the elements that
+   are on each page once, in order of their mean position, is the root.
+4. Slots. Texts that are in a class themselves are the same on the pages and no slot's text. The
+   main slot is the innermost container of the root that holds 70 % of the slots' text; links and
+   page furniture don't count. All text inside the main slot is kept, however often pages repeat it.
+5. A page takes its host's main slot if its tokens of the root come once each and in the root's
+   order; else the same rule picks from the page's own elements. An article (or main) element
+   around the slot, or else those within it, bound the text. Inside, furniture by element or class,
+   forms and reader comments are left out. So the number of a host's pages doesn't switch rules.
 
 Text is decoded, white space inside a block becomes one space, blocks (block elements and
-line breaks part them) join by a newline.
+line breaks part them) join by a newline. Templates are broadcast if their measured bytes are few;
+beyond, pages join them by host, and a hot host is split as a skewed join.
 
-Defined results: a null or empty html has the empty text; a null url is a host of its own; pages that
-repeat are counted as they come.
+Defined results: a null or empty html has the empty text; null urls are one host; pages that
+repeat are counted as they come; an empty table gives an empty one; a very long page is its task's
+slice alone; other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,17 +32,16 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, table
 
-#: A host deduces a template of its own from so many pages on; a role of it is on this share of them.
-LEAST_PAGES, SUPPORT = 8, 0.8
-#: Templates are broadcast up to so many hosts (of some 500 bytes each).
-MOST_BROADCAST = 50_000
+#: A class is on this share of a host's pages; the main slot holds this share of the slots' text.
+SUPPORT, MASS = 0.8, 0.7
+#: Templates are broadcast up to so many bytes, the hosts' numbers of pages up to so many hosts.
+MOST_BYTES, MOST_HOSTS = 32 << 20, 500_000
 
 # Fixed values of HTML: elements without content, of raw text, inside a line, and of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +51,11 @@ FURNITURE = frozenset("nav footer aside form head title menu dialog button selec
 #: Words of a class, id or role that mark furniture.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar side nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer notice notices cookie cookies consent gdpr comment comments commentlist disqus reply replies popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended toolbar widget".split())
 BODIES = ("article", "main")
+#: Elements of text, which are no containers of an article; headings are never furniture by class.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = HEADINGS | frozenset("p li dt dd blockquote pre figcaption caption".split())
+#: Inside an article these words mark its own heading.
+OWN = frozenset("header masthead topbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -58,31 +66,38 @@ def _names(attrs: str) -> tuple[str, ...]:
     return tuple(w for m in ATTR.finditer(attrs) for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()) if w) if attrs else ()
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], str, tuple[tuple[str, tuple[str, ...]], ...]]]:
-    """(kind, name, class words, text, open elements) of each token; kind: open, close, break or text. Text goes on over inline elements and comments."""
-    text, at = [], ()
-    for token in _tokens(page):
-        if token[0] == "text":
-            text.append(token[3])
-            at = token[4]
+Path = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, Path, int]]:
+    """(kind, name, text, open elements, characters of text outside links) of each token; kind: open, close, break or text. Text goes on over inline elements and comments."""
+    text, at, plain = [], (), 0
+    for kind, name, words, path in _tokens(page):
+        if kind == "text":
+            text.append(words)
+            at = path
+            if not name:
+                plain += len(words.strip())
             continue
         if text:
-            yield "text", "", (), "".join(text), at
+            yield "text", "", "".join(text), at, plain
             text.clear()
-        yield token
+            plain = 0
+        yield kind, name, "", path, 0
     if text:
-        yield "text", "", (), "".join(text), at
+        yield "text", "", "".join(text), at, plain
 
 
-def _tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], str, tuple[tuple[str, tuple[str, ...]], ...]]]:
+def _tokens(page: str) -> Iterator[tuple[str, str, str, Path]]:
+    """A text's name is 'a' inside a link."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     at, n = 0, len(page)
-    path = ()
+    path, link = (), ""
     while at <= n:
         m = TOKEN.search(page, at)
         begin = m.start() if m else n
         if begin > at:
-            yield "text", "", (), page[at:begin], path
+            yield "text", link, page[at:begin], path
         if not m:
             return
         at = m.end()
@@ -93,147 +108,225 @@ def _tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], str, tuple[t
             if m[3].endswith("/"):
                 continue
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            yield "open", name, (), "", path
+            yield "break", name, "", path
             at = close.end() if close else n
             continue
         if name in INLINE:
+            if name == "a":
+                link = "" if m[1] else "a"
             continue
         if name in VOID:
             if name in ("br", "hr"):
-                yield "break", name, (), "", path
+                yield "break", name, "", path
             continue
         if m[1]:
             if any(e[0] == name for e in stack):
                 while stack.pop()[0] != name:
                     pass
                 path = tuple(stack)
-            yield "close", name, (), "", path
+            yield "close", name, "", path
             continue
         if name in P_CLOSERS and stack and stack[-1][0] == "p":
             stack.pop()
         if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-        words = _names(m[3])
-        stack.append((name, words))
+        stack.append((name, _names(m[3])))
         path = tuple(stack)
-        yield "open", name, words, "", path
+        yield "open", name, "", path
 
 
 class Roles:
-    """Hashes of roles; what a path's hash is, is remembered."""
+    """Hashes of roles; what is known of a path is remembered."""
 
     def __init__(self):
         import xxhash
 
         self.hash, self.paths = xxhash.xxh64_intdigest, {}
 
-    def __call__(self, kind: str, name: str, text: str, path: tuple) -> int:
-        key = (kind, name, path)
-        base = self.paths.get(key)
-        if base is None:
+    def of(self, path: Path) -> tuple[tuple[int, ...], bool, bool]:
+        """The roles of a path's elements (outermost first), whether it is furniture, and whether its last element can hold an article."""
+        known = self.paths.get(path)
+        if known is None:
             if len(self.paths) > 100_000:
                 self.paths.clear()
-            base = self.paths[key] = self.hash("/".join([kind, name, *[".".join([e, *words]) for e, words in path]]))
-        if kind == "text":
-            base = self.hash(f"{base}#{' '.join(text.split())}")
-        return base - (1 << 63)
+            up = self.of(path[:-1])[0] if path else ()
+            if path:
+                name, words = path[-1]
+                up = (*up, self.hash("/".join([str(up[-1] if up else 0), name, *words])) - (1 << 63))
+            furniture = _furniture(path)
+            known = self.paths[path] = up, furniture, bool(path) and not furniture and not any(e[0] in TEXTUAL for e in path)
+        return known
+
+    def text(self, path: Path, text: str) -> int:
+        up = self.of(path)[0]
+        return self.hash(f"{up[-1] if up else 0}#{' '.join(text.split())}") - (1 << 63)
+
+
+def _furniture(path: Path) -> bool:
+    """Whether an element of the path is furniture; a header inside an article is part of it."""
+    inside = False
+    for name, words in path:
+        if name in FURNITURE or (name == "header" and not inside):
+            return True
+        if name not in ("html", "body", *BODIES, *HEADINGS) and not (MARKS - OWN if inside else MARKS).isdisjoint(words):
+            return True
+        inside = inside or name in BODIES
+    return False
 
 
 def host_of(url: str | None) -> str:
     return (url or "").split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
 
 
-COUNTS = "host string, role long, pages long, sum long"
+COUNTS = "host string, role long, text boolean, holds boolean, up array<long>, pages long, times long, sum long, chars long, at double"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's sums; the pages of a host are the role 0. The host '' gets the tags of all pages."""
+    """Each task's sums; the pages of a host are the role 0."""
     import xxhash
 
     roles, sums = Roles(), {}
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
 
     def flushed() -> pa.RecordBatch:
-        keys, values = list(sums), list(sums.values())
-        total = np.array([v[1] for v in values], np.uint64).view(np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array(total)], names=["host", "role", "pages", "sum"])
+        rows = [(host, role, v[0], v[1], v[2], v[3], v[4], v[5] - (1 << 64) if v[5] >> 63 else v[5], v[6], v[7]) for (host, role), v in sums.items()]
         sums.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=[c.split()[0] for c in COUNTS.split(", ")])
 
     for batch in slices(batches, "html", 8 << 20):
-        for page, url, text in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            counts, host = {}, host_of(url)
-            for kind, name, _, words, path in tokens(text or ""):
-                if kind == "text" and not words.strip():
+        for page, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            host, counts, n = host_of(url), {}, 0
+            for kind, _, words, path, plain in tokens(html or ""):
+                if kind not in ("open", "text") or (kind == "text" and not words.strip()):
                     continue
-                key = (roles(kind, name, words, path), kind != "text")
-                counts[key] = counts.get(key, 0) + 1
-            for (role, tag), n in [((0, True), 1), *counts.items()]:
-                mark = xxhash.xxh64_intdigest(f"{page}|{url}|{n}") if role else 0
-                for of in ((host, "") if tag and host else (host,)):
-                    s = sums.get((of, role))
-                    if s is None:
-                        sums[of, role] = [1, mark]
-                    else:
-                        s[0] += 1
-                        s[1] = (s[1] + mark) & 0xFFFFFFFFFFFFFFFF
+                n += 1
+                up, furniture, holds = roles.of(path)
+                role = roles.text(path, words) if kind == "text" else up[-1]
+                c = counts.get(role)
+                if c is None:
+                    c = counts[role] = [kind == "text", holds and kind == "open", up, 0, 0, n]
+                c[3] += 1
+                if kind == "text" and not furniture:
+                    c[4] += plain
+                    if up and up[-1] in counts:
+                        counts[up[-1]][4] += plain
+            if n:
+                counts[0] = [False, False, (), 1, 0, 0]
+            for role, (text, holds, up, times, chars, at) in counts.items():
+                mark = xxhash.xxh64_intdigest(f"{page}|{url}|{times}") if role else 0
+                s = sums.get((host, role))
+                if s is None:
+                    sums[host, role] = [text, holds, up, 1, times, mark, chars, at / max(n, 1)]
+                else:
+                    s[3] += 1
+                    s[4] += times
+                    s[5] = (s[5] + mark) & 0xFFFFFFFFFFFFFFFF
+                    s[6] += chars
+                    s[7] += at / max(n, 1)
             if len(sums) > 200_000:
                 yield flushed()
     yield flushed()
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, roles): each deducing host's template. The host '' stands for all."""
+def classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The roles of each host's pages with their sums, and the valid classes: (host, root, pages, times, slot, roles).
+
+    roles: structs (role, text, holds, at, up), in order of their mean position; slot: the innermost element around them all.
+    """
     counted = pages.select("page_id", "url", "html").mapInArrow(_count, COUNTS)
     # the wrapping sum of 64-bit hashes: halves are added apart, so that no sum overflows
-    halves = [F.sum(F.col("sum").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned("sum", 32)).alias("high")]
-    by_role = checkpointed(counted.groupBy("host", "role").agg(F.sum("pages").alias("pages"), *halves))
     half = F.lit(0xFFFFFFFF)
+    sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "at")] + [F.first(c).alias(c) for c in ("text", "holds", "up")]
+    by_role = checkpointed(counted.groupBy("host", "role").agg(*sums, F.sum(F.col("sum").bitwiseAND(half)).alias("low"), F.sum(F.shiftrightunsigned("sum", 32)).alias("high")))
+    total = checkpointed(by_role.filter("role = 0").select("host", F.col("pages").alias("all")))
+    total = F.broadcast(total) if total.count() <= MOST_HOSTS else total
     carried = (F.col("high") + F.shiftrightunsigned("low", 32)).bitwiseAND(half)
-    vector = F.struct("pages", F.col("low").bitwiseAND(half).alias("low"), carried.alias("high"))
-    total = by_role.filter("role = 0").select("host", F.col("pages").alias("all")).filter(F.col("all") >= LEAST_PAGES)
-    # no host that deduces has fewer pages than LEAST_PAGES, so roles of few pages go before anything is joined by host
-    frequent = by_role.filter((F.col("role") != 0) & (F.col("pages") >= LEAST_PAGES * SUPPORT)).join(total, "host").filter(F.col("pages") >= F.col("all") * SUPPORT).select("host", "role", vector.alias("vector"))
-    classes = frequent.groupBy("host", "vector").agg(F.collect_list("role").alias("roles")).filter(F.size("roles") >= 2)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("roles")).alias("roles"))
+    vector = F.struct("pages", "times", F.col("low").bitwiseAND(half).alias("low"), carried.alias("high"))
+    frequent = by_role.filter("role <> 0").join(total, "host").filter(F.col("pages") >= F.col("all") * SUPPORT)
+    by_class = frequent.groupBy("host", vector.alias("vector")).agg(F.sort_array(F.collect_list(F.struct((F.col("at") / F.col("pages")).alias("at"), "role", "text", "holds", "up"))).alias("roles"))
+    outside = F.transform("roles", lambda r: F.filter(r["up"], lambda u: u != r["role"]))
+    around = F.reduce(outside, outside[0], lambda a, b: F.filter(a, lambda u: F.array_contains(b, u)))
+    valid = by_class.filter(F.size("roles") >= 2).select("host", (F.col("vector.pages") == F.col("vector.times")).alias("root"), "vector.pages", "vector.times", F.try_element_at(around, F.lit(-1)).alias("slot"), "roles")
+    return by_role, checkpointed(valid)
 
 
-def _furniture(path: tuple) -> bool:
-    """Whether an element of the path is furniture; a header inside an article is part of it."""
-    inside = False
-    for name, words in path:
-        if name in FURNITURE or (name == "header" and not inside) or (name not in ("html", "body", *BODIES) and not MARKS.isdisjoint(words)):
-            return True
-        inside = inside or name in BODIES
-    return False
-
-
-def main_text(page: str, template: frozenset[int], roles: Roles) -> tuple[str, int]:
-    """The main text, and the number of the template's slots that it came from."""
-    blocks: list[tuple[bool, int, str]] = []  # inside an article or main, slot, text
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, main, root): the role of each host's main slot, and the roles of the root's elements in order."""
+    by_role, valid = classes(pages)
+    members = valid.select("host", "root", F.explode("roles").alias("r")).select("host", "root", "r.*")
+    own = by_role.filter(~F.col("text") & (F.col("chars") > 0)).select("host", "chars", "up", F.lit(0).alias("same"))
+    # a text of a class is no slot's text
+    constant = members.filter("text").select("host", "role").join(by_role.filter("text"), ["host", "role"]).select("host", "chars", "up", F.lit(1).alias("same"))
+    mass = own.union(constant).select("host", F.explode("up").alias("role"), "chars", "same").groupBy("host", "role").agg(
+        F.sum(F.when(F.col("same") == 0, F.col("chars")).otherwise(0)).alias("chars"), F.sum(F.when(F.col("same") == 0, F.col("chars")).otherwise(-F.col("chars"))).alias("varying")
+    )
+    held = members.filter("root AND holds AND NOT text").select("host", "role", "at", F.size("up").alias("depth")).join(mass, ["host", "role"], "left").fillna(0, ["chars", "varying"])
+    top = held.groupBy("host").agg(F.max("varying").alias("varying"), F.max("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("at", "depth", "role", F.col("varying").alias("v"), F.col("chars").alias("c")))).alias("held"))
+    enough = F.filter("held", lambda h: F.when(F.col("varying") > 0, h["v"] >= F.col("varying") * MASS).otherwise(h["c"] >= F.col("chars") * MASS))
+    main = F.try_element_at(F.array_sort(F.transform(enough, lambda h: F.struct(h["depth"], h["v"], h["role"]))), F.lit(-1))["role"]
+    return top.filter("chars > 0").select("host", main.alias("main"), F.transform("held", lambda h: h["role"]).alias("root"))
+
+
+def _own_slot(found: list, roles: Roles) -> int | None:
+    """The main slot by a page's own elements: those that come once are its root."""
+    times, mass, depth = {}, {}, {}
+    for kind, _, _, path, plain in found:
+        up, furniture, holds = roles.of(path)
+        if kind == "open" and holds:
+            times[up[-1]] = times.get(up[-1], 0) + 1
+            depth[up[-1]] = len(up)
+        elif kind == "text" and not furniture:
+            for u in up:
+                mass[u] = mass.get(u, 0) + plain
+    held = [u for u in times if times[u] == 1]
+    most = max((mass.get(u, 0) for u in held), default=0)
+    return max((u for u in held if mass.get(u, 0) >= MASS * most), key=lambda u: (depth[u], mass[u], u), default=None) if most else None
+
+
+def _bounds(paths: set[Path], main: int | None, roles: Roles) -> set[int]:
+    """The elements that bound the text: an article around the main slot, or those in it; else the same of main elements, else the slot itself."""
+    for body in BODIES:
+        around, within = set(), set()
+        for path in paths:
+            up = roles.of(path)[0]
+            outer = next((u for (name, _), u in zip(path, up, strict=True) if name == body), None)
+            if outer is not None and up[-1] == main:
+                around.add(outer)
+            elif outer is not None and (main is None or main in up):
+                within.add(outer)
+        if around or within:
+            return around or within
+    return set() if main is None else {main}
+
+
+def main_text(page: str, main: int | None, root: tuple[int, ...], roles: Roles) -> tuple[str, int]:
+    """The main text, and the number of slots that it came from: slots lie between the tokens of the root."""
+    found = list(tokens(page))
+    order = {r: i for i, r in enumerate(root)}
+    opened = [roles.of(path)[0][-1] for kind, _, _, path, _ in found if kind == "open"]
+    met = [order[r] for r in opened if r in order]
+    if main not in opened or any(a >= b for a, b in zip(met, met[1:])):
+        main = _own_slot(found, roles)
+    bounds = _bounds({path for kind, _, _, path, _ in found if kind == "open"}, main, roles)
+    blocks: list[tuple[int, str]] = []
     buffer: list[str] = []
-    slot, state, body = 0, (False, False), False
-    known: dict[tuple, tuple[bool, bool]] = {}
+    slot = 0
 
     def closed() -> None:
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            blocks.append((state[1], slot, text))
+            blocks.append((slot, text))
 
-    for kind, name, _, text, path in tokens(page):
+    for kind, _, text, path, _ in found:
+        up, furniture, _ = roles.of(path)
         if kind != "text":
             closed()
-            body = body or (kind == "open" and name in BODIES)
-            slot += roles(kind, name, "", path) in template
-            continue
-        if path not in known:
-            known[path] = (_furniture(path), any(e[0] in BODIES for e in path))
-        state = known[path]
-        if not state[0] and not (text.strip() and roles("text", "", text, path) in template):
+            slot += kind == "open" and up[-1] in order
+        elif not furniture and (not bounds or not bounds.isdisjoint(up)):
             buffer.append(text)
     closed()
-    kept = [b for b in blocks if b[0] or not body]
-    return "\n".join(b[2] for b in kept), len({b[1] for b in kept})
+    return "\n".join(text for _, text in blocks), len({s for s, _ in blocks})
 
 
 TEXTS = "page_id long, url string, text string, slots long"
@@ -243,14 +336,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roles, cache = Roles(), {}
     for batch in slices(batches, "html", 8 << 20):
         texts, counts = [], []
-        template = batch["roles"]
+        main, root = batch["main"], batch["root"]
         for i, (url, page) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)):
             host = host_of(url)
             if host not in cache:
                 if len(cache) > 10_000:
                     cache.clear()
-                cache[host] = frozenset(template[i].as_py() or ())
-            text, n = main_text(page or "", cache[host], roles)
+                cache[host] = main[i].as_py(), tuple(root[i].as_py() or ())
+            text, n = main_text(page or "", *cache[host], roles)
             texts.append(text)
             counts.append(n)
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "slots"])
@@ -259,14 +352,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page row: page_id, url, text, slots."""
     deduced = checkpointed(templates(pages))
-    few = deduced.count() <= MOST_BROADCAST
-    everyone = deduced.filter("host = ''").select(F.col("roles").alias("e_roles"))  # one row at most
-    own = deduced.filter("host <> ''").withColumnRenamed("host", "of")
+    size = deduced.agg(F.coalesce(F.sum(64 + F.length("host") + 8 * F.size("root")), F.lit(0))).first()[0]
+    own = deduced.withColumnRenamed("host", "of")
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^.*?://", "")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"))
-    p = p.join(F.broadcast(own) if few else own, F.col("host") == F.col("of"), "left").join(F.broadcast(everyone), F.lit(True), "left")
-    p = p.select("page_id", "url", "html", F.coalesce("roles", "e_roles").alias("roles"))
-    return p.mapInArrow(_extract, TEXTS)
+    p = p.join(F.broadcast(own) if size <= MOST_BYTES else own, F.col("host") == F.col("of"), "left")
+    return p.select("page_id", "url", "html", "main", "root").mapInArrow(_extract, TEXTS)
 
 
 ORACLE = r"""

@@ -404,19 +404,59 @@ PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><script>var t="</p><art
 space {i}</p><form>Name <input></form><div class="ad">Buy</div><ul><li>item {i}</ul><p>Share this page</p></article></main><div id="comments"><p>reader {i}</p></div><!-- <p>no</p> --><footer>&copy; x</footer></body></html>"""
 
 
+PLAIN = """<html><body><div class="q1"><a href="/">Home</a> <a href="/x">News</a></div><div class="q2"><h2>Title {i}</h2><p>First {i} {body}</p><p>Correspondence to the editor at the usual place.</p>
+<div class="z"><p>Nested {i} words</p></div></div><div class="q3">Printed on paper by the usual printer {j}</div></body></html>"""
+PAGES = "page_id long, url string, html string"
+
+
+def extracted(spark, pages, schema=PAGES):
+    return {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, schema)).collect()}
+
+
 def test_extraction(spark):
     pages = [(i, f"http://a.example/p/{i}?x", PAGE.format(i=i)) for i in range(12)] + [(50, "http://b.example/", PAGE.format(i=50)), (51, None, None), (52, "u", ""), (53, "http://c.example/x", "plain &lt;text&gt;"), (3, "http://a.example/p/3?x", PAGE.format(i=3))]
-    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Head 3\nOne & two 3\nthree bold 3\nunclosed white space 3\nitem 3"  # what all pages of the host share is template
-    assert got[50].startswith("Head 50\nOne & two 50\nthree bold 50\nunclosed white space 50\nitem 50") and "reader" not in got[50] and "cookies" not in got[50]
-    assert got[51] == "" and got[52] == "" and got[53] == "plain <text>"
-    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    pages.append((54, "http://d.example/", "<article>" + "<p>long &amp; longer</p>" * 20_000 + "</article>"))
+    more = [(*p, "x", 1, True) for p in pages]  # columns that have the names of the operator's own
+    got = extracted(spark, more, PAGES + ", host string, role long, main boolean")
+    for i in (3, 50):
+        assert got[i] == f"Head {i}\nOne & two {i}\nthree bold {i}\nunclosed white space {i}\nitem {i}\nShare this page"
+    assert got[51] == "" and got[52] == "" and got[53] == "plain <text>" and got[54] == "\n".join(["long & longer"] * 20_000)
+    assert extracted(spark, []) == {}
+
+
+def test_extraction_of_a_page_does_not_depend_on_its_host(spark):
+    """Pages with and without an article element, on hosts of 1 to 200 pages, some with ten copies of one article."""
+    pages, want, body = [], {}, "plain words of a story " * 12
+    for host, n in enumerate((1, 7, 8, 200)):
+        for i in range(n):
+            for kind, html in (("plain", PLAIN.format(i=i, body=body, j=i % 3)), ("article", f"<nav>Menu</nav><article class='post'><h1 class='entry-header'>T {i}</h1><p>{body} {i}</p><p>Same on all pages.</p></article><footer>f</footer>")):
+                pages.append((len(pages), f"https://{kind}{host}.example/{i}", html))
+                want[len(pages) - 1] = f"Title {i}\nFirst {i} {body.strip()}\nCorrespondence to the editor at the usual place.\nNested {i} words" if kind == "plain" else f"T {i}\n{body.strip()} {i}\nSame on all pages."
+    for i in range(10):
+        pages.append((len(pages), f"https://copies.example/{i}", PLAIN.format(i=5, body=body, j=1)))
+        want[len(pages) - 1] = f"Title 5\nFirst 5 {body.strip()}\nCorrespondence to the editor at the usual place.\nNested 5 words"
+    assert extracted(spark, pages) == want
+
+
+def test_template_picks_the_main_slot(spark):
+    """Pages whose own text would mislead: the article is short and a constant notice long. The host's classes tell them apart."""
+    notice = "Terms of this site in many words that never change. " * 6
+    pages = [(i, f"http://a.example/{i}", f"<body><div class='k1'><h2>T{i}</h2><p>{'own words here ' * (1 if i == 4 else 40)}{i}</p></div><div class='k2'><div>{notice}</div></div></body>") for i in range(12)]
+    got = extracted(spark, pages)
+    assert got[4] == "T4\nown words here 4" and all("Terms" not in t for t in got.values())
 
 
 def test_template_classes(spark):
-    pages = spark.createDataFrame([(i, "http://a.example/", PAGE.format(i=i)) for i in range(10)], "page_id long, url string, html string")
-    t = {r.host: r for r in htmltext.templates(pages).collect()}
-    assert set(t) == {"", "a.example"} and len(set(t["a.example"].roles)) > 20
+    pages = spark.createDataFrame([(i, "http://a.example/", PLAIN.format(i=i, body="b", j=i)) for i in range(10)], PAGES)
+    _, valid = htmltext.classes(pages)
+    rows = valid.collect()
+    root = [r for r in rows if r.root and r.times == r.pages]
+    assert len(root) == 1 and [r.text for r in root[0].roles].count(True) == 2  # the menu and the constant paragraph
+    nested = [r for r in rows if not r.root]
+    at = {r.role: r.up for r in root[0].roles}
+    assert all(r.slot in at for r in nested) and all(r.slot in m.up for r in rows if r.slot for m in r.roles)
+    (t,) = htmltext.templates(pages).collect()
+    assert t.main in t.root and [at[r] for r in t.root] == sorted((at[r] for r in t.root), key=lambda up: t.root.index(up[-1]))
 
 
 def test_pipeline(spark, tmp_path):
