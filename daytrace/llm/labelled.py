@@ -6,18 +6,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What the driver holds of a draw: at most so many rows of all labels together, none with a longer text (in bytes).
+MOST_ROWS, MOST_BYTES = 8_000, 1 << 18
+
 
 def _picked(marks: DataFrame, most: int) -> DataFrame | None:
     """About `most` rows of each label of (doc_id, label), by the hash of doc_id; None if there are no rows."""
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}  # one row for each label
     if not counts:
         return None
+    most = min(most, MOST_ROWS // len(counts))
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, most / n))])
     return marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
 
 
 def _rows(part: DataFrame) -> tuple[list[bytes], list]:
     """In an order that doesn't depend on the run; null ids last."""
+    part = part.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["label"], r["text"] or "") for r in part.select("doc_id", "label", "text").collect())
     return [t.encode() for *_, t in got], [y for _, _, y, _ in got]
 

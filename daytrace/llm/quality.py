@@ -1,7 +1,7 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged per document, softmax.
 
-Features of a text: each word, its byte n-grams of 3 and 4 with word boundaries, and one
-feature for each repetition of the word before (a word bigram of equal words). The vectors
+Features of a text: each word, its byte n-grams of 3 and 4 with word boundaries, and each
+word bigram (all bigrams of two equal words are one feature). The vectors
 and the softmax are trained by minibatch stochastic gradient descent with AdaGrad steps in
 numpy, on a sample of at most `most` labelled rows of each label.
 
@@ -25,8 +25,14 @@ from .common import Ids, as_bytes, fold, slices, table
 from .labelled import ngrams, sample
 
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (3, 4)
-#: The row after the buckets is the repeated word.
-REPEAT = BUCKETS
+
+
+def bigrams(whole: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The bucket of each pair of neighbours, whatever the word for a pair of equal ones; whole: the words' buckets, w: the text's words."""
+    with np.errstate(over="ignore"):
+        pair = (whole[w[:-1]].astype(np.uint64) << np.uint64(17)) + whole[w[1:]].astype(np.uint64) + np.uint64(1)
+        pair[w[:-1] == w[1:]] = 0
+        return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
 class Model:
@@ -44,8 +50,7 @@ class Model:
         out = np.full(len(texts), self.bias)
         for i, w in enumerate(words):
             if len(w):
-                same = int(np.count_nonzero(w[1:] == w[:-1]))
-                out[i] += (total[w].sum() + same * self.value[REPEAT]) / (count[w].sum() + same)
+                out[i] += (total[w].sum() + self.value[bigrams(whole, w)].sum()) / (count[w].sum() + len(w) - 1)
         return out
 
 
@@ -60,9 +65,9 @@ def _features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             continue
         owner, bucket, whole = ngrams(list(ids), SIZES, BUCKETS)
         times = np.bincount(w)
-        same = np.count_nonzero(w[1:] == w[:-1])
-        f, where = np.unique(np.concatenate([bucket, whole, [REPEAT]]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([times[owner], times, [same]]))
+        pairs = bigrams(whole, w)
+        f, where = np.unique(np.concatenate([bucket, whole, pairs]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([times[owner], times, np.ones(len(pairs))]))
         out.append((f, n / n.sum()))
     return out
 
@@ -71,12 +76,12 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 8, batch: int = 1
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
-        return Model(np.zeros(BUCKETS + 1), float(np.log(p / (1 - p))))
+        return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     rows = _features(texts)
-    e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS + 1, WIDTH))
+    e = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     out, bias = np.zeros((2, WIDTH)), np.zeros(2)
-    e2, out2, bias2 = np.full((BUCKETS + 1, 1), 1e-8), np.full((2, WIDTH), 1e-8), np.full(2, 1e-8)
+    e2, out2, bias2 = np.full((BUCKETS, 1), 1e-8), np.full((2, WIDTH), 1e-8), np.full(2, 1e-8)
     for _ in range(rounds):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
