@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -133,3 +135,63 @@ def repeated_lines(rows, left):
         for r in runs(lines(text)):
             seen.setdefault(r, d)
     return out
+
+
+def quality_logit(model, text):
+    """The mean of the values of all features of a text, one by one."""
+    from daytrace.llm import quality
+    from daytrace.llm.labelled import ngrams
+
+    values, w = [], text.split()
+    for k, word in enumerate(w):
+        _, bucket, whole = ngrams([word], quality.SIZES, quality.BUCKETS)
+        values += [model.value[b] for b in (*bucket, *whole)]
+        if k:
+            pair = [0, 0] if word == w[k - 1] else [0, 1]
+            both = np.array([ngrams([x], quality.SIZES, quality.BUCKETS)[2][0] for x in (w[k - 1], word)])
+            values.append(model.value[quality.bigrams(both, np.array(pair))[0]])
+    return model.bias + (sum(values) / len(values) if values else 0.0)
+
+
+def toxic_logit(net, text):
+    """The strongest window's logit before the curve: one window, one word, one gate at a time."""
+    from daytrace.llm import toxicity as t
+    from daytrace.llm.labelled import ngrams
+
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, best, x = t.STATE, -np.inf, []
+    for word in text.lower().split():
+        _, bucket, whole = ngrams([word], t.SIZES, t.CHAR_BUCKETS)
+        chars = net.chars[bucket].mean(0) if len(bucket) else np.zeros(t.CHAR_WIDTH)
+        x.append(np.concatenate([net.words[whole[0] % t.WORD_BUCKETS], chars]).astype(float))
+    for at in range(0, max(len(x) - t.WINDOW + t.STEP, 1) if x else 0, t.STEP):
+        window, states = x[at : at + t.WINDOW], []
+        for way in "fb":
+            h, row = np.zeros(n), []
+            for v in window if way == "f" else window[::-1]:
+                g, a = v @ net.p["w" + way] + net.p["c" + way], h @ net.p["u" + way]
+                z, r = sigmoid(g[:n] + a[:n]), sigmoid(g[n : 2 * n] + a[n : 2 * n])
+                h = h + z * (np.tanh(g[2 * n :] + r * a[2 * n :]) - h)
+                row.append(h)
+            states.append(row if way == "f" else row[::-1])
+        s = np.concatenate([np.array(states[0]), np.array(states[1])], 1)
+        alpha = np.exp(s @ net.p["att"])
+        best = max(best, float((alpha / alpha.sum()) @ s @ net.p["out"] + net.p["bias"][0]))
+    return best
+
+
+def language(net, text):
+    """(language, probability) by running each filter over each window's bytes."""
+    from daytrace.llm import langid
+
+    total, weight = np.zeros(len(net.languages)), 0
+    for at in range(0, max(len(text) - langid.WINDOW + langid.STEP, 1), langid.STEP):
+        b = text[at : at + langid.WINDOW]
+        e = net.embed[np.frombuffer(b.ljust(langid.WINDOW, b"\0"), np.uint8)].astype(float)
+        h = [max(0.0, max(float(sum(e[i + j] @ net.filters[w][j][:, f] for j in range(w))) for i in range(langid.WINDOW - w + 1))) for w in langid.WIDTHS for f in range(langid.FILTERS)]
+        z = np.array(h) @ net.out + net.bias
+        p = np.exp(z - z.max())
+        total += p / p.sum() * len(b)
+        weight += len(b)
+    k = int(total.argmax())
+    return net.languages[k], total[k] / weight
