@@ -22,14 +22,18 @@ def from_records(records: DataFrame) -> DataFrame:
     )
 
 
-def from_events(events: DataFrame, pages: DataFrame) -> DataFrame:
+def from_events(events: DataFrame, pages: DataFrame | None) -> DataFrame:
     """The given tables as activity: four streams of some three apps; a purchase shows a page, an error locks, a signup is private.
 
     A purchase meets its page by rank: pages are numbered 0, 1, ... by page_id there, so the join is an equi-join on event_id modulo their count.
+    Other events get keys of their own that no page has, so that they are dealt evenly. Without pages there is no url and no join.
     """
-    n_pages = pages.agg(F.count("*").alias("n_pages"))  # one row
-    e = events.crossJoin(F.broadcast(n_pages)).withColumn("page", F.when(F.col("event_type") == "purchase", F.pmod("event_id", F.greatest("n_pages", F.lit(1)))))
-    e = e.join(pages.select(F.col("page_id").alias("page"), "url"), "page", "left")
+    if pages is None:
+        e = events.withColumn("url", F.lit(None).cast("string"))
+    else:
+        n_pages = pages.agg(F.count("*").alias("n_pages"))  # one row
+        page = F.when(F.col("event_type") == "purchase", F.pmod("event_id", F.greatest("n_pages", F.lit(1)))).otherwise(-1 - F.abs("event_id"))
+        e = events.crossJoin(F.broadcast(n_pages)).withColumn("page", page).join(pages.select(F.col("page_id").alias("page"), "url"), "page", "left")
     k = F.get_json_object("props", "$.k").cast("long")
     ts = F.date_trunc("millisecond", F.col("ts").cast("timestamp"))
     kind = F.create_map(*[F.lit(x) for pair in (("view", "applicationActivated"), ("click", "windowChanged"), ("purchase", "urlChanged"), ("signup", "privacyBoundary"), ("error", "sessionLocked")) for x in pair])
@@ -41,5 +45,6 @@ def from_events(events: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+def activity(spark: SparkSession, sf_dir: str, urls: bool = True) -> DataFrame:
+    """Without urls where a query reads none: the pages aren't joined then."""
+    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet") if urls else None)

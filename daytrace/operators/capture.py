@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.textfn import file_stem, title_is_private
+from ..functions.textfn import file_stem, title_is_private, token_digest
 from ..schema import EMITTED_KINDS, KINDS
 
 # Programs that are never recorded, and shell surfaces.
@@ -57,11 +60,34 @@ def without_repeats(rows: DataFrame, *what: str) -> DataFrame:
     return rows.withColumn("__same", same & F.lag("seq").over(order).isNotNull()).filter("NOT __same").drop("__same")
 
 
-def throttled(rows: DataFrame, what: str, every_ms: int = 30_000) -> DataFrame:
-    """Re-reads of the same window less than `every_ms` after the row before it are left out (the clock starts at each row, a stateless approximation)."""
-    order = W.partitionBy("stream", what).orderBy("seq")
-    gap = F.unix_millis("ts") - F.lag(F.unix_millis("ts")).over(order)
-    return rows.withColumn("__gap", gap).filter("__gap IS NULL OR __gap >= " + str(every_ms)).drop("__gap")
+def throttled(rows: DataFrame, window: str, lines: str, every_ms: int = 30_000) -> DataFrame:
+    """The reads that happen: a window isn't read again within `every_ms` of the last read of more than one line, if that was of this window.
+
+    window and lines name columns; rows are (stream, seq, ts, ...). What follows `every_ms` of silence
+    in a stream depends on nothing before it, so streams are cut there, and the cuts are dealt
+    over tasks; the clock runs through the rows of each in order.
+    """
+    order = W.partitionBy("stream").orderBy("seq")
+    ms = F.unix_millis("ts")
+    cut = F.coalesce(ms - F.max(ms).over(order.rowsBetween(W.unboundedPreceding, -1)) >= every_ms, F.lit(True))
+    parts = rows.withColumn("__ms", ms).withColumn("__cut", cut.cast("long")).withColumn("__part", F.sum("__cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    parts = parts.select("stream", "seq", "__part", "__ms", F.col(window).cast("string").alias("__window"), F.col(lines).cast("long").alias("__lines")).repartition("stream", "__part").sortWithinPartitions("stream", "__part", "seq")
+
+    def reads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last, at = None, None, 0
+        for pdf in batches:
+            keep = []
+            for stream, number, window_, t, n in zip(pdf["stream"], pdf["__part"], pdf["__window"], pdf["__ms"], pdf["__lines"], strict=True):
+                if (stream, number) != part:
+                    part, last = (stream, number), None
+                due = last is None or last != (window_,) or t - at >= every_ms
+                if due and n > 1:
+                    last, at = (window_,), t
+                keep.append(due)
+            yield pdf.loc[keep, ["stream", "seq"]]
+
+    kept = parts.mapInPandas(reads, rows.select("stream", "seq").schema)
+    return rows.join(kept, ["stream", "seq"], "left_semi")
 
 
 def privacy(browser: Column, title: Column, names: Column) -> Column:
@@ -75,3 +101,24 @@ def masked(rows: DataFrame) -> DataFrame:
     private, open_ = F.col("privacy") == "private", (F.col("privacy") == "recordable") & ~F.coalesce("sensitive", F.lit(False))
     hide = {c: F.when(open_, F.col(c)).alias(c) for c in ("title", "url", "doc_path", "doc_title", "visible_text") if c in rows.columns}
     return rows.select(*[F.when(private, "privacyBoundary").otherwise(F.col("kind")).alias("kind") if c == "kind" else hide.get(c, F.col(c)) for c in rows.columns])
+
+
+# Control kinds of windows by their roles. Furniture passes to what these containers hold.
+FURNITURE_SUBTREES = ("toolbar", "menubar", "menu", "titlebar", "statusbar")
+FURNITURE_CONTROLS = (
+    "button", "splitbutton", "menuitem", "checkbox", "radiobutton", "combobox", "scrollbar", "slider", "spinner", "thumb", "progressbar", "tooltip", "separator", "header", "headeritem", "image", "window", "pane",
+)
+WRITING_CONTROLS = ("text", "document", "edit")
+WRITING, CONTENT, FURNITURE = 0, 1, 2
+
+
+def surface(kind: Column, containers: Column) -> Column:
+    """0 writing, 1 content, 2 furniture, by a control's kind and the kinds of those around it (an array, perhaps null)."""
+    held = F.coalesce(F.exists(containers, lambda c: F.lower(c).isin(*FURNITURE_SUBTREES)), F.lit(False))
+    low = F.lower(kind)
+    return F.when(held | low.isin(*FURNITURE_SUBTREES, *FURNITURE_CONTROLS), FURNITURE).when(low.isin(*WRITING_CONTROLS), WRITING).otherwise(CONTENT)
+
+
+def accepted(presented: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of presented (token, ...) whose digest is among those stored (hash)."""
+    return presented.withColumn("__hash", token_digest(F.col("token"))).join(stored.select(F.col("hash").alias("__hash")).distinct(), "__hash", "left_semi").drop("__hash")

@@ -6,7 +6,7 @@ The index is two tables, written by date: `postings` (term, id, date) and `index
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.textfn import tokenize, tokenize_url
@@ -36,23 +36,14 @@ def cardinalities(postings_: DataFrame, indexed_: DataFrame) -> DataFrame:
     return indexed_.agg(F.count("*").alias("episodes")).crossJoin(postings_.agg(F.countDistinct("term").alias("terms")))  # one row each
 
 
-def query_terms(query: str) -> list[str]:
-    """The query's words as tokenize() splits them."""
-    out: list[str] = []
-    word = ""
-    for c in query + " ":
-        if c.isalnum():
-            word += c
-            continue
-        if len(word) >= 2 and (not out or out[-1] != word.lower()):
-            out.append(word.lower())
-        word = ""
-    return out
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The query's words: the index's own expression splits them."""
+    return list(spark.range(1).select(tokenize(F.lit(query)).alias("terms")).first()[0])
 
 
 def search(postings_: DataFrame, indexed_: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Episodes that hold a word with each of the query's words as its prefix, the latest first; none for an empty query."""
-    terms = query_terms(query)
+    terms = query_terms(postings_.sparkSession, query)
     distinct = sorted(set(terms))
     hit = F.lit(False)
     for t in distinct:

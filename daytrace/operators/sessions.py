@@ -2,12 +2,13 @@
 
 An episode is a run of window events of one (app, private) in a stream's day, ended by
 another app or privacy, by an away event of any app, or by more than 15 minutes of silence.
-Order is the order of the log (seq), not of time.
+Order is the order of the log (seq), not of time; times may run backwards, and a silence is
+measured from the latest time seen in the open episode.
 
-`episodes` shares one exchange and one sort by (stream, date, seq) between all its window
-functions. It assumes that time doesn't run backwards within a day; `episodes_exact` takes
-any order by a fold over each day's rows, and `sessionise` picks the fold for just those days
-that need it.
+No fold is needed for that: within a run of rows of one app and privacy, silence ends an episode
+only where a time is beyond all before it, so the latest time of the episode is the running
+maximum of the run. One exchange and one sort by (stream, date, seq) serve all windows; nothing
+of a day is gathered.
 """
 
 from __future__ import annotations
@@ -48,17 +49,28 @@ def relevant(activity: DataFrame) -> DataFrame:
 
 
 def marked(activity: DataFrame) -> DataFrame:
-    """Window rows with their episode number, credit and the time of the next row."""
+    """Window rows with their episode number, credit and the time until which they count."""
     order = W.partitionBy(*KEY).orderBy("seq")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
     r = relevant(activity)
-    before = {c: F.lag(c).over(order) for c in ("away", "private", "app", "ms")}
-    starts = ~F.col("away") & (before["ms"].isNull() | before["away"] | (F.col("ms") - before["ms"] > IDLE_MS) | (before["app"] != F.col("app")) | (before["private"] != F.col("private")))
-    r = r.withColumn("starts", starts.cast("long")).withColumn("next_ms", F.lead("ms").over(order)).withColumn("next_away", F.lead("away").over(order))
-    r = r.withColumn("ep", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    gap = F.col("next_ms") - F.col("ms")
+    before = {c: F.lag(c).over(order) for c in ("away", "private", "app")}
+    other = before["away"].isNull() | before["away"] | F.col("away") | (before["app"] != F.col("app")) | (before["private"] != F.col("private"))
+    r = r.withColumn("other", other).withColumn("next_ms", F.lead("ms").over(order)).withColumn("next_away", F.lead("away").over(order))
+    r = r.withColumn("run", F.sum(F.col("other").cast("long")).over(upto))
+    # the latest time of the run so far: runs are numbered in order, so the largest (run, ms) is of this run
+    r = r.withColumn("last", F.max(F.struct("run", "ms")).over(upto)["ms"])
+    silent = F.coalesce(F.col("ms") - F.lag("last").over(order) > IDLE_MS, F.lit(False))
+    r = r.withColumn("ep", F.sum((~F.col("away") & (F.col("other") | silent)).cast("long")).over(upto))
+    gap = F.col("next_ms") - F.col("last")
     idle = F.col("next_ms").isNull() | (~F.col("next_away") & (gap > IDLE_MS))
-    r = r.withColumn("credit", F.when(idle, F.lit(0)).otherwise(credited(gap))).withColumn("until", F.when(idle, F.col("ms")).otherwise(F.col("next_ms")))
-    return r.filter(~F.col("away"))
+    r = r.withColumn("credit", F.when(idle, F.lit(0)).otherwise(credited(gap))).withColumn("until", F.when(idle, F.col("last")).otherwise(F.col("next_ms")))
+    return r.filter(~F.col("away")).drop("other", "run", "last")
+
+
+def _bounds() -> list[Column]:
+    """Aggregates of an episode's rows; its end is never before its start."""
+    start = F.min_by("ms", "seq")
+    return [F.min_by("app", "seq").alias("app"), F.first("private").alias("is_private"), start.alias("start_ms"), F.greatest(F.max_by("until", "seq"), start).alias("end_ms"), F.sum("credit").alias("active_ms"), F.count("*").alias("event_count")]
 
 
 def _ordered(values: Column, most: int | None = None) -> Column:
@@ -81,15 +93,14 @@ def _with_holds(rows: DataFrame) -> DataFrame:
 
 
 def episodes(activity: DataFrame) -> DataFrame:
-    """Episodes of days whose rows are in order of time."""
+    """Episodes with their lists, titles and text."""
     rows = _with_holds(marked(activity))
     open_ = ~F.col("private")
     rank = F.when(F.col("current").isNotNull(), F.struct("held", F.col("first_seq") if TIES_GO_LAST else -F.col("first_seq")))
     item = lambda c, ok: F.struct("seq", F.when(open_ & ok, F.col(c)).alias("v"))
     texts = F.filter(F.array_sort(F.collect_list(F.struct("seq", F.when(open_, F.col("visible_text")).alias("v")))), lambda x: x["v"].isNotNull())
     e = rows.groupBy(*KEY, "ep").agg(
-        F.max_by("current", rank).alias("title"), F.min_by("app", "seq").alias("app"), F.min_by("app_path", "seq").alias("app_path"), F.first("private").alias("is_private"), F.min_by("ms", "seq").alias("start_ms"), F.max_by("until", "seq").alias("end_ms"),
-        F.sum("credit").alias("active_ms"), F.count("*").alias("event_count"), _ordered(item("title", F.trim("title") != "")).alias("titles"), _ordered(item("url", F.lit(True))).alias("urls"),
+        *_bounds(), F.max_by("current", rank).alias("title"), F.min_by("app_path", "seq").alias("app_path"), _ordered(item("title", F.trim("title") != "")).alias("titles"), _ordered(item("url", F.lit(True))).alias("urls"),
         _ordered(item("document", F.lit(True)), MAX_DOCUMENTS).alias("documents"), F.slice(F.array_distinct(F.flatten(F.transform(texts, lambda x: x["v"]))), 1, MAX_TEXT).alias("visible_text"),
     )
     return _finished(e)
@@ -105,60 +116,16 @@ def _finished(e: DataFrame) -> DataFrame:
 
 def core(activity: DataFrame) -> DataFrame:
     """Episodes without lists and titles: no collected arrays, for rollups of time alone."""
-    e = marked(activity).groupBy(*KEY, "ep").agg(
-        F.min_by("app", "seq").alias("app"), F.first("private").alias("is_private"), F.min_by("ms", "seq").alias("start_ms"), F.max_by("until", "seq").alias("end_ms"), F.sum("credit").alias("active_ms"), F.count("*").alias("event_count")
-    )
+    e = marked(activity).groupBy(*KEY, "ep").agg(*_bounds())
     return e.select("stream", "date", F.concat("date", F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private")
 
 
-_ROW = "struct<ms:bigint,away:boolean,private:boolean,app:string>"
-
-
 def out_of_order_days(activity: DataFrame) -> DataFrame:
     """(stream, date) of days in which a row's time is before that of the row before."""
     back = F.lag("ms").over(W.partitionBy(*KEY).orderBy("seq")) > F.col("ms")
     return relevant(activity).select(*KEY, back.alias("back")).filter("back").select("stream", F.to_date("date").alias("date")).distinct()
 
 
-def episodes_exact(activity: DataFrame) -> DataFrame:
-    """(stream, date, id, app, is_private, start_ms, end_ms, duration_ms, active_ms, event_count) for rows in any order of time.
-
-    A fold over each day's rows in the order of the log: the silence is measured from the latest
-    time seen in the episode, which never moves back. A day's rows are one array; that is its bound.
-    """
-    rows = relevant(activity).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "ms", "away", "private", "app"))).alias("rows"))
-    episode = "struct<app:string,private:boolean,start:bigint,last:bigint,active:bigint,n:bigint>"
-    closed = "array<struct<app:string,private:boolean,start:bigint,end:bigint,active:bigint,n:bigint>>"
-    zero = F.struct(F.lit(None).cast(episode).alias("open"), F.array().cast(closed).alias("done"))
-
-    def close(o: Column, at: Column) -> Column:
-        end = F.greatest(at, o["start"])
-        return F.struct(o["app"].alias("app"), o["private"].alias("private"), o["start"].alias("start"), end.alias("end"), (o["active"] + credited(end - o["last"])).alias("active"), o["n"].alias("n"))
-
-    def step(acc: Column, r: Column) -> Column:
-        o, done = acc["open"], acc["done"]
-        idle = ~r["away"] & (r["ms"] - o["last"] > IDLE_MS)
-        stays = ~r["away"] & ~idle & (o["app"] == r["app"]) & (o["private"] == r["private"])
-        fresh = F.struct(r["app"].alias("app"), r["private"].alias("private"), r["ms"].alias("start"), r["ms"].alias("last"), F.lit(0).cast("long").alias("active"), F.lit(1).cast("long").alias("n"))
-        grown = F.struct(o["app"].alias("app"), o["private"].alias("private"), o["start"].alias("start"), F.greatest(o["last"], r["ms"]).alias("last"), (o["active"] + credited(r["ms"] - o["last"])).alias("active"), (o["n"] + 1).alias("n"))
-        ended = F.concat(done, F.array(close(o, F.when(idle, o["last"]).otherwise(r["ms"])))).cast(closed)
-        next_open = F.when(r["away"], F.lit(None).cast(episode)).when(o.isNotNull() & stays, grown.cast(episode)).otherwise(fresh.cast(episode))
-        return F.struct(next_open.alias("open"), F.when(o.isNotNull() & ~F.coalesce(stays, F.lit(False)), ended).otherwise(done).alias("done"))
-
-    def finish(acc: Column) -> Column:
-        o = acc["open"]
-        return F.when(o.isNotNull(), F.concat(acc["done"], F.array(close(o, o["last"]))).cast(closed)).otherwise(acc["done"])
-
-    e = rows.select(*KEY, F.explode(F.aggregate("rows", zero, step, finish)).alias("e"))
-    return e.select("stream", "date", F.concat("date", F.lit("#"), F.col("e.start").cast("string")).alias("id"), "e.app", F.col("e.start").alias("start_ms"), F.col("e.end").alias("end_ms"), (F.col("e.end") - F.col("e.start")).alias("duration_ms"), F.col("e.active").alias("active_ms"), F.col("e.n").alias("event_count"), F.col("e.private").alias("is_private"))
-
-
-def sessionise(activity: DataFrame) -> DataFrame:
-    """core() with the fold in place of the windows on the days that are out of order."""
-    days = out_of_order_days(activity)
-    return core(activity.join(days, list(KEY), "left_anti")).unionByName(episodes_exact(activity.join(days, list(KEY), "left_semi")))
-
-
 def gap_sessions(activity: DataFrame, gap: str = "15 minutes") -> DataFrame:
     """Sessions by silence alone: (stream, start_ms, end_ms, events). The end is the last event's time; a gap of exactly 15 minutes merges."""
     s = activity.filter(F.col("ts").isNotNull()).groupBy("stream", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.max("ts").alias("last"))

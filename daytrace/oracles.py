@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import narrative
-from .queries import QUESTION
+# The wording that prompts must have, stated here so that a change of it there shows.
+_ASK_HOUR = "Describe in two or three sentences what these entries show was worked on."
+_ASK_DAY = "Write four paragraphs about the day: its subjects, where attention held and broke, its course, and a conclusion."
+_ASK_CHAT = "Answer from the log above alone; where it says nothing, say that."
+_HOUR_TOKENS, _DAY_TOKENS, _CHAT_TOKENS = 300, 1200, 800
+_QUESTION = "What took the longest?"
 
 _ACT = r"""
 act AS (
@@ -159,6 +163,7 @@ sh AS (SELECT doc_id, seq, line, c, CASE WHEN length(c) < 2 OR """
 rd AS (SELECT doc_id, seq, line, c, CASE WHEN length(masked) > 120 THEN substr(masked, 1, 119) || '…' ELSE masked END AS shown FROM sh)"""
 )
 
+_PAGE_TITLE = "regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1)"
 ORACLES: dict[str, str] = {
     "flagship_app_minutes": _with(_ROWS, "SELECT *, active_ms // 60000 AS minutes, CAST(row_number() OVER (PARTITION BY date ORDER BY active_ms DESC, app) AS INTEGER) AS rank FROM (SELECT date, app, CAST(sum(active_ms) AS BIGINT) AS active_ms FROM e GROUP BY ALL)"),
     "day_stats": _with(_ACT, "SELECT CAST(date AS VARCHAR) AS date, count(*) AS events, arg_max(ms, seq) AS last_ms FROM act GROUP BY ALL"),
@@ -168,15 +173,17 @@ ORACLES: dict[str, str] = {
     "dedup_consecutive": _with(_ACT, "SELECT stream, seq, app, title FROM act WINDOW w AS (PARTITION BY stream ORDER BY seq) QUALIFY row_number() OVER w = 1 OR lag(app) OVER w IS DISTINCT FROM app OR lag(title) OVER w IS DISTINCT FROM title"),
     "excluded_apps_anti": _with(_ACT, "SELECT stream, app, count(*) AS n FROM act WHERE app NOT LIKE '%1' GROUP BY ALL"),
     "excluded_path_filter": _with(_ACT, "SELECT stream, app AS stem, count(*) AS n FROM act WHERE seq % 5 <> 0 GROUP BY ALL"),
-    "read_throttle": _with(_ACT, "SELECT stream, app, count(*) AS n FROM (SELECT *, ms - lag(ms) OVER (PARTITION BY stream, app ORDER BY seq) AS gap FROM act) WHERE gap IS NULL OR gap >= 600000 GROUP BY ALL"),
     "masked_observations": _with(
         _ACT,
         """SELECT stream, CASE WHEN privacy = 'private' THEN 'privacyBoundary' ELSE kind END AS kind, privacy, count(*) AS n, count(*) FILTER (privacy = 'recordable' AND NOT sensitive AND title IS NOT NULL) AS titles,
         count(*) FILTER (privacy = 'recordable' AND NOT sensitive AND url IS NOT NULL) AS urls FROM (SELECT *, CASE seq % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'undetermined' ELSE 'recordable' END AS privacy FROM act) GROUP BY ALL""",
     ),
-    "private_titles": """WITH b AS (SELECT event_id, ['chrome', 'edge', 'firefox', 'brave', 'opera', NULL][1 + event_id % 6] AS browser, ['Incognito tab', 'InPrivate', 'Private Browsing', 'Tor'][1 + user_id % 4] AS title FROM events),
-      c AS (SELECT *, coalesce(CASE browser WHEN 'chrome' THEN title = 'Incognito tab' WHEN 'edge' THEN title = 'InPrivate' WHEN 'firefox' THEN title = 'Private Browsing' WHEN 'brave' THEN title IN ('Private Browsing', 'Tor') WHEN 'opera' THEN title IN ('InPrivate', 'Private Browsing') END, FALSE) AS private FROM b)
-      SELECT event_id, browser, private, CASE WHEN browser IS NULL THEN 'recordable' WHEN private THEN 'private' WHEN event_id % 2 = 1 THEN 'undetermined' ELSE 'recordable' END AS privacy FROM c""",
+    "private_titles": f"""WITH b AS (SELECT page_id, ['chrome', 'edge', 'firefox', 'brave', 'opera', NULL][1 + page_id % 6] AS browser, lower({_PAGE_TITLE} || [' - Incognito', ' - InPrivate', ' (Private Browsing)', ' - Tor', ''][1 + page_id // 6 % 5]) AS title FROM pages),
+      c AS (SELECT *, coalesce(CASE browser WHEN 'chrome' THEN contains(title, 'incognito') WHEN 'edge' THEN contains(title, 'inprivate') WHEN 'firefox' THEN contains(title, 'private browsing')
+        WHEN 'brave' THEN contains(title, 'private window') OR contains(title, 'private browsing') OR contains(title, 'tor') WHEN 'opera' THEN contains(title, 'private') END, FALSE) AS private FROM b)
+      SELECT page_id, browser, private, CASE WHEN browser IS NULL THEN 'recordable' WHEN private THEN 'private' WHEN page_id % 2 = 1 THEN 'undetermined' ELSE 'recordable' END AS privacy FROM c""",
+    "control_surfaces": r"""WITH k AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<(nav|footer|aside|p|h1|li|div|article)[ >]', 1) AS t FROM pages), r AS (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM k)
+      SELECT page_id, CAST(CASE WHEN t[i] IN ('nav', 'footer') OR (i > 1 AND t[i - 1] IN ('nav', 'footer')) OR (i > 2 AND t[i - 2] IN ('nav', 'footer')) OR t[i] IN ('aside', 'li', 'article') THEN 2 WHEN t[i] IN ('p', 'h1') THEN 0 ELSE 1 END AS INTEGER) AS surface, count(*) AS n FROM r GROUP BY ALL""",
     "episodes_core": _with(_ROWS, "SELECT stream, date, id, app, start_ms, end_ms, duration_ms, active_ms, event_count, is_private FROM e"),
     "episodes_exact_fold": _with(_ROWS, "SELECT stream, date, id, app, start_ms, end_ms, duration_ms, active_ms, event_count, is_private FROM e"),
     "episode_headline_title": _with(_ROWS + _TITLE, "SELECT e.stream, e.date, e.id, ht.title FROM e LEFT JOIN ht ON ht.stream = e.stream AND ht.date = e.day AND ht.ep = e.ep"),
@@ -215,10 +222,12 @@ ORACLES: dict[str, str] = {
     "tokenize_documents": f"WITH t AS (SELECT doc_id, {_tokens('text')} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, md5(array_to_string(w, ' ')) AS digest FROM t",
     "url_terms": f"SELECT page_id, array_to_string({_tokens(_HOSTPATH.format('url'))}, ' ') AS terms FROM pages",
     "strip_query_urls": f"SELECT page_id, {_STRIP.format('url')} AS url FROM pages",
-    "normalize_urls": r"""WITH w AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^.*?://', '') WHEN page_id % 7 = 1 THEN url || ' and words' WHEN page_id % 7 = 2 THEN 'localhost/x' ELSE url END AS raw FROM pages),
+    "normalize_urls": r"""WITH w AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^.*?://', '') WHEN page_id % 7 = 1 THEN url || ' and words' WHEN page_id % 7 = 2 THEN regexp_replace(url, '^.*?://[^/]*', 'localhost') ELSE url END AS raw FROM pages),
       n AS (SELECT page_id, raw, CASE WHEN regexp_matches(raw, '^(https?|file)://') THEN raw WHEN contains(raw, ' ') OR NOT contains(split_part(raw, '/', 1), '.') THEN NULL ELSE 'https://' || raw END AS url FROM w)
       SELECT page_id, url, 'C:\pages\' || page_id AS path, CASE WHEN length(raw) <= 120 THEN url END AS doc FROM n""",
-    "document_labels": r"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Page ' || page_id ELSE regexp_extract(regexp_replace(regexp_replace(split_part(url, '://', 2), '[?#].*$', ''), '/+$', ''), '[^/]*$') END AS label, page_id % 4 = 0 AS names_window FROM pages""",
+    "document_labels": rf"""WITH t AS (SELECT page_id, url, trim({_PAGE_TITLE}) AS title FROM pages)
+      SELECT page_id, CASE WHEN page_id % 4 = 0 AND title <> '' THEN title ELSE regexp_extract(regexp_replace(regexp_replace(split_part(url, '://', 2), '[?#].*$', ''), '/+$', ''), '[^/]*$') END AS label,
+        page_id % 4 = 0 AND length(title) >= 3 AND (page_id % 8 = 0 OR contains(lower(url), lower(title))) AS names_window FROM t""",
     "postings": _with(_POSTINGS, "SELECT term, count(*) AS episodes, count(DISTINCT date) AS days, min(id) AS first_id FROM post GROUP BY ALL"),
     "index_cardinality": _with(_POSTINGS, "SELECT (SELECT count(*) FROM ix) AS episodes, (SELECT count(DISTINCT term) FROM post) AS terms"),
     "search_and_prefix": _with(_POSTINGS + _search(["app", "title"], 200), f"SELECT stream, date, id, app, title, {_stamp('start_ms')} AS start, matched_terms FROM top"),
@@ -252,27 +261,27 @@ ORACLES: dict[str, str] = {
             )
         }, '' ORDER BY start_ms, pos, id) FILTER (named AND nth <= 25), '') AS lines, count(*) FILTER (named) AS n_named, count(*) FILTER (NOT named) AS n_brief FROM o GROUP BY ALL)
         SELECT stream, date, hour, 'Activity for ' || {_LONG} || printf(' between %02d:00 and %02d:59, ', hour, hour) || {_human("hr.active_ms")} || ' of it active.' || chr(10) || chr(10) || lines
-        || CASE WHEN n_named > 25 THEN chr(10) || '(' || (n_named - 25) || ' further short entries omitted.)' || chr(10) ELSE '' END || {_BRIEF.format("n_brief")} || chr(10) || '{narrative.ASK_HOUR}' AS user, {narrative.HOUR_TOKENS} AS max_tokens
+        || CASE WHEN n_named > 25 THEN chr(10) || '(' || (n_named - 25) || ' further short entries omitted.)' || chr(10) ELSE '' END || {_BRIEF.format("n_brief")} || chr(10) || '{_ASK_HOUR}' AS user, {_HOUR_TOKENS} AS max_tokens
         FROM t JOIN hr USING (stream, date, hour) WHERE hr.active_ms >= 60000""",
     ),
     "day_prompt": _with(
         _ROWS + _SLICES + _DAYS + _SUMS + _HOURLINES + _leaders("ld", 5),
         f"""SELECT stream, date, 'Hour-by-hour summaries for ' || {_LONG} || ', ' || {_human("active_ms")} || ' active in total across ' || episodes || ' sessions.' || chr(10) || chr(10) || hour_lines || coalesce(chr(10) || 'Time by application: ' || leaders || '.' || chr(10), '')
-        || CASE WHEN private_episodes > 0 THEN private_episodes || ' private sessions were recorded as time only.' || chr(10) ELSE '' END || chr(10) || '{narrative.ASK_DAY}' AS user, {narrative.DAY_TOKENS} AS max_tokens FROM dy JOIN hl USING (stream, date) LEFT JOIN ld USING (stream, date)""",
+        || CASE WHEN private_episodes > 0 THEN private_episodes || ' private sessions were recorded as time only.' || chr(10) ELSE '' END || chr(10) || '{_ASK_DAY}' AS user, {_DAY_TOKENS} AS max_tokens FROM dy JOIN hl USING (stream, date) LEFT JOIN ld USING (stream, date)""",
     ),
     "chat_prompt": _with(
         _PUBLIC + _SLICES + _DAYS + _SUMS + _HOURLINES + _leaders("ld", 8) + "," + _PAIRS,
         f""", n AS (SELECT *, row_number() OVER (PARTITION BY stream, date ORDER BY start_ms, id, app) AS nth FROM pub WHERE active_ms >= 60000),
         li AS (SELECT stream, date, string_agg({_line(f"({_clock('start_ms')} || ' (' || {_human('active_ms')} || ')')")}, '' ORDER BY nth) FILTER (nth <= 120) AS lines, count(*) AS n_named FROM n GROUP BY ALL),
-        tu AS (SELECT dy.stream, dy.date, turn, trim(substr(asked, 1, 60), ' ' || chr(10)) AS asked, trim(substr(answered, 1, 60), ' ' || chr(10)) AS answered, row_number() OVER (PARTITION BY dy.stream, dy.date ORDER BY turn DESC) AS back FROM dy JOIN pr ON pr.conv = day(CAST(dy.date AS DATE)) - 1 + dy.stream * 30),
-        sd AS (SELECT stream, date, string_agg('They asked: ' || asked || chr(10) || 'You answered: ' || answered || chr(10), '' ORDER BY turn) AS said FROM tu WHERE back <= 8 GROUP BY ALL)
+        tu AS (SELECT dy.stream, dy.date, conv, turn, trim(asked, ' ' || chr(10)) AS asked, trim(answered, ' ' || chr(10)) AS answered, row_number() OVER (PARTITION BY dy.stream, dy.date ORDER BY conv DESC, turn DESC) AS back FROM dy JOIN pr ON pr.conv % 4 = dy.stream AND pr.conv // 4 % 30 = day(CAST(dy.date AS DATE)) - 1),
+        sd AS (SELECT stream, date, string_agg('They asked: ' || asked || chr(10) || 'You answered: ' || answered || chr(10), '' ORDER BY conv, turn) AS said FROM tu WHERE back <= 8 GROUP BY ALL)
         SELECT stream, date, 'Activity for ' || {_LONG} || ', ' || {_human("active_ms")} || ' active in total across ' || episodes || ' sessions.' || chr(10) || chr(10) || coalesce('The summary already written for this day:' || chr(10) || trim(daily) || chr(10) || chr(10), '')
         || coalesce('Hour by hour:' || chr(10) || hour_lines || chr(10), '') || CASE WHEN n_named IS NULL THEN 'Nothing was in front for longer than a minute on this day.' || chr(10) || chr(10) ELSE 'What was in front, in the order it happened:' || chr(10) || lines
         || CASE WHEN n_named > 120 THEN chr(10) || '(' || (n_named - 120) || ' further entries are not listed.)' || chr(10) ELSE '' END || {_BRIEF.format("(episodes - n_named)")} || chr(10) END || coalesce('Time by application: ' || leaders || '.' || chr(10) || chr(10), '')
-        || CASE WHEN private_episodes > 0 THEN private_episodes || ' private sessions were recorded as time only.' || chr(10) || chr(10) ELSE '' END || coalesce('Earlier in this conversation:' || chr(10) || said || chr(10), '') || 'Their question: {QUESTION}' || chr(10) || chr(10) || '{narrative.ASK_CHAT}' AS user, {narrative.CHAT_TOKENS} AS max_tokens
+        || CASE WHEN private_episodes > 0 THEN private_episodes || ' private sessions were recorded as time only.' || chr(10) || chr(10) ELSE '' END || coalesce('Earlier in this conversation:' || chr(10) || said || chr(10), '') || 'Their question: {_QUESTION}' || chr(10) || chr(10) || '{_ASK_CHAT}' AS user, {_CHAT_TOKENS} AS max_tokens
         FROM dy LEFT JOIN li USING (stream, date) LEFT JOIN hl USING (stream, date) LEFT JOIN ld USING (stream, date) LEFT JOIN da USING (stream, date) LEFT JOIN sd USING (stream, date)""",
     ),
-    "chat_tail": _with(_PAIRS, "SELECT conv, turn, asked, answered FROM pr QUALIFY row_number() OVER (PARTITION BY conv ORDER BY turn DESC) <= 2"),
+    "chat_tail": _with(_PAIRS, "SELECT conv, turn, asked, answered FROM pr QUALIFY row_number() OVER (PARTITION BY conv ORDER BY turn DESC) <= 8"),
     "day_document": _with(
         _ROWS + _SLICES + _DAYS + _SUMS,
         f""", ap AS (SELECT stream, date, string_agg('- ' || app || ' — ' || {_human("active_ms")} || chr(10), '' ORDER BY rank) AS apps FROM us GROUP BY ALL),
@@ -306,7 +315,8 @@ def _without_openers(text: str) -> str:
 
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
 _MARKDOWN = r"""
-ml AS (SELECT doc_id, seq, CASE WHEN seq % 7 = 0 THEN '## ' || line WHEN seq % 7 IN (1, 2) THEN '- ' || line WHEN seq % 7 = 3 THEN '---' WHEN seq % 7 = 4 THEN '' ELSE line END AS raw FROM ln),
+ml AS (SELECT doc_id, 2 * seq + 1 AS seq, CASE WHEN seq % 7 = 0 THEN '## ' || line WHEN seq % 7 IN (1, 2) THEN '- ' || line ELSE line END AS raw FROM ln
+  UNION ALL SELECT doc_id, 2 * seq, CASE WHEN seq % 7 = 3 THEN '---' ELSE '' END FROM ln WHERE seq % 7 IN (3, 4)),
 mt AS (SELECT doc_id, seq, trim(raw, ' ' || chr(9) || chr(13)) AS t FROM ml),
 mk AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^-{3,}$') THEN 'rule' WHEN regexp_matches(t, '^(#{1,6})\s+(.*)$') THEN 'heading' WHEN regexp_matches(t, '^[-*]\s+(.*)$') THEN 'list' ELSE 'paragraph' END AS kind FROM mt),
 mx AS (SELECT *, CASE kind WHEN 'heading' THEN trim(regexp_extract(t, '^(#{1,6})\s+(.*)$', 2)) WHEN 'list' THEN trim(regexp_extract(t, '^[-*]\s+(.*)$', 1)) WHEN 'paragraph' THEN t ELSE '' END AS body, CASE kind WHEN 'heading' THEN least(length(regexp_extract(t, '^(#{1,6})', 1)), 3) ELSE 0 END AS level,
@@ -314,17 +324,7 @@ mx AS (SELECT *, CASE kind WHEN 'heading' THEN trim(regexp_extract(t, '^(#{1,6})
 mb AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS block FROM mx),
 bl AS (SELECT doc_id, block, kind, level, sum(length(body)) + count(*) - 1 AS chars FROM mb WHERE kind <> 'blank' GROUP BY ALL)"""
 
-ORACLES |= {
-    "redact_budget": _with(
-        _LINES + _SHOWN,
-        """, ti AS (SELECT doc_id, arg_min(c, seq) AS title FROM rd GROUP BY ALL), di AS (SELECT doc_id, shown, min(seq % 3 * 1000000 + seq) AS place FROM rd JOIN ti USING (doc_id) WHERE shown IS NOT NULL AND shown IS DISTINCT FROM title GROUP BY ALL),
-        li AS (SELECT doc_id, list({'kept': [shown], 'total': CAST(length(shown) AS BIGINT)} ORDER BY place) AS x FROM di GROUP BY ALL)
-        SELECT doc_id, coalesce(array_to_string(list_reduce(x, lambda a, b: CASE WHEN len(a.kept) < 12 AND a.total + b.total <= 1000 THEN {'kept': list_concat(a.kept, b.kept), 'total': a.total + b.total} ELSE a END, {'kept': CAST([] AS VARCHAR[]), 'total': CAST(0 AS BIGINT)}).kept, chr(10)), '') AS shown
-        FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN li USING (doc_id)""",
-    ),
-    "episodes_any_order": "WITH RECURSIVE "
-    + _SHIFTED
-    + """,
+_FOLD = """,
 n AS (SELECT stream, date, seq, ms, away, private, app, row_number() OVER (PARTITION BY stream, date ORDER BY seq) AS k, count(*) OVER (PARTITION BY stream, date) AS size FROM rel),
 f AS (
   SELECT stream, date, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS app, FALSE AS private, CAST(NULL AS BIGINT) AS start, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS active, CAST(0 AS BIGINT) AS cnt,
@@ -336,13 +336,47 @@ f AS (
   FROM (SELECT *, greatest(CASE WHEN idle THEN last ELSE ms END, start) AS fin FROM (
     SELECT f.*, n.k AS k_, n.ms, n.away, n.private AS r_private, n.app AS r_app, NOT n.away AND n.ms - f.last > 900000 AS idle, f.start IS NOT NULL AND NOT n.away AND n.ms - f.last <= 900000 AND f.app = n.app AND f.private = n.private AS stays
     FROM f JOIN n ON n.stream = f.stream AND n.date = f.date AND n.k = f.k + 1) AS q(stream, date, k0, app, private, start, last, active, cnt, c_app, c_private, c_start, c_end, c_active, c_n, k, ms, away, r_private, r_app, idle, stays))
-),
+)"""
+
+
+def _throttle(every: int) -> str:
+    """One row of each stream after the other: the last read of more than one line, and when it was."""
+    return f"""WITH RECURSIVE {_ACT}, n AS (SELECT stream, ms, app, CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END AS lines, row_number() OVER (PARTITION BY stream ORDER BY seq) AS k FROM act),
+    f AS (SELECT stream, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS app, CAST(NULL AS VARCHAR) AS last, CAST(0 AS BIGINT) AS since, FALSE AS due FROM (SELECT DISTINCT stream FROM n)
+      UNION ALL SELECT stream, k, app, CASE WHEN d AND lines > 1 THEN app ELSE last END, CASE WHEN d AND lines > 1 THEN ms ELSE since END, d
+      FROM (SELECT n.*, f.last, f.since, f.last IS NULL OR f.last <> n.app OR n.ms - f.since >= {every} AS d FROM f JOIN n ON n.stream = f.stream AND n.k = f.k + 1))
+    SELECT stream, app, count(*) AS n FROM f WHERE due GROUP BY ALL"""
+
+
+ORACLES |= {
+    "redact_budget": _with(
+        _LINES + _SHOWN,
+        """, ti AS (SELECT doc_id, arg_min(c, seq) AS title FROM rd GROUP BY ALL), di AS (SELECT doc_id, shown, min(seq % 3 * 1000000 + seq) AS place FROM rd JOIN ti USING (doc_id) WHERE shown IS NOT NULL AND shown IS DISTINCT FROM title GROUP BY ALL),
+        li AS (SELECT doc_id, list({'kept': [shown], 'total': CAST(length(shown) AS BIGINT)} ORDER BY place) AS x FROM di GROUP BY ALL)
+        SELECT doc_id, coalesce(array_to_string(list_reduce(x, lambda a, b: CASE WHEN len(a.kept) < 12 AND a.total + b.total <= 1000 THEN {'kept': list_concat(a.kept, b.kept), 'total': a.total + b.total} ELSE a END, {'kept': CAST([] AS VARCHAR[]), 'total': CAST(0 AS BIGINT)}).kept, chr(10)), '') AS shown
+        FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN li USING (doc_id)""",
+    ),
+    "episodes_any_order": "WITH RECURSIVE " + _SHIFTED + _FOLD + """,
 done AS (
   SELECT stream, date, c_app AS app, c_private AS is_private, c_start AS start_ms, c_end AS end_ms, c_active AS active_ms, c_n AS event_count FROM f WHERE c_start IS NOT NULL
   UNION ALL
   SELECT f.stream, f.date, f.app, f.private, f.start, greatest(f.last, f.start), f.active, f.cnt FROM f JOIN (SELECT DISTINCT stream, date, size FROM n) z ON z.stream = f.stream AND z.date = f.date AND z.size = f.k WHERE f.start IS NOT NULL
 )
 SELECT stream, CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) || '#' || start_ms AS id, app, start_ms, end_ms, end_ms - start_ms AS duration_ms, active_ms, event_count, is_private FROM done""",
+    "episodes_any_order_full": "WITH RECURSIVE " + _SHIFTED.replace("\nr AS (", "\nr_in_order AS (").replace(" FROM r GROUP BY ALL", " FROM r_in_order GROUP BY ALL") + _FOLD + """,
+r AS (SELECT rel.*, x.ep, x.credit FROM rel JOIN (
+  SELECT n.stream, n.date, n.seq, sum(CASE WHEN f.start IS NOT NULL AND f.cnt = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY n.stream, n.date ORDER BY n.k) AS ep, coalesce(coalesce(CASE WHEN g.c_start IS NOT NULL THEN g.c_active END, g.active) - f.active, 0) AS credit
+  FROM n JOIN f ON f.stream = n.stream AND f.date = n.date AND f.k = n.k LEFT JOIN f g ON g.stream = f.stream AND g.date = f.date AND g.k = f.k + 1) x ON x.stream = rel.stream AND x.date = rel.date AND x.seq = rel.seq WHERE NOT rel.away)""" + _TITLE + _TITLES + _DOCS + _URLS + _TEXT + """,
+ep AS (SELECT stream, date, ep, arg_min(app, seq) AS app, arg_min(ms, seq) AS start_ms, CAST(sum(credit) AS BIGINT) AS active_ms, count(*) AS event_count FROM r GROUP BY ALL)
+SELECT ep.stream, CAST(ep.date AS VARCHAR) AS date, CAST(ep.date AS VARCHAR) || '#' || start_ms AS id, app, ht.title, coalesce(tl.v, '') AS titles, coalesce(ul.v, '') AS urls, coalesce(dl.v, '') AS documents, coalesce(vl.v, '') AS visible_text, active_ms, event_count
+FROM ep LEFT JOIN ht USING (stream, date, ep) LEFT JOIN tl USING (stream, date, ep) LEFT JOIN ul USING (stream, date, ep) LEFT JOIN dl USING (stream, date, ep) LEFT JOIN vl USING (stream, date, ep)""",
+    "read_throttle": _throttle(30_000),
+    "read_throttle_long": _throttle(600_000),
+    "day_view": _with(
+        _ROWS + _SLICES + _DAYS + _SUMS,
+        """, hs AS (SELECT stream, date, string_agg(hour || ':' || active_ms || ':' || text, '|' ORDER BY hour) AS hours FROM su GROUP BY ALL)
+        SELECT dy.stream, dy.date, active_ms, idle_ms, screen_ms, episodes, private_episodes, trim(daily) AS daily_summary, coalesce(hours, '') AS hours FROM dy LEFT JOIN da USING (stream, date) LEFT JOIN hs USING (stream, date)""",
+    ),
     "tidy_text": f"""WITH r AS (SELECT conv_id, turn, ['Summary: ', '  ', 'here IS the summary:' || chr(10)][1 + turn % 3] || CASE WHEN conv_id % 2 = 0 THEN '"' || text || '"' ELSE text || chr(10) || ' ' || chr(10) || 'end' || chr(10) || 'of it' END AS raw FROM conversations WHERE text IS NOT NULL),
       o AS (SELECT conv_id, turn, {_without_openers(f"trim(raw, {_WS})")} AS t FROM r),
       q AS (SELECT conv_id, turn, CASE WHEN length(t) > 1 AND starts_with(t, '"') AND ends_with(t, '"') AND NOT contains(substr(t, 2, length(t) - 2), '"') THEN trim(substr(t, 2, length(t) - 2), {_WS}) ELSE t END AS t FROM o)

@@ -1,4 +1,4 @@
-"""The read API over a store: days, summaries, search, recent episodes, as DataFrames.
+"""The read API over a store: days, summaries, search, recent episodes, the log and the library, as DataFrames.
 
 `allow_history=False` refuses other days than today where a date is named; with `strict`
 it holds for search and recent as well.
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import privacy, rollup, search
+from ..sources import jsonl, library
+from . import narrative
 from .store import Store
 
 LIMITS = (1, 200)
@@ -45,9 +47,12 @@ class Api:
         return e.filter(F.col("date") == self.today) if self.strict and not self.allow_history else e
 
     def get_day(self, date: str, with_episodes: bool = True) -> dict[str, DataFrame]:
+        """The day with its summaries (day: daily_summary and hourly_summaries), its apps and hours, and its episodes unless only summaries are shared."""
         e = self._episodes().filter(F.col("date") == self._date(date))
         slices = rollup.hour_slices(e)
-        out = {"day": rollup.daily(e), "apps": rollup.app_usage(e), "hours": rollup.hourly(slices)}
+        daily = self.store.daily().filter(F.col("date") == date).withColumnRenamed("text", "daily")
+        day = narrative.day_views(rollup.daily(e), self.store.hours().filter(F.col("date") == date), daily)
+        out = {"day": day, "apps": rollup.app_usage(e), "hours": rollup.hourly(slices)}
         return out | ({"episodes": privacy.public_episodes(e)} if with_episodes else {})
 
     def get_today(self) -> dict[str, DataFrame]:
@@ -57,20 +62,58 @@ class Api:
         return self.get_day(date, with_episodes=False)
 
     def search_history(self, query: str, limit: int | None = None) -> DataFrame:
+        if not query.strip():
+            raise ValueError("search_history needs a query")
         self._episodes()
         indexed = self.store.read("indexed")
         if self.strict and not self.allow_history:
             indexed = indexed.filter(F.col("date") == self.today)
         return privacy.search_result(search.search(self.store.read("postings"), indexed, query, clamped(limit, 50)))
 
-    def get_recent(self, limit: int | None = None) -> DataFrame:
-        return privacy.public_episodes(recent(self._episodes(), self.today, clamped(limit, 10)))
+    def get_recent(self, count: int | None = None) -> DataFrame:
+        return privacy.public_episodes(recent(self._episodes(), self.today, clamped(count, 10)))
 
     def days(self) -> DataFrame:
         return self._episodes().select("date").distinct().orderBy("date")
 
+    def recorded_days(self) -> DataFrame:
+        return jsonl.recorded_days(self.store.spark, self.store.root)
+
+    def read_day(self, date: str) -> DataFrame:
+        """The day's events in the order of the log."""
+        return jsonl.read_day(self.store.spark, self.store.root, self._date(date)).orderBy("seq")
+
+    def library(self) -> DataFrame:
+        return library.entries(self.store.spark, self.store.root)
+
+    def status(self) -> DataFrame:
+        """(days, recorded_today, last_event_at, stale): one row."""
+        spark = self.store.spark
+        today = jsonl.day_stats(jsonl.read_day(spark, self.store.root, self.today))
+        counts = self.recorded_days().agg(F.count("*").alias("days")).crossJoin(self.store.stale().agg(F.count("*").alias("stale")))
+        return counts.crossJoin(today.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("recorded_today"), F.max("last_event_at").alias("last_event_at")))  # one row each
+
+    def health(self) -> dict[str, str]:
+        return {"status": "ok"}
+
+    def tools(self) -> list[dict]:
+        """The tools that run_tool() takes, with the schemas of their arguments."""
+        range_ = "A date in YYYY-MM-DD form." + ("" if self.allow_history else " This server is limited to today.")
+        number = {"type": "integer", "minimum": LIMITS[0], "maximum": LIMITS[1]}
+        text = {"type": "string"}
+        of = lambda name, what, properties, required=(): {"name": name, "description": what, "inputSchema": {"type": "object", "properties": properties, "required": list(required), "additionalProperties": False}}
+        return [
+            of("get_today", "Today's sessions, the time in each application, and the summaries written.", {}),
+            of("get_day", "The same for a named day.", {"date": text | {"description": range_}}, ["date"]),
+            of("search_history", "Sessions that hold every word of a query; private ones are found by application alone.", {"query": text, "limit": number}, ["query"]),
+            of("get_recent", "The latest sessions of the last week, newest first.", {"count": number}),
+        ]
+
     def run_tool(self, name: str, args: dict):
-        tools = {"get_today": self.get_today, "get_day": self.get_day, "search_history": self.search_history, "get_recent": self.get_recent, "summary": self.summary}
-        if name not in tools:
+        listed = {t["name"]: t["inputSchema"] for t in self.tools()}
+        if name not in listed:
             raise KeyError(f"no tool is named {name!r}")
-        return tools[name](**args)
+        missing = [k for k in listed[name]["required"] if k not in args]
+        if missing or set(args) - set(listed[name]["properties"]):
+            raise ValueError(f"{name} takes {sorted(listed[name]['properties'])}, needs {listed[name]['required']}")
+        return getattr(self, name)(**args)

@@ -210,6 +210,15 @@ def run_plan(hours: DataFrame, written: DataFrame) -> DataFrame:
     return j.select(*KEYS, "hour", "active_ms", "written_ms", action.alias("action"))
 
 
+def day_views(days: DataFrame, summaries: DataFrame, daily: DataFrame) -> DataFrame:
+    """days with daily_summary (null if none is written) and hourly_summaries, structs in order of the hour. daily: (stream, date, daily)."""
+    columns = ["hour", *[c for c in ("text", "active_ms", "generated_at", "provider", "model") if c in summaries.columns]]
+    hours = summaries.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("hourly_summaries"))
+    j = days.join(daily.select(*KEYS, trimmed(F.col("daily")).alias("daily_summary")), list(KEYS), "left").join(hours, list(KEYS), "left")
+    none = F.filter("hourly_summaries", lambda h: F.lit(False))
+    return j.withColumn("hourly_summaries", F.coalesce("hourly_summaries", none, F.array().cast(hours.schema["hourly_summaries"].dataType)))
+
+
 def run_report(plan: DataFrame) -> DataFrame:
     """Per day: the hours of each action, in order."""
     of = lambda a: F.array_sort(F.collect_list(F.when(F.col("action") == a, F.col("hour")))).alias(f"hours_{a}")

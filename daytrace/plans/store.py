@@ -1,4 +1,4 @@
-"""The derived tables of a day log: episodes and their index by date, always rebuilt from the log.
+"""The derived tables of a day log: episodes and their index by date, always rebuilt from the log; and written summaries.
 
 Tables are Parquet, partitioned by date; writing a day replaces that day alone. A version
 beside them tells which build wrote them; tables of another version are not read.
@@ -6,6 +6,8 @@ beside them tells which build wrote them; tables of another version are not read
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from ..operators import rollup, search, sessions
 from ..sources import jsonl
 
 VERSION = 1
+#: Written summaries: they aren't derived from the log alone, so rebuilding leaves them.
+HOURS = "stream int, date string, hour int, text string, active_ms long, generated_at string, provider string, model string"
+DAYS = "stream int, date string, text string, generated_at string"
 TABLES = ("episodes", "postings", "indexed", "days")
 
 
@@ -45,11 +50,8 @@ class Store:
         self._write(rollup.daily(episodes), "days")
 
     def stale(self) -> DataFrame:
-        """(date): days whose log file is newer than their episodes, or that have none. Days whose log is gone are fresh."""
-        path = f"{self.root}/events/*.jsonl"
-        if not jsonl._exists(self.spark, path):
-            return self.spark.createDataFrame([], "date string")
-        log = self.spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", jsonl.DAY_FILE, 1).alias("date"), F.col("modificationTime").alias("logged")).filter("date <> ''")
+        """(date): days whose log is newer than their episodes, or that have none. Days whose log is gone are fresh."""
+        log = jsonl.changed_days(self.spark, self.root).select(F.col("date").cast("string").alias("date"), F.col("modified").alias("logged"))
         if not jsonl._exists(self.spark, f"{self.path('episodes')}/date=*"):
             return log.select("date")
         done = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path("episodes"))
@@ -67,22 +69,50 @@ class Store:
         self.process()
 
     def forget_day(self, date: str) -> None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         for name in TABLES:
-            path = fs_path(f"{self.path(name)}/date={date}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            jsonl.delete(self.spark, f"{self.path(name)}/date={date}")
 
     def forget_all(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/derived")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jsonl.delete(self.spark, f"{self.root}/derived")
 
     def prune(self, today: str, keep_days: int) -> list[str]:
-        """Deletes log files older than keep_days (0 keeps all); derived tables stay. Returns the dates."""
+        """Deletes the log of days older than keep_days (0 keeps all); derived tables stay. Returns the dates."""
         if keep_days == 0:
             return []
         old = jsonl.recorded_days(self.spark, self.root).filter(F.col("date") < F.date_sub(F.lit(today).cast("date"), keep_days))
         dates = [str(r[0]) for r in old.collect()]
         for d in dates:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/events/{d}.jsonl")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+            jsonl.delete(self.spark, f"{self.root}/events/{d}.jsonl")
+            jsonl.delete(self.spark, f"{self.root}/log/batch=*/date={d}")
         return dates
+
+    def _write_summaries(self, rows: DataFrame, name: str) -> None:
+        rows.withColumn("version", F.lit(time.time_ns())).write.mode("append").partitionBy("date").parquet(f"{self.root}/summaries/{name}")
+
+    def _summaries(self, name: str, keys: list[str], schema: str) -> DataFrame:
+        """The last written row of each key; a row without text takes back what was written."""
+        path = f"{self.root}/summaries/{name}"
+        if not jsonl._exists(self.spark, f"{path}/date=*"):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, version long").parquet(path)
+        rest = [c for c in rows.columns if c not in (*keys, "version")]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("last")).select(*keys, "last.*")
+        return last.filter(F.col("text").isNotNull()).select(*[c.split()[0] for c in schema.split(", ")])
+
+    def save_hours(self, hours: DataFrame) -> None:
+        """Hour summaries (HOURS); those of the same stream, date and hour are replaced."""
+        self._write_summaries(hours.select(*[c.split()[0] for c in HOURS.split(", ")]), "hours")
+
+    def save_days(self, days: DataFrame) -> None:
+        """Day summaries (DAYS), likewise."""
+        self._write_summaries(days.select(*[c.split()[0] for c in DAYS.split(", ")]), "days")
+
+    def hours(self) -> DataFrame:
+        return self._summaries("hours", ["stream", "date", "hour"], HOURS)
+
+    def daily(self) -> DataFrame:
+        return self._summaries("days", ["stream", "date"], DAYS)
+
+    def forget_summary(self, date: str) -> None:
+        """Takes back the summaries of a day."""
+        jsonl.delete(self.spark, f"{self.root}/summaries/*/date={date}")

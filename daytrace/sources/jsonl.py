@@ -1,4 +1,8 @@
-"""The event log: one JSON Lines file for each day, read with the order of its lines, and appended to.
+"""The event log: JSON Lines files by day, read with the order of their lines, and what is appended to them.
+
+A day is the file `events/YYYY-MM-DD.jsonl`, then the batches `log/batch=.../date=YYYY-MM-DD/` in
+the order of their names, which begin with the time of the append. Files are splittable: a row's
+place is (batch, file, block, row in the block), a struct that sorts as the log goes on.
 
 Records are strict, files lenient: a line that isn't a whole event (unreadable, a required
 field missing, an unknown kind) is left out and counted; blank lines are nothing; unknown
@@ -7,8 +11,9 @@ fields are ignored; a missing file is an empty day.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timefn import parse_instant
@@ -23,13 +28,20 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(date, seq, line) of the day files that match; whole files keep the order of their lines."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "date date, seq int, line string")
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), DAY_FILE, 1).alias("day"), "value")
-    files = files.select(F.try_to_date("day", "yyyy-MM-dd").alias("date"), "value").filter("date IS NOT NULL")
-    return files.select("date", F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line")).filter(F.trim("line") != "")
+SEQ = "struct<batch:string,file:string,block:bigint,place:bigint>"
+
+
+def _lines(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
+    """(date, seq, line) of the day files and batches whose dates match."""
+    paths = [p for p in (f"{root}/events/{names}.jsonl", f"{root}/log/batch=*/date={names}/*.json") if _exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], f"date date, seq {SEQ}, line string")
+    rows = spark.read.text(paths).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    batch = F.regexp_extract("file_path", r"/batch=([^/]+)/date=[^/]+/[^/]+$", 1)
+    day = F.when(batch != "", F.regexp_extract("file_path", r"/date=(\d{4}-\d{2}-\d{2})/[^/]+$", 1)).otherwise(F.regexp_extract("file_path", DAY_FILE, 1))
+    file = F.when(batch != "", F.regexp_extract("file_path", r"[^/]+$", 0)).otherwise("")
+    rows = rows.select(F.try_to_date(day, "yyyy-MM-dd").alias("date"), F.struct(batch.alias("batch"), file.alias("file"), "block", "place").alias("seq"), F.col("value").alias("line"))
+    return rows.filter("date IS NOT NULL").filter(F.trim("line") != "")
 
 
 def is_event(e: Column) -> Column:
@@ -47,7 +59,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
 def read_days(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
     """Events (schema.EVENT) with date and seq; only the files of the dates named are opened."""
     names = "{" + ",".join(dates) + "}" if dates else "*"
-    return _parsed(_lines(spark, f"{root}/events/{names}.jsonl")).filter("ok").select("date", "seq", "e.*")
+    return _parsed(_lines(spark, root, names)).filter("ok").select("date", "seq", "e.*")
 
 
 def read_day(spark: SparkSession, root: str, date: str) -> DataFrame:
@@ -56,7 +68,7 @@ def read_day(spark: SparkSession, root: str, date: str) -> DataFrame:
 
 def bad_lines(spark: SparkSession, root: str) -> DataFrame:
     """(date, bad): lines left out."""
-    return _parsed(_lines(spark, f"{root}/events/*.jsonl")).groupBy("date").agg(F.count_if(~F.col("ok")).alias("bad"))
+    return _parsed(_lines(spark, root)).groupBy("date").agg(F.count_if(~F.col("ok")).alias("bad"))
 
 
 def day_stats(records: DataFrame) -> DataFrame:
@@ -64,30 +76,49 @@ def day_stats(records: DataFrame) -> DataFrame:
     return records.groupBy("date").agg(F.count("*").alias("events"), F.max_by("timestamp", "seq").alias("last_event_at"))
 
 
-def recorded_days(spark: SparkSession, root: str, folder: str = "events", suffix: str = "jsonl") -> DataFrame:
-    """(date) of the day files, in order; other names are ignored."""
-    path = f"{root}/{folder}/*.{suffix}"
+def _named_days(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     if not _exists(spark, path):
-        return spark.createDataFrame([], "date date")
-    names = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.%s$" % suffix, 1).alias("day"))
-    return names.select(F.try_to_date("day", "yyyy-MM-dd").alias("date")).filter("date IS NOT NULL").distinct().orderBy("date")
+        return spark.createDataFrame([], "day string, modified timestamp")
+    files = spark.read.format("binaryFile").load(path)  # the contents aren't read
+    return files.select(F.regexp_extract("path", pattern, 1).alias("day"), F.col("modificationTime").alias("modified"))
+
+
+def changed_days(spark: SparkSession, root: str) -> DataFrame:
+    """(date, modified): the days of the log, and when the last of their files was written; other names are ignored."""
+    files = _named_days(spark, f"{root}/events/*.jsonl", DAY_FILE).union(_named_days(spark, f"{root}/log/batch=*/date=*/*.json", r"/date=(\d{4}-\d{2}-\d{2})/[^/]+$"))
+    return files.select(F.try_to_date("day", "yyyy-MM-dd").alias("date"), "modified").filter("date IS NOT NULL").groupBy("date").agg(F.max("modified").alias("modified"))
+
+
+def recorded_days(spark: SparkSession, root: str, folder: str | None = None, suffix: str = "jsonl") -> DataFrame:
+    """(date) of the days of the log, or of a folder's files with a suffix, in order."""
+    days = changed_days(spark, root) if folder is None else _named_days(spark, f"{root}/{folder}/*.{suffix}", r"(\d{4}-\d{2}-\d{2})\.%s$" % suffix).select(F.try_to_date("day", "yyyy-MM-dd").alias("date"))
+    return days.select("date").filter("date IS NOT NULL").distinct().orderBy("date")
+
+
+def delete(spark: SparkSession, pattern: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path) or []:
+        fs.delete(found.getPath(), True)
 
 
-def append(records: DataFrame, root: str) -> None:
-    """Appends records (schema.EVENT) to a table partitioned by their local date; absent fields are left out of the JSON.
+def append(records: DataFrame, root: str, name: str | None = None) -> None:
+    """Appends records (schema.EVENT) as a batch, in their order, filed under their local date; absent fields are left out of the JSON.
 
-    Spark's commit protocol writes whole files, so a day is a folder `date=...` of JSON Lines;
-    a record whose timestamp can't be read is filed under today.
+    A record whose timestamp can't be read is filed under today. A batch of a name that is there already
+    (a stream's batch that is tried again) takes its place.
     """
+    spark = records.sparkSession
+    if name:
+        delete(spark, f"{root}/log/batch=*-{name}")
     day = F.coalesce(F.to_date(parse_instant(F.col("timestamp"))), F.current_date())
-    records.withColumn("date", day).write.partitionBy("date").mode("append").option("ignoreNullFields", "true").json(f"{root}/log")
+    batch = f"{time.time_ns() // 1000:017d}-{name or 'append'}"
+    records.withColumn("date", day).write.partitionBy("date").option("ignoreNullFields", "true").json(f"{root}/log/batch={batch}")
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
-    """What append() wrote, in the order of timestamps within a day (files of a table have no order of lines)."""
-    rows = spark.read.schema(EVENT).json(f"{root}/log", pathGlobFilter="*.json", recursiveFileLookup=True)
-    rows = rows.withColumn("date", F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"date=([0-9-]+)", 1))).filter(is_event(F.struct("*")))
-    return rows.withColumn("seq", F.row_number().over(W.partitionBy("date").orderBy("timestamp", "id")) - 1)
+    """All of the log, in its order."""
+    return read_days(spark, root)
 
 
 def prune(records: DataFrame, today: str, keep_days: int) -> DataFrame:

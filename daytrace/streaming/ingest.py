@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import EVENT
+from ..sources import jsonl
 from ..sources.jsonl import is_event
 
 
@@ -27,10 +28,18 @@ def table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def append_by_day(events: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Appends to the log table by date; the day turns with the events."""
-    day = F.coalesce(F.to_date(F.try_to_timestamp("timestamp")), F.current_date())
-    return events.withColumn("date", day).writeStream.format("json").partitionBy("date").option("path", f"{root}/log").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_by_day(events: DataFrame, root: str, checkpoint: str, name: str = "stream", then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Appends each batch to the log by date, so that the day turns with the events; a batch that is tried again takes its own place.
+
+    then is called with each batch when it is in the log, for a refresh of what is derived.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        jsonl.append(df, root, f"{name}-{number}")
+        if then:
+            then(df, number)
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def day_counts(rows: DataFrame) -> DataFrame:
@@ -53,17 +62,23 @@ def refresh_touched(rows: DataFrame, recompute: Callable[[DataFrame, int], None]
 
 
 def without_repeats(rows: DataFrame) -> DataFrame:
-    """Of (stream, seq, app, title, url), the rows that differ from the one before in their stream, with the last row as state."""
+    """Of (stream, seq, app, title, url), the rows that differ from the one before in their stream, with the last row as state.
+
+    A stream's rows come in order and in chunks; only the row before a chunk is carried.
+    """
+    what = ["app", "title", "url"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows_ = pd.concat(list(batches)).sort_values("seq")
-        keep = []
-        for r in rows_[["app", "title", "url"]].itertuples(index=False):
-            now = tuple(None if pd.isna(x) else x for x in r)
-            keep.append(now != last)
-            last = now
-        state.update(last)
-        yield rows_[keep][["stream", "seq", "app", "title", "url"]]
+        for pdf in batches:
+            pdf = pdf.sort_values("seq")
+            values = pdf[what].astype(object).where(pdf[what].notna(), None)
+            before = values.shift(1)
+            same = ((values == before) | (values.isna() & before.isna())).all(axis=1).to_numpy(copy=True)
+            same[0] = last is not None and tuple(values.iloc[0]) == tuple(last)
+            last = tuple(values.iloc[-1])
+            yield pdf.loc[~same, ["stream", "seq", *what]]
+        if last is not None:
+            state.update(last)
 
     return rows.groupBy("stream").applyInPandasWithState(step, "stream int, seq long, app string, title string, url string", "app string, title string, url string", "append", GroupStateTimeout.NoTimeout)

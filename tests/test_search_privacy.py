@@ -23,6 +23,13 @@ def test_and_prefix_case_limit_empty(spark):
     assert found(i, "") == [] and found(i, "x") == []
 
 
+def test_words_with_combining_marks(spark):
+    a = activity(spark, (0, A, "Editor", "हिन्दी भाषा — naïve Straße"))
+    e = sessions.episodes(a)
+    i = e, search.postings(e), search.indexed(e)
+    assert found(i, "हिन्दी") == ["Editor"] and found(i, "NAÏVE stra") == ["Editor"]
+
+
 def test_nothing_private_is_indexed(spark):
     e, p, _ = index(spark)
     terms = {r.term for r in p.collect()}
@@ -54,3 +61,24 @@ def test_repeats_and_exclusion_and_masks(spark):
     m = capture.masked(a.withColumn("privacy", F.when(F.col("seq") == 0, "private").when(F.col("seq") == 1, "undetermined").otherwise("recordable"))).orderBy("seq").collect()
     assert [(r.kind, r.title) for r in m[:2]] == [("privacyBoundary", None), (C, None)]
     assert capture.allow(("a", "b"), "A") == ("b",) and capture.exclude(("a",), "A") == ("a",)
+
+
+def test_throttle_runs_from_the_last_kept_read(spark):
+    from pyspark.sql import functions as F
+
+    steady = [(i / 6, C, "x", "t") for i in range(13)]  # every 10 s
+    a = activity(spark, *steady).withColumn("lines", F.lit(2))
+    assert [r.seq for r in capture.throttled(a, "app", "lines").orderBy("seq").collect()] == [0, 3, 6, 9, 12]
+    # a read of one line doesn't start the clock, another window ends it
+    a = activity(spark, (0, C, "x", "t"), (0.1, C, "x", "t"), (0.2, C, "x", "t"), (0.3, C, "y", "t"), (0.4, C, "x", "t"), (0.45, C, "x", "t"))
+    a = a.withColumn("lines", F.when(F.col("seq") == 0, 1).otherwise(5))
+    assert [r.seq for r in capture.throttled(a, "app", "lines").orderBy("seq").collect()] == [0, 1, 3, 4]
+
+
+def test_surfaces_and_tokens(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("Text", None), ("text", ["Pane"]), ("Edit", ["Group", "ToolBar"]), ("Button", []), ("ListItem", []), ("StatusBar", []), (None, None)], "kind string, around array<string>")
+    assert [r[0] for r in rows.select(capture.surface(F.col("kind"), F.col("around"))).collect()] == [0, 0, 2, 2, 1, 2, 1]
+    stored = spark.createDataFrame([("a",), ("b",)], "token string").select(F.sha2("token", 256).alias("hash"))
+    assert [r.token for r in capture.accepted(spark.createDataFrame([("a",), ("c",), (None,)], "token string"), stored).collect()] == ["a"]

@@ -1,3 +1,5 @@
+import pytest
+
 from daytrace.operators import sessions
 
 from .helpers import MIN, A, C, L, P, U, activity
@@ -7,14 +9,6 @@ def episodes(spark, *rows):
     return sorted(sessions.episodes(activity(spark, *rows)).collect(), key=lambda e: e.start_ms)
 
 
-def both(spark, *rows):
-    """core() and the fold agree on rows in order; returns core()."""
-    a = activity(spark, *rows)
-    core = sorted(map(tuple, sessions.core(a).collect()))
-    assert core == sorted(map(tuple, sessions.episodes_exact(a).select(*sessions.core(a).columns).collect()))
-    return core
-
-
 def test_one_app_then_another(spark):
     e = episodes(spark, (0, A, "Code", "lib.rs"), (10, C, "Code", "episode.rs"), (30, A, "Slack", "#eng"))
     assert [(x.app, x.event_count, x.titles) for x in e] == [("Code", 2, ["lib.rs", "episode.rs"]), ("Slack", 1, ["#eng"])]
@@ -74,24 +68,74 @@ def test_capped_gap(spark):
 
 
 def test_null_times_and_apps(spark):
-    core = both(spark, (0, C, None, "a"), (None, C, "Code", "b"), (3, C, None, "c"))
-    assert len(core) == 1 and core[0][3] == ""
-
-
-def test_fold_equals_windows_in_order(spark):
+    core = sessions.core(activity(spark, (0, C, None, "a"), (None, C, "Code", "b"), (3, C, None, "c"))).collect()
+    assert len(core) == 1 and core[0].app == ""
+
+
+def fold(rows):
+    """Episodes of (minute, kind, app, title) by a plain loop: (app, private, start, end, active, events, title, titles)."""
+    done, open_ = [], None
+    window, away = (A, C, U, P), (L, "screenSlept", "applicationTerminated")
+
+    def credit(until):
+        gap = min(max(until - open_["last"], 0), 5)
+        open_["active"] += gap
+        if open_["now"] is not None:
+            open_["held"][open_["now"]] = open_["held"].get(open_["now"], 0) + gap
+
+    def close(at):
+        end = max(at, open_["start"])
+        credit(end)
+        best = max(open_["held"], key=lambda t: (open_["held"][t], open_["titles"].index(t)), default=None)
+        done.append((open_["app"], open_["private"], open_["start"], end, open_["active"], open_["n"], best, open_["titles"]))
+
+    for minute, kind, app, title in rows:
+        if kind in away:
+            if open_:
+                close(minute)
+            open_ = None
+        elif kind in window:
+            private = kind == P
+            if open_ and minute - open_["last"] > 15:
+                close(open_["last"])
+                open_ = None
+            elif open_ and (open_["app"], open_["private"]) != (app, private):
+                close(minute)
+                open_ = None
+            if not open_:
+                open_ = {"app": app, "private": private, "start": minute, "last": minute, "active": 0, "n": 0, "now": None, "held": {}, "titles": []}
+            credit(minute)
+            open_["n"] += 1
+            open_["last"] = max(open_["last"], minute)
+            if not private:
+                open_["now"] = title
+                open_["held"].setdefault(title, 0)
+                if title not in open_["titles"]:
+                    open_["titles"].append(title)
+    if open_:
+        close(open_["last"])
+    return done
+
+
+@pytest.mark.parametrize("steps", [(0.5, 2, 6, 15, 16), (-20, -3, 0, 1, 4, 14, 16, 31)])
+def test_windows_equal_a_plain_loop_in_any_order_of_time(spark, steps):
     import random
 
-    rng, t, rows = random.Random(3), 0.0, []
-    for _ in range(120):
-        t += rng.choice([0.5, 2, 6, 15, 16])
-        rows.append((t, rng.choice([A, C, U, P, L, "screenWoke"]), rng.choice(["x", "y"]), "t"))
-    assert len(both(spark, *rows)) > 20
+    rng, t, rows = random.Random(3), 200.0, []
+    for i in range(250):
+        t += rng.choice(steps)
+        rows.append((t, rng.choice([A, C, C, U, P, L, "screenWoke"]), rng.choice(["x", "x", "y"]), rng.choice(["t", "u", "v"])))
+    want = [(app, private, round(start * MIN), round(end * MIN), round(active * MIN), n, best, titles) for app, private, start, end, active, n, best, titles in fold(rows)]
+    e = sessions.episodes(activity(spark, *rows)).collect()
+    base = min(r.start_ms for r in e) - min(w[2] for w in want)
+    got = [(r.app, r.is_private, r.start_ms - base, r.end_ms - base, r.active_ms, r.event_count, r.title, r.titles) for r in e]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 20
 
 
 def test_time_that_runs_back_never_moves_an_episode_back(spark):
     rows = [(0, C, "Code", "a"), (10, C, "Code", "b"), (2, C, "Code", "c"), (12, A, "Slack", "d")]
     a = activity(spark, *rows)
-    e = sorted(sessions.sessionise(a).collect(), key=lambda x: x.start_ms)
+    e = sorted(sessions.core(a).collect(), key=lambda x: x.start_ms)
     assert [(x.app, x.event_count, x.duration_ms, x.active_ms) for x in e] == [("Code", 3, 12 * MIN, 7 * MIN), ("Slack", 1, 0, 0)]
     assert sessions.out_of_order_days(a).count() == 1
 

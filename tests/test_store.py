@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from daytrace.plans import narrative
+from daytrace.plans import narrative, summaries
 from daytrace.plans.api import Api, clamped
 from daytrace.plans.store import Store
 from daytrace.sources import jsonl, library
@@ -35,9 +35,9 @@ def test_scan(spark, root):
 def test_append_omits_absent_fields(spark, root, tmp_path):
     records = jsonl.read_days(spark, root).drop("date", "seq")
     jsonl.append(records, root)
-    text = "".join(p.read_text() for p in tmp_path.glob("log/date=2024-03-05/*.json"))
+    text = "".join(p.read_text() for p in tmp_path.glob("log/batch=*/date=2024-03-05/*.json"))
     assert text.count("\n") == 4 and "null" not in text and '"windowTitle"' in text and "browser" not in text
-    assert [r.id for r in jsonl.read_log(spark, root).orderBy("seq").collect()] == ["e0", "e1", "e2", "e3"]
+    assert [r.id for r in jsonl.read_log(spark, root).orderBy("seq").collect()] == ["e0", "e1", "e2", "e3"] * 2
 
 
 def test_process_search_refresh_forget(spark, root):
@@ -63,14 +63,112 @@ def test_process_search_refresh_forget(spark, root):
     store.forget_all()
 
 
+def test_appended_and_streamed_rows_reach_the_store(spark, root, tmp_path):
+    """The log goes on in batches after the day's file, in the order of its lines and not of its times."""
+    from daytrace.schema import EVENT
+    from daytrace.streaming import ingest
+
+    store = Store(spark, root)
+    assert store.refresh() == ["2024-03-05"]
+    # out of order: 09:20, 09:10 and 09:30 are one episode that never moves back
+    late = [event(20 + i, m, app="Docs", title=t, browser={"url": f"https://x.example/{t}", "isPrivate": False}, visibleText=[f"text {t}"]) for i, (m, t) in enumerate([(20, "alpha"), (10, "beta"), (30, "gamma")])]
+    jsonl.append(spark.createDataFrame([json.loads(json.dumps(e)) for e in late], EVENT).coalesce(1), root)
+    assert store.refresh() == ["2024-03-05"]
+    (e,) = store.read("episodes").filter("app = 'Docs'").collect()
+    assert (e.titles, e.urls, e.visible_text) == (["alpha", "beta", "gamma"], [f"https://x.example/{t}" for t in ("alpha", "beta", "gamma")], ["text alpha", "text beta", "text gamma"])
+    assert (e.event_count, e.duration_ms, e.active_ms, e.title) == (3, 10 * 60_000, 5 * 60_000, "beta")
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+    (incoming / "a.jsonl").write_text("\n".join(json.dumps(event(40 + i, 50 + i, app="Mail", title="streamed") | {"timestamp": f"2024-03-{5 + i:02d}T10:50:00.000Z"}) for i in range(2)))
+    refreshed = []
+    ingest.append_by_day(ingest.read_stream(spark, str(incoming)), root, str(tmp_path / "cp"), then=lambda df, n: refreshed.extend(store.refresh())).awaitTermination()
+    assert refreshed == ["2024-03-05", "2024-03-06"]
+    assert [r.app for r in Api(store, "2024-03-06").search_history("streamed").collect()] == ["Mail", "Mail"]
+    again = jsonl.read_log(spark, root).count()
+    jsonl.append(spark.createDataFrame([json.loads(json.dumps(late[0]))], EVENT), root, "stream-0")  # a batch that is tried again
+    assert jsonl.read_log(spark, root).count() == again - 1
+    assert [str(r.date) for r in jsonl.recorded_days(spark, root).collect()] == ["2024-03-05"]
+
+
+def test_a_split_file_keeps_the_order_of_its_lines(spark, tmp_path):
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events/2024-03-05.jsonl").write_text("\r\n".join(json.dumps(event(i, i % 60)) for i in range(3000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        rows = jsonl.read_day(spark, str(tmp_path), "2024-03-05")
+        assert rows.rdd.getNumPartitions() > 4 and [r.id for r in rows.orderBy("seq").collect()] == [f"e{i}" for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_summary_runs(spark, root):
+    store = Store(spark, root)
+    lines = [event(50 + i, m, app="Code", title=f"part {i}") | {"timestamp": f"2024-03-05T{h}:{m:02d}:00.000Z"} for i, (h, m) in enumerate([("10", 0), ("10", 4), ("10", 9), ("11", 30)])]
+    from daytrace.schema import EVENT
+
+    jsonl.append(spark.createDataFrame([json.loads(json.dumps(e)) for e in lines], EVENT).coalesce(1), root)
+    store.process()
+    run = lambda complete, **how: summaries.summarise(store, complete, "p", "m", "2024-03-06T05:00:00Z", **how).first()
+
+    def fails_at_ten(user, n):
+        if "10:00" in user.split("\n")[0]:
+            raise RuntimeError("no answer")
+        return "Summary: nine"
+
+    r = run(fails_at_ten)
+    assert (r.hours_written, r.hours_too_quiet, r.daily_written, r.failure) == ([9], [], False, "no answer")
+    assert [(h.hour, h.text, h.active_ms) for h in store.hours().collect()] == [(9, "nine", 10 * 60_000 - 60_000)] and store.daily().count() == 0
+    r = run(lambda user, n: f"tokens {n}")
+    assert (r.hours_written, r.hours_skipped, r.hours_too_quiet, r.daily_written, r.failure) == ([10], [9], [11], True, None)
+    assert store.daily().first().text == "tokens 1200"
+    r = run(lambda user, n: "never asked")
+    assert (r.hours_written, r.hours_skipped, r.daily_written) == ([], [9, 10], False)
+    assert run(lambda user, n: "new", rewrite=True).hours_written == [9, 10] and store.daily().first().text == "new"
+    day = Api(store, "2024-03-05").get_day("2024-03-05")["day"].first()
+    assert day.daily_summary == "new" and [(h.hour, h.text) for h in day.hourly_summaries] == [(9, "new"), (10, "new")]
+    assert summaries.summarise_hour(store, "2024-03-05", 10, lambda user, n: "one hour", "p", "m", "now") == "one hour"
+    for hour, error in ((11, ValueError), (15, LookupError)):
+        with pytest.raises(error):
+            summaries.summarise_hour(store, "2024-03-05", hour, lambda user, n: "x", "p", "m", "now")
+    assert "What took" in summaries.chat(store, "2024-03-05", " What took longest? ", lambda user, n: user)
+    with pytest.raises(ValueError):
+        summaries.chat(store, "2024-03-05", "  ", lambda user, n: user)
+    store.forget_summary("2024-03-05")
+    assert store.hours().count() == 0 and store.daily().count() == 0
+    assert not summaries.due(4) and summaries.due(5) and not summaries.due(12, wanted=False)
+
+
+def test_read_api(spark, root):
+    store = Store(spark, root)
+    store.refresh()
+    api = Api(store, "2024-03-05")
+    assert [t["name"] for t in api.tools()] == ["get_today", "get_day", "search_history", "get_recent"]
+    assert [r.id for r in api.read_day("2024-03-05").collect()] == ["e0", "e1", "e2", "e3"] and api.recorded_days().count() == 1
+    assert tuple(api.status().first()) == (1, 0, 4, "2024-03-05T09:12:00.000Z") and api.health() == {"status": "ok"}
+    for name, args in (("search_history", {"query": "  "}), ("get_day", {}), ("get_recent", {"limit": 3})):
+        with pytest.raises(ValueError):
+            api.run_tool(name, args)
+    assert api.run_tool("get_recent", {"count": 1}).count() == 1
+    day = api.get_day("2024-03-05")["day"].first()
+    assert day.daily_summary is None and day.hourly_summaries == []
+
+
 def test_library(spark, tmp_path):
     root = str(tmp_path)
     docs = spark.createDataFrame([("2024-03-05", "A  day", "2024-03-06T01:00:00Z", "# x\n\nbody"), ("2024-03-05", "Again", "2024-03-06T02:00:00Z", "b")], "date string, title string, saved_at string, body string")
     library.save(library.new_ids(docs, spark.createDataFrame([], "id string")), root)
     e = library.entries(spark, root).collect()
     assert [(r.id, r.title, r.body) for r in e] == [("2024-03-05-2", "Again", "b"), ("2024-03-05", "A day", "# x\n\nbody")]
+    assert sorted(p.name for p in (tmp_path / "library").iterdir() if not p.name.startswith(".")) == ["2024-03-05-2.md", "2024-03-05.md"]
     more = library.new_ids(docs.limit(1), library.entries(spark, root).select("id"))
     assert more.first().id == "2024-03-05-3"
+    taken = spark.createDataFrame([("2024-03-05",), ("2024-03-05-3",), ("2024-03-05-x",), ("2024-03-05-03",)], "id string")
+    both = library.new_ids(docs, taken).orderBy("saved_at")
+    assert [r.id for r in both.collect()] == ["2024-03-05-2", "2024-03-05-4"]
+    assert library.new_ids(docs.limit(1).withColumn("date", F.lit("/ .")), taken).first().id == "summary"
+    labels = spark.createDataFrame([("2024-03-06T01:00:00Z",), ("x",), (None,)], "t string").select(library.saved_label(F.col("t"))).collect()
+    assert [r[0] for r in labels] == ["2024-03-06 at 01:00", "an unknown time", "an unknown time"]
 
 
 def test_retries_and_summaries(spark):
@@ -102,7 +200,7 @@ def test_stream_ingest(spark, root, tmp_path):
 
     q = ingest.append_by_day(ingest.read_stream(spark, f"{root}/events/2024*.jsonl"), root, str(tmp_path / "cp"))
     q.awaitTermination()
-    assert jsonl.read_log(spark, root).count() == 4
+    assert jsonl.read_log(spark, root).count() == 8
     seen = []
     q = ingest.refresh_touched(ingest.read_stream(spark, f"{root}/events/2024*.jsonl").select(F.to_date("timestamp").alias("date")), lambda d, n: seen.extend(str(r[0]) for r in d.collect()), str(tmp_path / "cp2"))
     q.awaitTermination()
