@@ -8,7 +8,8 @@ its words, and a hit counts only if the words themselves are equal.
 
 Defined results: a null or empty text has no words; an empty benchmark leaves
 every document clean; a null item_id counts as the id ``''``; rows that repeat
-doc_id and text get equal results.
+doc_id and text get equal results; an empty table gives an empty one; a very long
+text's windows come from one array of words, whose size is that of the text.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from .common import ascii_lower, checkpointed
 
 #: What stands between words, once A-Z are lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The windows are broadcast up to this number (of some 200 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: A word in its own case, and what follows it up to the next word.
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+#: The windows are broadcast up to so many bytes of words and item ids; beyond, keys are joined by a shuffle.
+MOST_BYTES = 48 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -36,14 +40,19 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return windows.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.size("words").alias("len"), "words", F.xxhash64("words").alias("key"), "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(id, h, at, len, items): each place (counted from 1) where a benchmark window occurs; h is the hash of the text."""
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(id, h, at, len, items): each place (counted from 1) where a benchmark window occurs; h is the hash of the text.
+
+    If the windows are too large to broadcast, only places and keys of document windows are shuffled; what
+    meets a key is checked against its document's words afterwards.
+    """
     windows = checkpointed(benchmark_windows(benchmark, n))
-    n_windows = windows.count()
+    joined = F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " "))
+    size = windows.agg(F.coalesce(F.sum(joined + 100), F.lit(0))).first()[0]
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # n numbers at most
     found = windows.select(F.col("key").alias("b_key"), F.col("words").alias("b_words"), "items")
-    found = F.broadcast(found) if n_windows <= most_broadcast else found.hint("shuffle_hash")
     d = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
+    words = d
     if len(lengths) > 1:
         d = d.withColumn("len", F.explode(F.array(*map(F.lit, lengths))))
     else:
@@ -52,7 +61,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_broadcast: int
     d = d.select("id", "h", "words", "len", F.explode(starts).alias("at"))
     window = F.slice("words", F.col("at"), F.col("len"))
     d = d.withColumn("key", F.xxhash64(window))
-    return d.join(found, (F.col("key") == F.col("b_key")) & (window == F.col("b_words"))).select("id", "h", "at", "len", "items")
+    if size <= most_bytes:
+        return d.join(F.broadcast(found), (F.col("key") == F.col("b_key")) & (window == F.col("b_words"))).select("id", "h", "at", "len", "items")
+    met = checkpointed(d.select("id", "h", "at", "len", "key").join(found.select("b_key", F.size("b_words").alias("b_len")).distinct(), (F.col("key") == F.col("b_key")) & (F.col("len") == F.col("b_len"))).select("id", "h", "at", "len", "key"))
+    met = met.select(F.col("id").alias("m_id"), F.col("h").alias("m_h"), "at", "len", "key").distinct()
+    seen = words.dropDuplicates(["id", "h"]).join(met, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h"))).select("id", "h", "at", "len", "key", window.alias("words"))
+    return seen.join(found, (F.col("key") == F.col("b_key")) & (F.col("words") == F.col("b_words"))).select("id", "h", "at", "len", "items")
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -71,21 +85,23 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
     """The documents without contamination, with their own columns.
 
-    remove="documents" drops each document with a hit; "spans" keeps all documents and
-    replaces the text of a document with hits by its remaining normalised words.
+    remove="documents" drops each document with a hit; "spans" keeps all documents and cuts the words
+    that are hit, with what stands between them and the next word, out of the text; the rest stays as it is.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
     key, h = "__hit_id", "__hit_h"
     found = hits(docs, benchmark, n).groupBy(F.col("id").alias(key), F.col("h").alias(h)).agg(F.collect_set(F.struct("at", "len")).alias("__hit_spans"))
-    d = docs.alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("d.text") == F.col(h))
+    text = docs["text"]
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(h))
     if remove == "documents":
-        return d.join(found.select(key, h), same, "left_anti")
+        return docs.join(found.select(key, h), same, "left_anti")
     covered = F.flatten(F.transform("__hit_spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))
-    kept = F.array_join(F.filter(words_of(F.col("d.text")), lambda w, i: ~F.array_contains(covered, i + 1)), " ")
-    text = F.when(F.col("__hit_spans").isNull(), F.col("d.text")).otherwise(kept)
-    return d.join(found, same, "left").select(*[text.alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns])
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(pieces)), covered)
+    rest = F.concat(F.regexp_extract(text, f"^{BETWEEN_ANY_CASE}*", 0), F.array_join(F.transform(kept, lambda i: F.element_at(pieces, i)), ""))
+    cut = F.when(F.col("__hit_spans").isNull(), text).otherwise(rest)
+    return docs.join(found, same, "left").select(*[cut.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -6,7 +6,8 @@ more if a number in [0, 1) hashed from its doc_id is below the fraction. So a re
 makes the same mix, and no list of documents is gathered or sorted.
 
 Defined results: a null text has size 0; a null source is a source of its own and
-sorts last; rows that repeat a doc_id share its draw; a null doc_id draws as ``''``.
+sorts last; rows that repeat a doc_id share its draw; a null doc_id draws as ``''``; an empty
+table gives an empty mix; a very long text is counted in its own row, never gathered.
 """
 
 from __future__ import annotations
@@ -78,10 +79,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     s = source_targets(docs.select("source", n_words(F.col("text")).alias("size")), **how)
     few = s.count() <= MOST_BROADCAST
     s = s.select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    d = docs.alias("d").join((F.broadcast(s) if few else s).alias("s"), F.col("d.source").eqNullSafe(F.col("s.__of")))
-    rate = F.col("s.__rate")
-    copies = (F.floor(rate) + (draw(F.col("d.doc_id")) < rate - F.floor(rate)).cast("long")).cast("int")
-    return d.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select([F.col(f"d.{c}") for c in docs.columns])
+    d = docs.join(F.broadcast(s) if few else s, docs["source"].eqNullSafe(F.col("__of")))
+    rate = F.col("__rate")
+    copies = (F.floor(rate) + (draw(docs["doc_id"]) < rate - F.floor(rate)).cast("long")).cast("int")
+    return d.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select([docs[f"`{c}`"] for c in docs.columns])
 
 
 ORACLE = r"""

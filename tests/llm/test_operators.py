@@ -182,8 +182,18 @@ def test_decontamination(spark, texts):
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, docs), bench, remove="spans").collect()}
     assert cut[902] == "" and cut[900] == "x y z" and cut[0] == texts[0][1]
     assert decontaminate.annotate(frame(spark, docs), bench.limit(0)).filter("n_hit > 0").count() == 0
-    big = decontaminate.hits(frame(spark, docs), bench, most_broadcast=0)
-    assert big.count() == decontaminate.hits(frame(spark, docs), bench).count()
+    spans = decontaminate.decontaminate(frame(spark, [(1, "-- Keep This, (and) " + items[0][1].title() + "! Then More.")]), bench, remove="spans").first().text
+    assert spans == "-- Keep This, (and) Then More."
+    key = lambda df: sorted(map(str, df.collect()))
+    big = decontaminate.hits(frame(spark, docs), bench, most_bytes=0)
+    assert key(big) == key(decontaminate.hits(frame(spark, docs).dropDuplicates(["doc_id", "text"]), bench))
+
+
+def test_columns_whose_names_hold_dots(spark):
+    docs = frame(spark, [(1, "a b c d e f g h i j k"), (2, "x")]).withColumn("meta.lang", F.lit("q")).withColumn("d", F.lit(1))
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    for out in (decontaminate.decontaminate(docs, bench, remove="spans"), decontaminate.decontaminate(docs, bench), mixing.mix(docs), linededup.deduplicate(docs), minhash.deduplicate(docs)):
+        assert out.columns == docs.columns and {r["meta.lang"] for r in out.collect()} <= {"q"}
 
 
 def test_mixing(spark, texts):
