@@ -10,7 +10,8 @@ checks each header's CRC-8, each frame's CRC-16 and the MD5, and finds frames by
 numpy handles many frames at once: one step of a loop decodes the same sample of all frames.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; a stream that
-breaks the format or a checksum raises ValueError.
+breaks the format or a checksum, or is null, has an error and no blocks; an empty table gives an
+empty one; a very long text is a slice of its own, of as many frames as it needs.
 """
 
 from __future__ import annotations
@@ -385,20 +386,49 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(streams: DataFrame) -> DataFrame:
-    """(doc_id, sample_offset, pcm) of each block of (doc_id, media): unsigned 8-bit samples that can be read from any offset."""
+BLOCKS = "array<struct<sample_offset:bigint,pcm:binary>>"
+
+
+def _decoded(streams: list[bytes]) -> tuple[list[tuple[bytes, np.ndarray] | None], list[str | None]]:
+    """Each stream's payload and offsets, or None and what is wrong with it: a damaged stream spoils no other."""
+    try:
+        return decode(streams), [None] * len(streams)
+    except (ValueError, IndexError, struct.error):
+        out, errors = [], []
+        for s in streams:
+            try:
+                out += decode([s])
+                errors.append(None)
+            except (ValueError, IndexError, struct.error) as e:
+                out.append(None)
+                errors.append(str(e) or type(e).__name__)
+        return out, errors
+
+
+def decoded(streams: DataFrame) -> DataFrame:
+    """streams (doc_id, media, perhaps n_bytes) with blocks, structs (sample_offset, pcm) of unsigned 8-bit samples, and error (null if the stream is sound)."""
+    kept = [c for c in ("doc_id", "n_bytes", "media") if c in streams.columns]
+    kinds = {"doc_id": "long", "n_bytes": "long", "media": "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 4 << 20):
-            ids, at, pcm = [], [], []
-            for doc, (p, offsets) in zip(batch["doc_id"].to_pylist(), decode(batch["media"].to_pylist()), strict=True):
-                for a, b in zip(offsets.tolist(), [*offsets[1:].tolist(), len(p)], strict=True):
-                    ids.append(doc)
-                    at.append(a)
-                    pcm.append(p[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+            found, errors = _decoded([m or b"" for m in batch["media"].to_pylist()])
+            at, pcm, ends = [], [], [0]
+            for p, offsets in (f or (b"", np.zeros(0, np.int64)) for f in found):
+                cuts = [*offsets.tolist(), len(p)]
+                at += cuts[:-1]
+                pcm += [p[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                ends.append(len(at))
+            values = pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(pcm, pa.binary())], names=["sample_offset", "pcm"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(errors, pa.string())], names=[*kept, "blocks", "error"])
+
+    return streams.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kept]).mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in kept], f"blocks {BLOCKS}", "error string"]))
 
-    return streams.select(F.col("doc_id").cast("long").alias("doc_id"), "media").filter("media IS NOT NULL").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+
+def pcm_blocks(streams: DataFrame) -> DataFrame:
+    """(doc_id, sample_offset, pcm, error): a row for each block of (doc_id, media), which can be read from any offset; one row with the error for a damaged stream, and for a null one."""
+    rows = decoded(streams).select("doc_id", F.explode_outer("blocks").alias("b"), "error")
+    return rows.select("doc_id", "b.sample_offset", "b.pcm", "error")
 
 
 def feature(samples: bytes, blocks: int) -> str:
@@ -412,17 +442,19 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores each text and reads it back; the digests are of what was read back."""
+    """Stores each text, writes its PCM blocks and reads these back by their offsets; the digests are of what was read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 4 << 20):
-            streams = batch["media"].to_pylist()
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(p, len(offsets))) for s, (p, offsets) in zip(streams, decode(streams), strict=True)]
+            rows = []
+            for s, blocks in zip(batch["media"].to_pylist(), batch["blocks"].to_pylist(), strict=True):
+                p = b"".join(b["pcm"] for b in sorted(blocks, key=lambda b: b["sample_offset"]))
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(p, len(blocks))))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return media(docs).mapInArrow(run, DIGESTS)
+    return decoded(media(docs)).select("doc_id", "n_bytes", "media", "blocks").mapInArrow(run, DIGESTS)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ No count is capped or left out. A model of order 3 asks for 1.35 times the keys,
 shuffle that the checks allow; this operator has order 2.
 
 Defined results: a null or empty text is one end token; without training documents the
-score is that of the uniform estimate; a null doc_id isn't held out and belongs to the training part.
+score is that of the uniform estimate; a null doc_id isn't held out and belongs to the training part;
+an empty table gives an empty one; a very long text is a pack of its own.
 """
 
 from __future__ import annotations

@@ -27,8 +27,9 @@ is five standard deviations away. 32 bands of 4 bins find a pair at 0.75 with pr
 makes the search exact for them.
 
 Defined results: texts without words have an empty set and link with nothing; rows that
-share a doc_id count as one node; a null doc_id sorts last, its component is null if it
-links with no other.
+share a doc_id count as one node; a null doc_id counts as the largest long and sorts last, its
+component is null if it links with no other; an empty table gives an empty one; a very long text
+is a slice of its own, and its set meets others only where their bins agree.
 """
 
 from __future__ import annotations

@@ -436,6 +436,11 @@ def test_media_columns(spark, texts):
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         r = by[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert flac.digests(frame(spark, rows).limit(0)).count() == 0 and flac.pcm_blocks(flac.media(frame(spark, rows).limit(0))).count() == 0
+    (good,) = flac.encode([flac.payload(b"some text")])
+    mixed = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-3] + b"xyz")), (3, None), (4, bytearray(b"no stream")), (5, bytearray(good))], "doc_id long, media binary")
+    seen = {r.doc_id: r for r in flac.pcm_blocks(mixed).collect()}
+    assert {k for k, r in seen.items() if r.error is None} == {1, 5} and bytes(seen[5].pcm) == flac.payload(b"some text") and all(seen[k].pcm is None for k in (2, 3, 4))
     blocks = flac.pcm_blocks(flac.media(frame(spark, texts))).filter("doc_id = 45").orderBy("sample_offset").collect()
     assert b"".join(bytes(r.pcm) for r in blocks)[: by[45].n_bytes] == texts[45][1].encode() and [r.sample_offset for r in blocks[:3]] == [0, 1024, 2048]
 
