@@ -477,8 +477,10 @@ def markdown_blocks(s, d):
 
 
 def _work(s: SparkSession) -> str:
-    """A new folder for a stream's checkpoint: in the shared folder that the session names, or else a temporary one."""
+    """A new folder for a stream's checkpoint: in the shared folder that the session names; a local session may have a temporary one."""
     shared = s.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared}/stream-{os.urandom(6).hex()}" if shared else tempfile.mkdtemp(prefix="spark-")
 
 
