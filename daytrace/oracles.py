@@ -383,3 +383,29 @@ FROM ep LEFT JOIN ht USING (stream, date, ep) LEFT JOIN tl USING (stream, date,
       SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\\r?\\n(?:[ \\t\\r]*\\n)+'), lambda p: array_to_string(list_filter(list_transform(regexp_split_to_array(p, '\\r?\\n'), lambda x: trim(x, {_WS})), lambda x: x <> ''), ' ')), lambda p: p <> ''), chr(10) || chr(10)) AS tidied FROM q""",
     "markdown_blocks": _with(_LINES + "," + _MARKDOWN, "SELECT doc_id, kind, count(*) AS blocks, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(level) AS BIGINT) AS levels FROM bl GROUP BY ALL"),
 }
+
+_ONE_STREAM = _ROWS.replace("CAST(e.user_id % 4 AS INTEGER) AS stream", "0 AS stream")
+ORACLES |= {
+    "log_round_trip": _with(
+        _ACT,
+        "SELECT CAST(date AS VARCHAR) AS date, count(*) AS events, strftime(make_timestamp(arg_max(ms, seq) * 1000), '%Y-%m-%dT%H:%M:%S.') || printf('%03dZ', arg_max(ms, seq) % 1000) AS last_event_at, CAST(0 AS BIGINT) AS out_of_order, count(title) AS titles, count(url) AS urls FROM act GROUP BY ALL",
+    ),
+    "store_episodes": "WITH "
+    + _ONE_STREAM
+    + _TITLE
+    + _URLS
+    + f""",
+tw AS (SELECT e.date, e.id, unnest({_tokens("r.app")}) AS term FROM e JOIN r ON r.date = e.day AND r.ep = e.ep
+  UNION SELECT e.date, e.id, unnest(list_concat(list_concat({_tokens("coalesce(r.title, '')")}, {_tokens(_HOSTPATH.format("coalesce(r.url, '')"))}), list_concat({_tokens("coalesce(r.document, '')")}, list_concat({_tokens("'line ' || (r.k % 11)")}, ['status', 'bar'])))) FROM e JOIN r ON r.date = e.day AND r.ep = e.ep WHERE NOT e.is_private),
+tn AS (SELECT date, id, count(DISTINCT term) AS terms FROM tw GROUP BY ALL)
+SELECT e.date, e.id, app, ht.title, coalesce(ul.v, '') AS urls, duration_ms, active_ms, event_count, is_private, coalesce(terms, 0) AS terms
+FROM e LEFT JOIN ht ON ht.date = e.day AND ht.ep = e.ep LEFT JOIN ul ON ul.date = e.day AND ul.ep = e.ep LEFT JOIN tn ON tn.date = e.date AND tn.id = e.id""",
+    "parsed_instants": "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN CAST(epoch_us(ts) // 1000 AS VARCHAR) ELSE 'none' END AS ms FROM events",
+    "capture_filters": _with(_ACT, "SELECT stream, app, count(*) AS n, count(*) FILTER (app = 'app_0' OR title = 'title 3') AS n_deep, count(*) FILTER (title NOT IN ('title 1', 'title 2')) AS n_shown FROM act WHERE app <> 'app_1' GROUP BY ALL"),
+    "retained_days": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15' GROUP BY ALL",
+    "message_helpers": r"""WITH m AS (SELECT *, coalesce(text, '') AS t FROM conversations)
+      SELECT conv_id, turn, CASE WHEN trim(regexp_replace(t, '\s+', ' ', 'g')) = '' THEN 'Untitled' ELSE trim(regexp_replace(t, '\s+', ' ', 'g')) END AS title,
+        array_to_string(list_slice(list_filter(string_split(substr(replace(t, '. ', '.' || chr(10)), 1, 4000), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''), 1, 3), '|') AS writing,
+        sha256(t) AS digest, CASE WHEN turn % 3 = 0 THEN role END AS bearer, CASE WHEN conv_id % 2 = 0 THEN TRUE ELSE regexp_full_match(substr(t, 1, 9), '[A-Za-z0-9_-]+') END AS valid FROM m""",
+    "accepted_tokens": "SELECT doc_id FROM documents WHERE coalesce(text, '') IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 3 = 0)",
+}

@@ -13,6 +13,7 @@ from .adapter import activity
 from .functions import textfn, timefn
 from .operators import capture, privacy, rollup, search, sessions
 from .plans import api, narrative
+from .sources import jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,6 +485,84 @@ def _work(s: SparkSession) -> str:
     return f"{shared}/stream-{os.urandom(6).hex()}" if shared else tempfile.mkdtemp(prefix="spark-")
 
 
+def _records(a: DataFrame) -> DataFrame:
+    """Activity rows as event records, in the order of the log."""
+    rows = a.orderBy("date", "seq").select(
+        F.lit(1).alias("version"), F.col("seq").cast("string").alias("id"), timefn.format_instant(F.col("ts")).alias("timestamp"), "kind", F.struct(F.col("app").alias("name"), F.lit("C:\\app.exe").alias("path"), F.lit(1).cast("long").alias("pid")).alias("application"),
+        F.col("title").alias("windowTitle"), F.col("sensitive").alias("isSensitive"), F.when(F.col("url").isNotNull(), F.struct("url", F.lit(False).alias("isPrivate"))).alias("browser"), F.struct(F.col("doc_path").alias("path")).alias("document"), F.col("visible_text").alias("visibleText"),
+    )
+    return rows
+
+
+@query
+def log_round_trip(s, d):
+    """The events appended to a log in the shared folder and read back: rows, the last record, and whether the order held."""
+    root = _work(s)
+    jsonl.append(_records(activity(s, d)), root)
+    rows = jsonl.read_days(s, root)
+    from pyspark.sql import Window as W
+
+    back = rows.withColumn("back", F.coalesce(F.lag(F.col("id").cast("long")).over(W.partitionBy("date").orderBy("seq")) > F.col("id").cast("long"), F.lit(False)))
+    kept = back.groupBy("date").agg(F.count_if("back").alias("out_of_order"), F.count("windowTitle").alias("titles"), F.count("browser.url").alias("urls"))
+    return jsonl.day_stats(rows).join(kept, "date").withColumn("date", F.col("date").cast("string"))
+
+
+@query
+def store_episodes(s, d):
+    """The same log through the store: sessionised, rolled up and indexed; all events are one stream there."""
+    from .plans.store import Store
+
+    store = Store(s, _work(s))
+    jsonl.append(_records(activity(s, d)), store.root)
+    store.refresh()
+    terms = store.read("postings").groupBy("date", "id").agg(F.count("*").alias("terms"))
+    e = store.read("episodes").join(terms, ["date", "id"], "left")
+    return e.select("date", "id", "app", "title", F.array_join("urls", "|").alias("urls"), "duration_ms", "active_ms", "event_count", "is_private", F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
+@query
+def parsed_instants(s, d):
+    """The events' times as RFC 3339 texts in several shapes, some of them none."""
+    ts, n = F.date_trunc("millisecond", F.col("ts").cast("timestamp")), F.col("event_id") % 6
+    z = timefn.format_instant(ts)
+    local = timefn.format_instant(ts + F.expr("INTERVAL 150 MINUTES"))
+    text = F.when(n == 0, z).when(n == 1, F.regexp_replace(local, "Z$", "+02:30")).when(n == 2, F.lower(z)).when(n == 3, F.regexp_replace(z, "T", " ")).when(n == 4, F.regexp_replace(z, "Z$", "")).otherwise(F.substring(z, 1, 10))
+    return _table(s, d, "events").select("event_id", F.coalesce(F.unix_millis(timefn.parse_instant(text)).cast("string"), F.lit("none")).alias("ms"))
+
+
+@query
+def capture_filters(s, d):
+    """Per app: rows that an edited exclusion list leaves, that are read deeply, and that aren't shell surfaces."""
+    a = activity(s, d, urls=False).withColumn("app_path", F.concat(F.lit("C:\\bin\\"), F.initcap("app"), F.lit(".exe")))
+    listed = capture.allow(capture.exclude(capture.exclude(capture.EXCLUDED, "App_1"), "app_2"), "APP_2")
+    left = capture.without_excluded(a, excluded=listed)
+    deep = capture.deep_read(True, textfn.file_stem(F.col("app_path")), F.col("title"), ("APP_0", "title 3"))
+    return left.groupBy("stream", "app").agg(F.count("*").alias("n"), F.count_if(deep).alias("n_deep"), F.count_if(capture.not_shell(F.col("title"), ("Title 1", "TITLE 2"))).alias("n_shown"))
+
+
+@query
+def retained_days(s, d):
+    return jsonl.prune(activity(s, d, urls=False), "2024-01-25", 10).groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+
+
+@query
+def message_helpers(s, d):
+    """Messages as titles, editing surfaces, tokens, headers and identifiers."""
+    t = F.coalesce("text", F.lit(""))
+    header = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("bearer   "), "role")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Basic "), "role")).otherwise(F.lit("Bearer "))
+    name = F.when(F.col("conv_id") % 2 == 0, F.concat_ws("-", "role", "turn")).otherwise(F.substring(t, 1, 9))
+    shown = F.array_join(textfn.element_writing(F.regexp_replace(t, r"\. ", ".\n"), 3), "|")
+    return _table(s, d, "conversations").select("conv_id", "turn", textfn.one_line(t).alias("title"), shown.alias("writing"), textfn.token_digest(t).alias("digest"), textfn.bearer(header).alias("bearer"), textfn.valid_id(name).alias("valid"))
+
+
+@query
+def accepted_tokens(s, d):
+    """Documents presented as tokens; those of every third id are stored by their digests."""
+    docs = _table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("token"))
+    stored = docs.filter(F.col("doc_id") % 3 == 0).select(textfn.token_digest(F.col("token")).alias("hash"))
+    return capture.accepted(docs, stored).select("doc_id")
+
+
 def _streamed(s: SparkSession, d: str, change, mode: str) -> DataFrame:
     """Runs a stream over the events table to its end; the sink is a table in the shared folder."""
     from .streaming import ingest

@@ -1,8 +1,8 @@
 """The event log: JSON Lines files by day, read with the order of their lines, and what is appended to them.
 
 A day is the file `events/YYYY-MM-DD.jsonl`, then the batches `log/batch=.../date=YYYY-MM-DD/` in
-the order of their names, which begin with the time of the append. Files are splittable: a row's
-place is (batch, file, block, row in the block), a struct that sorts as the log goes on.
+the order of their names, which begin with the time of the append; a batch numbers its rows. Files are
+splittable: a row's place is (batch, number, file, block, row in the block), a struct that sorts as the log goes on.
 
 Records are strict, files lenient: a line that isn't a whole event (unreadable, a required
 field missing, an unknown kind) is left out and counted; blank lines are nothing; unknown
@@ -28,7 +28,7 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-SEQ = "struct<batch:string,file:string,block:bigint,place:bigint>"
+SEQ = "struct<batch:string,n:bigint,file:string,block:bigint,place:bigint>"
 
 
 def _lines(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
@@ -40,7 +40,8 @@ def _lines(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
     batch = F.regexp_extract("file_path", r"/batch=([^/]+)/date=[^/]+/[^/]+$", 1)
     day = F.when(batch != "", F.regexp_extract("file_path", r"/date=(\d{4}-\d{2}-\d{2})/[^/]+$", 1)).otherwise(F.regexp_extract("file_path", DAY_FILE, 1))
     file = F.when(batch != "", F.regexp_extract("file_path", r"[^/]+$", 0)).otherwise("")
-    rows = rows.select(F.try_to_date(day, "yyyy-MM-dd").alias("date"), F.struct(batch.alias("batch"), file.alias("file"), "block", "place").alias("seq"), F.col("value").alias("line"))
+    n = F.when(batch != "", F.get_json_object("value", "$.appended").try_cast("long"))
+    rows = rows.select(F.try_to_date(day, "yyyy-MM-dd").alias("date"), F.struct(batch.alias("batch"), n.alias("n"), file.alias("file"), "block", "place").alias("seq"), F.col("value").alias("line"))
     return rows.filter("date IS NOT NULL").filter(F.trim("line") != "")
 
 
@@ -113,7 +114,7 @@ def append(records: DataFrame, root: str, name: str | None = None) -> None:
         delete(spark, f"{root}/log/batch=*-{name}")
     day = F.coalesce(F.to_date(parse_instant(F.col("timestamp"))), F.current_date())
     batch = f"{time.time_ns() // 1000:017d}-{name or 'append'}"
-    records.withColumn("date", day).write.partitionBy("date").option("ignoreNullFields", "true").json(f"{root}/log/batch={batch}")
+    records.withColumn("appended", F.monotonically_increasing_id()).withColumn("date", day).write.partitionBy("date").option("ignoreNullFields", "true").json(f"{root}/log/batch={batch}")
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
