@@ -116,22 +116,33 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
 
 
 _SPLIT = re.compile(PARTS)
+#: Texts without two end marks in a row, or one at their start, are parted by plain replacement.
+_PAIRS = tuple(a + b for a in ".!?" for b in ".!?")
 
 
-def _lines(text: str) -> tuple[list[str], list[str], list[int]]:
-    """The lines without blank ones (as words joined by a space), all words, and the first word of each line."""
+def _parts(text: str) -> list[str]:
+    if text[:1] in _ENDS or any(p in text for p in _PAIRS):
+        return _SPLIT.split(text)
+    return text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+
+
+_ENDS = tuple(".!?")
+
+
+def _lines(text: str) -> tuple[list[bytes], list[bytes], list[int]]:
+    """The lines without blank ones (as words joined by a space), all words, and the first word of each line. Bytes split at ASCII white space alone."""
     lines, words, first = [], [], []
-    for part in _SPLIT.split(text):
-        w = WORD.findall(part)
+    for part in _parts(text):
+        w = part.encode().split()
         if w:
             first.append(len(words))
             words += w
-            lines.append(" ".join(w))
+            lines.append(b" ".join(w))
     first.append(len(words))
     return lines, words, first
 
 
-def _shortest_runs(lines: list[str], first: list[int], least: int) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+def _shortest_runs(lines: list[bytes], first: list[int], least: int) -> Iterator[tuple[int, int, tuple[bytes, ...]]]:
     """From each line on, the shortest run of lines with so many words: (start, end, lines)."""
     j = 0
     for i in range(len(lines)):
@@ -148,8 +159,13 @@ def common_blocks(earlier: str, later: str, least: int = BLOCK_WORDS) -> list[tu
     Blocks that stand in another order, or of lines that repeat, aren't part of the longest common
     order; they are looked up by their shortest runs of lines and grow likewise.
     """
-    la, wa, fa = _lines(earlier)
-    lb, wb, fb = _lines(later)
+    return _blocks(_lines(earlier), _lines(later), {}, least)
+
+
+def _blocks(a: tuple, b: tuple, where: dict, least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """The same of parsed texts; where holds the earlier text's shortest runs once they have been needed."""
+    la, wa, fa = a
+    lb, wb, fb = b
     runs = [(fa[i], fb[j], fb[j + n] - fb[j]) for i, j, n in patience(la, lb)]
     out, end_a, end_b = [], 0, 0
     for k, (i, j, n) in enumerate(runs):
@@ -165,7 +181,6 @@ def common_blocks(earlier: str, later: str, least: int = BLOCK_WORDS) -> list[tu
             out.append((j, j + n, i + n))
     blocks, k = [(s, e) for s, e, _ in out if e - s >= least], 0
     moved, start, end = [], 0, 0
-    where = {}
     for i, j, run in _shortest_runs(lb, fb, least):
         while k < len(blocks) and blocks[k][1] < fb[j]:
             k += 1
@@ -190,11 +205,17 @@ SPANS = "id long, h long, start int, end int"
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Character spans to delete: from the first word of a block up to the next word that stays."""
+    """Character spans to delete: from the first word of a block up to the next word that stays. Pairs of an owner follow each other: its text is parsed once."""
+    last, parsed, where = None, None, {}
     for batch in slices(batches, "later", 4 << 20):
         rows = []
-        for id_, h, a, b in zip(*(batch[c].to_pylist() for c in ("id", "h", "earlier", "later")), strict=True):
-            blocks = common_blocks(a, b)
+        owners = batch["earlier"].dictionary_encode()
+        texts = owners.dictionary.to_pylist()
+        for id_, h, k, b in zip(*(batch[c].to_pylist() for c in ("id", "h")), owners.indices.to_pylist(), batch["later"].to_pylist(), strict=True):
+            if texts[k] is not last and texts[k] != last:
+                last, where = texts[k], {}
+                parsed = _lines(last)
+            blocks = _blocks(parsed, _lines(b), where)
             if blocks:
                 at = [m.start() for m in WORD.finditer(b)] + [len(b)]
                 rows += [(id_, h, at[s], at[e]) for s, e in blocks]
@@ -212,10 +233,10 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 4 << 20):
         lines, ends = [], [0]
         for text in batch["text"].to_pylist():
-            for part in _SPLIT.split(text):
-                w = WORD.findall(part)
+            for part in _parts(text):
+                w = part.encode().split()
                 if w:
-                    lines.append(xxh64_intdigest(" ".join(w)) & ~0xFF | min(len(w), 255))
+                    lines.append(xxh64_intdigest(b" ".join(w)) & ~0xFF | min(len(w), 255))
             ends.append(len(lines))
         flat = pa.array(np.array(lines, np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "h", "lines"])
@@ -327,16 +348,27 @@ def deletions(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs' columns with the remaining text, and __removed (characters), __blocks: all rows are kept."""
+    """docs' columns with the remaining text, and __removed (characters), __blocks: all rows are kept.
+
+    Only texts with deletions are shuffled, as long as their ids are few enough to be broadcast.
+    """
     cut = deletions(docs).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("copy").alias("__copy"), F.col("head").alias("__head"), F.col("keeps").alias("__keeps"), F.col("removed").alias("__n"), F.col("blocks").alias("__b"))
-    text = docs["text"]
+    cut = checkpointed(cut)
+    text, columns = docs["text"], [docs[f"`{c}`"] for c in docs.columns]
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
     rest = F.concat(F.substring(text, F.lit(1), F.col("__head")), F.array_join(F.transform("__keeps", lambda k: F.substring(text, k["at"], k["length"])), ""))
-    gone = F.col("__copy") & (F.regexp_count(text, F.lit(WORD.pattern)) >= BLOCK_WORDS)
+    gone = F.when(F.col("__copy"), F.regexp_count(text, F.lit(WORD.pattern)) >= BLOCK_WORDS).otherwise(False)
     left = F.when(gone, F.lit("")).when(F.col("__copy").isNull() | F.col("__copy"), text).otherwise(F.rtrim(rest, F.lit(" \t\n\x0b\f\r")))
     removed = F.when(gone, F.char_length(text)).otherwise(F.coalesce("__n", F.lit(0)))
     counts = [removed.cast("long").alias("__removed"), F.when(gone, F.lit(1)).otherwise(F.coalesce("__b", F.lit(0))).cast("long").alias("__blocks")]
-    return docs.join(cut, same, "left").select(*[left.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns], *counts)
+    out = [left.alias(c) if c == "text" else x for c, x in zip(docs.columns, columns, strict=True)]
+    if cut.count() > MOST_BROADCAST:
+        return docs.join(cut, same, "left").select(*out, *counts)
+    ids = F.broadcast(cut.select("__id", "__h"))
+    whole = docs.join(ids, same, "left_anti").select(*columns, F.lit(0).cast("long").alias("__removed"), F.lit(0).cast("long").alias("__blocks"))
+    touched = docs.join(ids, same, "left_semi").select(*columns)
+    touched = touched.join(cut, (F.coalesce(touched["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id")) & (F.xxhash64(touched["text"]) == F.col("__h")), "left")
+    return touched.select(*out, *counts).union(whole)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
