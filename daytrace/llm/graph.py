@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: every node points its larger, then its
     smaller neighbours to the smallest one, until the links are stars. Minima are taken
-    before the shuffle and joined back, so no node's neighbours are gathered.
+    before the shuffle and joined back, so no node's neighbours are gathered; a node with very
+    many is a skewed key of a plain join, which adaptive execution splits (an exchange follows it).
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     was = None

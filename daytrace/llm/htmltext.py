@@ -362,7 +362,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH a AS (
-  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(h1|p|li|ul|ol|div|br)>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM pages
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article(?:\s[^>]*)?>(.*?)</article>', 1), '</?(h[1-6]|p|li|ul|ol|div|section|blockquote|table|tr|td|br)(?:\s[^>]*)?/?>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM pages
 ), b AS (
   SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '&amp;?', chr(2), 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), chr(2), '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM a
 )
