@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, htmltext, langid, linededup, lm, minhash, mixing, quality, toxicity
+from . import decontaminate, flac, htmltext, interaction, langid, linededup, lm, minhash, mixing, quality, toxicity
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_flac_media": flac.op8,
     "op9_source_mixing": mixing.op9,
     "op10_minhash_near_dedup": minhash.op10,
+    "op11_filter_interaction": interaction.op11,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_template_extraction": htmltext.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
     "op10_minhash_near_dedup": minhash.ORACLE,
+    "op11_filter_interaction": interaction.ORACLE,
 }
