@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, htmltext, interaction, langid, linededup, lm, minhash, mixing, quality, toxicity
+from . import decontaminate, flac, htmltext, interaction, langid, linededup, lm, minhash, mixing, quality, spelling, topk, toxicity
 
 QUERIES = {
     "op1_deleted_interpolation": lm.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_source_mixing": mixing.op9,
     "op10_minhash_near_dedup": minhash.op10,
     "op11_filter_interaction": interaction.op11,
+    "op12_exact_top_k": topk.op12,
+    "op13_spelling_variants": spelling.op13,
 }
 
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op9_source_mixing": mixing.ORACLE,
     "op10_minhash_near_dedup": minhash.ORACLE,
     "op11_filter_interaction": interaction.ORACLE,
+    "op12_exact_top_k": topk.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
