@@ -341,7 +341,7 @@ def links(counted: DataFrame) -> DataFrame:
 def variants(docs: DataFrame) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of all words of the documents."""
     counted = checkpointed(words(docs))
-    both = links(counted).select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("by"), F.col("n_b").alias("by_n")), F.struct("b", "n_b", "a", "n_a"))))
+    both = links(counted).select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("by"), F.col("n_b").alias("by_n")), F.struct(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("by"), F.col("n_a").alias("by_n")))))
     best = F.min(F.when(F.col("by_n") >= TIMES * F.col("n"), F.struct((-F.col("by_n")).alias("n"), F.col("by").alias("word"))))
     found = both.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     found = checkpointed(counted.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.word").alias("form"), (-F.col("best.n")).alias("form_n")))
@@ -384,10 +384,10 @@ WITH RECURSIVE crc_table AS (
 ), f AS (
   SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * words.n THEN other END AS form, CASE WHEN top >= 10 * words.n THEN top END AS form_n FROM words LEFT JOIN best ON words.word = best.word
 ), chain AS (
-  SELECT word, word AS at, 0 AS i FROM f
-  UNION ALL SELECT chain.word, f.form, i + 1 FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL
+  SELECT word, word AS here, 0 AS i FROM f
+  UNION ALL SELECT chain.word, f.form, i + 1 FROM chain JOIN f ON f.word = chain.here WHERE f.form IS NOT NULL
 )
-SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, i) AS root FROM chain GROUP BY word) r ON r.word = f.word
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, i) AS root FROM chain GROUP BY word) r ON r.word = f.word
 """
 
 
