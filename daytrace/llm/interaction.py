@@ -8,8 +8,9 @@ How it runs:
 1. One pass over the texts cuts them into shards of bounded bytes. A shard numbers its words
    in the order in which they come and is a CSR matrix over them (one row of the table, packed).
    The same pass notes C, D and a digest of each text, so that no text is shuffled.
-2. The distinct words of all shards get dense global ids; each shard has a word once, so that
-   the most frequent word is as many rows as there are shards.
+2. The words of all shards, each once for each shard, are dealt by word and sorted: a new word is a new
+   id. The most frequent word is as many rows as there are shards, so no key is hot; and ids don't
+   depend on the order of arrival, so that a part which is computed again gets the same.
 3. The ids come back to the shards, whose columns are renumbered. Sums of a row and its number of
    non-zero columns are the words and the distinct words of a document: A and B.
 4. E compares ids within a digest by partial minima; copies are added up before they meet.
@@ -25,18 +26,20 @@ text is a shard of its own; an empty table gives no rows; columns that aren't na
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Ids, as_bytes, checkpointed, slices, table
+from .common import NULL_ID, Ids, as_bytes, checkpointed, partitions, slices, table
 
 FILTERS = "ABCDE"
 #: A: fewer words fail. B: percent of words that must be distinct. C: percent of capitals that a text may have.
@@ -45,10 +48,12 @@ LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 200, 50, 3
 MARKUP = b"#$%&*|"
 #: A shard holds so many bytes of text at most, or one longer text.
 SHARD_BYTES = 16 << 20
+#: So many words leave a shard at once.
+WORDS_AT_ONCE = 50_000
 
 _CAPITALS, _CONTINUED = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
-LOCAL = "shard long, doc_ids array<long>, parts array<string>, digests array<binary>, fails array<string>, indptr binary, indices binary, data binary, words array<binary>"
-MATRIX = "shard long, doc_ids array<long>, parts array<string>, digests array<binary>, fails array<string>, indptr binary, indices binary, data binary"
+OWN = "doc_ids array<long>, parts array<string>, digests array<binary>, fails array<string>, indptr binary, indices binary, data binary"
+LOCAL, MATRIX = f"shard long, own struct<{OWN}>, words binary", f"shard long, {OWN}"
 ROWS = "doc_id long, part string, digest binary, fails string, n_words long, n_distinct long"
 
 
@@ -68,21 +73,32 @@ def _fails(t: bytes) -> str:
     return "C" * c + "D" * (len(t.translate(None, MARKUP)) < len(t))
 
 
+def pack_words(words: Iterable[bytes]) -> bytes:
+    """Words that hold no white space."""
+    return pack(np.frombuffer(b"\n".join(words), np.uint8))
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    return unpack(packed, np.uint8).tobytes().split(b"\n")
+
+
+_OWN = pa.struct([("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())), ("digests", pa.list_(pa.binary())), ("fails", pa.list_(pa.string())), *[(c, pa.binary()) for c in ("indptr", "indices", "data")]])
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards with words of their own numbering. A shard's name is its partition and its place there."""
-    schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())), ("digests", pa.list_(pa.binary())), ("fails", pa.list_(pa.string())), *[(c, pa.binary()) for c in ("indptr", "indices", "data")], ("words", pa.list_(pa.binary()))])
     name = TaskContext.get().partitionId() << 32
     for batch in slices(batches, "text", SHARD_BYTES):
         texts, ids = as_bytes(batch["text"]), Ids()
-        ends, indices, data = [0], [], []
+        ends, indices, data = array("q", [0]), array("i"), array("q")
         for t in texts:
             counts = Counter(t.split())
-            indices += map(ids.__getitem__, counts)
-            data += counts.values()
+            indices.extend(map(ids.__getitem__, counts))
+            data.extend(counts.values())
             ends.append(len(data))
-        own = [batch["doc_id"].to_pylist(), batch["part"].to_pylist(), [hashlib.sha256(t).digest() for t in texts], [_fails(t) for t in texts]]
-        csr = [pack(np.array(ends, np.int64)), pack(np.array(indices, np.int32)), pack(np.array(data, np.int64))]
-        yield pa.record_batch([pa.array([x], f.type) for x, f in zip([name, *own, *csr, list(ids)], schema, strict=True)], schema=schema)
+        own = {"doc_ids": batch["doc_id"].to_pylist(), "parts": batch["part"].to_pylist(), "digests": [hashlib.sha256(t).digest() for t in texts], "fails": [_fails(t) for t in texts]}
+        own |= {"indptr": pack(np.asarray(ends)), "indices": pack(np.asarray(indices)), "data": pack(np.asarray(data))}
+        yield pa.record_batch([pa.array([name]), pa.array([own], _OWN), pa.array([pack_words(ids) if ids else None], pa.binary())], names=["shard", "own", "words"])
         name += 1
 
 
@@ -92,32 +108,59 @@ def shards(docs: DataFrame) -> DataFrame:
     return checkpointed(d.mapInArrow(_local, LOCAL))
 
 
-def dictionary(local: DataFrame) -> DataFrame:
-    """(word, id): the distinct words of all shards, numbered 0, 1, ... without gaps.
+def _each_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, packed in zip(batch["shard"].to_pylist(), batch["words"], strict=True):
+            words = unpack_words(packed.as_py())
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                part = words[at : at + WORDS_AT_ONCE]
+                yield pa.record_batch([pa.array(part, pa.binary()), pa.array(np.full(len(part), shard)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], names=["word", "shard", "local"])
 
-    The parts of a shuffle number their own words; the first number of each part follows from
-    the sizes of the parts (one number for each partition on the driver).
-    """
-    d = checkpointed(local.select(F.explode("words").alias("word")).distinct().withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    first, before = [], 0
-    for p, n in sorted(tuple(r) for r in d.groupBy(part.alias("part")).count().collect()):
-        first.append((p, before))
-        before += n
-    base = d.sparkSession.createDataFrame(first, "part long, first long")
-    return d.withColumn("part", part).join(F.broadcast(base), "part").select("word", (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words come in order; an id is the partition and the rank of the word there."""
+    last, rank, part = None, -1, TaskContext.get().partitionId() << 40
+    for batch in batches:
+        if batch.num_rows:
+            words = batch["word"]
+            new = np.concatenate([[words[0].as_py() != last], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
+            at = rank + np.cumsum(new)
+            last, rank = words[-1].as_py(), int(at[-1])
+            yield pa.record_batch([words, batch["shard"], batch["local"], pa.array(part + at)], names=["word", "shard", "local", "id"])
+
+
+def encoded(local: DataFrame) -> DataFrame:
+    """(word, shard, local, id): the words of all shards with their numbers there and their global ids."""
+    words = local.filter("words IS NOT NULL").select("shard", "words").mapInArrow(_each_word, "word binary, shard long, local int")
+    return words.repartition(partitions(local.sparkSession), "word").sortWithinPartitions("word").mapInArrow(_numbered, "word binary, shard long, local int, id long")
+
+
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(word, id): the distinct words of the documents and the columns of the matrix that they are."""
+    return encoded(shards(docs)).select("word", "id").distinct()
 
 
 def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by shard: the shard itself, then the ids of its words in the order of their local numbers."""
+    now, own, ids = None, None, []
+
+    def out() -> pa.RecordBatch:
+        own["indices"] = pack(np.concatenate([np.zeros(0, np.int64), *ids])[unpack(own["indices"], np.int32)])
+        return pa.record_batch([pa.array([now]), *[pa.array([own[f.name]], f.type) for f in _OWN]], names=["shard", *[f.name for f in _OWN]])
+
     for batch in batches:
-        found, local = batch["ids"], batch["indices"].to_pylist()
-        out = []
-        for k in range(batch.num_rows):
-            ids = np.asarray(found[k].values.to_numpy() if found[k].is_valid else [], np.int64)
-            out.append(pack(ids[unpack(local[k], np.int32)]))
-        at = batch.schema.get_field_index("indices")
-        kept = batch.set_column(at, pa.field("indices", pa.binary()), pa.array(out, pa.binary()))
-        yield kept.drop_columns(["ids"])
+        shard, local, id_ = (batch[c].to_numpy(zero_copy_only=False) for c in ("shard", "local", "id"))
+        starts = np.flatnonzero(local < 0).tolist()
+        for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+            if a < b and local[a] < 0:
+                if own is not None:
+                    yield out()
+                now, own, ids = int(shard[a]), batch["own"][a].as_py(), []
+                a += 1
+            if a < b:
+                ids.append(id_[a:b].astype(np.int64))
+    if own is not None:
+        yield out()
 
 
 def matrix(docs: DataFrame) -> DataFrame:
@@ -126,9 +169,9 @@ def matrix(docs: DataFrame) -> DataFrame:
     indptr, indices and data are int64 arrays (see unpack); doc_ids, parts, digests and fails go with the rows.
     """
     local = shards(docs)
-    words = local.select("shard", F.posexplode("words").alias("local", "word"))
-    ids = words.join(dictionary(local), "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("local", "id"))).alias("ids"))  # as many as a shard has words
-    return local.drop("words").join(ids.select("shard", F.col("ids.id").alias("ids")), "shard", "left").mapInArrow(_renumbered, MATRIX)
+    own = local.select("shard", F.lit(-1).alias("local"), F.lit(-1).cast("long").alias("id"), "own")
+    ids = encoded(local).select("shard", "local", "id", F.lit(None).cast(own.schema["own"].dataType).alias("own"))
+    return own.union(ids).repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "local").mapInArrow(_renumbered, MATRIX)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
