@@ -140,27 +140,13 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return encoded(shards(docs)).select("word", "id").distinct()
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by shard: the shard itself, then the ids of its words in the order of their local numbers."""
-    now, own, ids = None, None, []
-
-    def out() -> pa.RecordBatch:
-        own["indices"] = pack(np.concatenate([np.zeros(0, np.int64), *ids])[unpack(own["indices"], np.int32)])
-        return pa.record_batch([pa.array([now]), *[pa.array([own[f.name]], f.type) for f in _OWN]], names=["shard", *[f.name for f in _OWN]])
-
-    for batch in batches:
-        shard, local, id_ = (batch[c].to_numpy(zero_copy_only=False) for c in ("shard", "local", "id"))
-        starts = np.flatnonzero(local < 0).tolist()
-        for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
-            if a < b and local[a] < 0:
-                if own is not None:
-                    yield out()
-                now, own, ids = int(shard[a]), batch["own"][a].as_py(), []
-                a += 1
-            if a < b:
-                ids.append(id_[a:b].astype(np.int64))
-    if own is not None:
-        yield out()
+def _renumbered(own: pa.Table, found: pa.Table) -> pa.Table:
+    """A shard with the global ids of its words."""
+    local, ids = found["local"].to_numpy(), np.zeros(found.num_rows, np.int64)
+    ids[local] = found["id"].to_numpy()
+    (shard,), (r,) = own["shard"].to_pylist(), own["own"].to_pylist()
+    r["indices"] = pack(ids[unpack(r["indices"], np.int32)])
+    return pa.table([pa.array([shard]), *[pa.array([r[f.name]], f.type) for f in _OWN]], names=["shard", *[f.name for f in _OWN]])
 
 
 def matrix(docs: DataFrame) -> DataFrame:
@@ -169,9 +155,8 @@ def matrix(docs: DataFrame) -> DataFrame:
     indptr, indices and data are int64 arrays (see unpack); doc_ids, parts, digests and fails go with the rows.
     """
     local = shards(docs)
-    own = local.select("shard", F.lit(-1).alias("local"), F.lit(-1).cast("long").alias("id"), "own")
-    ids = encoded(local).select("shard", "local", "id", F.lit(None).cast(own.schema["own"].dataType).alias("own"))
-    return own.union(ids).repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", "local").mapInArrow(_renumbered, MATRIX)
+    ids = encoded(local).select("shard", "local", "id")  # a group has as many rows as its shard has words
+    return local.select("shard", "own").groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(_renumbered, MATRIX)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
