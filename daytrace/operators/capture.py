@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.textfn import file_stem, title_is_private, token_digest
 from ..schema import EMITTED_KINDS, KINDS
 
-# Programs that are never recorded, and shell surfaces.
+# Programs that are never recorded, and window classes of shell surfaces.
 EXCLUDED = ("1password", "bitwarden", "keepass", "keepassxc", "lastpass", "dashlane", "enpass", "nordpass", "protonpass", "credentialuibroker", "consent", "lsass")
+SHELL_CLASSES = ("TaskSwitcherWnd", "TaskSwitcherOverlayWnd", "MultitaskingViewFrame", "XamlExplorerHostIslandWindow", "Windows.UI.Core.CoreWindow", "Shell_TrayWnd", "Shell_SecondaryTrayWnd", "ForegroundStaging", "WorkerW", "Progman")
 
 
 def known_kind(kind: Column) -> Column:
@@ -47,7 +48,8 @@ def deep_read(enabled: bool, stem: Column, name: Column, listed: tuple[str, ...]
     return F.lit(enabled) & (F.coalesce(F.lower(stem).isin(*low), F.lit(False)) | F.coalesce(F.lower(name).isin(*low), F.lit(False)))
 
 
-def not_shell(window_class: Column, surfaces: tuple[str, ...]) -> Column:
+def not_shell(window_class: Column, surfaces: tuple[str, ...] = SHELL_CLASSES) -> Column:
+    """Whether a window is none of the shell's own, by its class; a window whose class can't be read is none."""
     return ~F.coalesce(F.lower(window_class).isin(*[s.lower() for s in surfaces]), F.lit(False))
 
 

@@ -16,7 +16,7 @@ def readable(episodes: DataFrame) -> DataFrame:
 
 
 def hour_slices(episodes: DataFrame) -> DataFrame:
-    """(stream, date, id, app, hour, pos, share_ms): the active time by the hours that the span touches.
+    """(stream, date, id, app, start_ms, ordinal, hour, pos, share_ms): the active time by the hours that the span touches.
 
     Shares are in proportion to the span, truncated; the first slice takes the rest. Hours are
     those of the session's zone, keyed by number alone: a span over midnight adds to hour 0 of its own day.
@@ -33,7 +33,7 @@ def hour_slices(episodes: DataFrame) -> DataFrame:
     e = e.withColumn("share", share)
     own = W.partitionBy("stream", "date", "id", "start_ms", "end_ms", "app")
     rest = F.col("active_ms") - F.sum("share").over(own)
-    return e.select("stream", "date", "id", "app", "start_ms", F.hour("at").alias("hour"), "pos", (F.col("share") + F.when(F.col("pos") == 0, rest).otherwise(0)).alias("share_ms"))
+    return e.select("stream", "date", "id", "app", "start_ms", "ordinal", F.hour("at").alias("hour"), "pos", (F.col("share") + F.when(F.col("pos") == 0, rest).otherwise(0)).alias("share_ms"))
 
 
 def daily(episodes: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def hourly_app_usage(slices: DataFrame) -> DataFrame:
 
 
 def hour_episode_ids(slices: DataFrame) -> DataFrame:
-    """Per stream, day and hour: the distinct episode ids in the order in which they started."""
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", "pos", "id")))
+    """Per stream, day and hour: the distinct episode ids in the order of the log, which isn't that of their times where those run backwards."""
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "pos", "id")))
     return slices.groupBy("stream", "date", "hour").agg(F.array_distinct(F.transform(rows, lambda r: r["id"])).alias("episode_ids"))
 
 

@@ -48,23 +48,81 @@ def relevant(activity: DataFrame) -> DataFrame:
     )
 
 
-def marked(activity: DataFrame) -> DataFrame:
-    """Window rows with their episode number, credit and the time until which they count."""
+def marked(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
+    """Window rows with their episode number, credit and the time until which they count.
+
+    ranges: for days too large for one sort, a column that never falls as seq rises (see seq_range). A day
+    is then cut where it changes; each range is sorted by itself, and what a range must know of the
+    others (one row for each range) is found by a pass over the ranges of the day.
+    """
+    r = relevant(activity)
+    return _marked_by_ranges(r.withColumn("range", ranges)) if ranges is not None else _marked(r)
+
+
+def _marked(r: DataFrame) -> DataFrame:
     order = W.partitionBy(*KEY).orderBy("seq")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
-    r = relevant(activity)
     before = {c: F.lag(c).over(order) for c in ("away", "private", "app")}
-    other = before["away"].isNull() | before["away"] | F.col("away") | (before["app"] != F.col("app")) | (before["private"] != F.col("private"))
-    r = r.withColumn("other", other).withColumn("next_ms", F.lead("ms").over(order)).withColumn("next_away", F.lead("away").over(order))
+    r = r.withColumn("other", _other(before)).withColumn("next_ms", F.lead("ms").over(order)).withColumn("next_away", F.lead("away").over(order))
     r = r.withColumn("run", F.sum(F.col("other").cast("long")).over(upto))
     # the latest time of the run so far: runs are numbered in order, so the largest (run, ms) is of this run
     r = r.withColumn("last", F.max(F.struct("run", "ms")).over(upto)["ms"])
     silent = F.coalesce(F.col("ms") - F.lag("last").over(order) > IDLE_MS, F.lit(False))
     r = r.withColumn("ep", F.sum((~F.col("away") & (F.col("other") | silent)).cast("long")).over(upto))
+    return _credited(r).drop("other", "run")
+
+
+def _other(before: dict[str, Column]) -> Column:
+    """Whether a row goes on with another app or privacy than the row before, or after none."""
+    return before["away"].isNull() | before["away"] | F.col("away") | (before["app"] != F.col("app")) | (before["private"] != F.col("private"))
+
+
+def _credited(r: DataFrame) -> DataFrame:
     gap = F.col("next_ms") - F.col("last")
     idle = F.col("next_ms").isNull() | (~F.col("next_away") & (gap > IDLE_MS))
     r = r.withColumn("credit", F.when(idle, F.lit(0)).otherwise(credited(gap))).withColumn("until", F.when(idle, F.col("last")).otherwise(F.col("next_ms")))
-    return r.filter(~F.col("away")).drop("other", "run", "last")
+    return r.filter(~F.col("away")).drop("last")
+
+
+def seq_range(activity: DataFrame, width: int) -> Column:
+    """Ranges of about `width` rows of seq, a number or a place in the log."""
+    if "struct" in dict(activity.dtypes)["seq"]:
+        return F.struct(F.col("seq.batch"), F.floor(F.col("seq.n") / width).alias("n"), F.col("seq.file"), F.col("seq.block"))
+    return F.floor(F.col("seq") / width)
+
+
+def _marked_by_ranges(r: DataFrame) -> DataFrame:
+    """The same as _marked, with no sort or window over the rows of a whole day.
+
+    Within a range everything but its first run is known. Of a range others need its first and last row, and
+    the latest time of its last run; with these, first the runs and then the episodes of the range get what came before.
+    """
+    cut = (*KEY, "range")
+    order = W.partitionBy(*cut).orderBy("seq")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    day = W.partitionBy(*KEY).orderBy("range")
+    earlier = day.rowsBetween(W.unboundedPreceding, -1)
+    before = {c: F.lag(c).over(order) for c in ("away", "private", "app")}
+    r = r.withColumn("first", before["away"].isNull()).withColumn("other", ~F.col("first") & _other(before)).withColumn("next_ms", F.lead("ms").over(order)).withColumn("next_away", F.lead("away").over(order))
+    r = r.withColumn("run", F.sum(F.col("other").cast("long")).over(upto)).withColumn("last", F.max(F.struct("run", "ms")).over(upto)["ms"])
+    ends = F.struct("away", "private", "app", "ms")
+    s = r.groupBy(*cut).agg(F.min_by(ends, "seq").alias("a"), F.max_by(ends, "seq").alias("z"), F.max("run").alias("runs"), F.max(F.struct("run", "ms"))["ms"].alias("latest"))
+    was = F.lag("z").over(day)
+    s = s.withColumn("opens", F.coalesce(was["away"] | F.col("a.away") | (was["app"] != F.col("a.app")) | (was["private"] != F.col("a.private")), F.lit(True)))
+    s = s.withColumn("number", F.sum(F.col("runs") + F.col("opens").cast("long")).over(day.rowsBetween(W.unboundedPreceding, 0)))
+    s = s.withColumn("came", F.max(F.struct("number", "latest")).over(earlier)["latest"])  # the latest time of the run that is open where the range begins
+    s = s.withColumn("follows", F.lead("a").over(day))
+    s = s.select(*cut, "opens", "came", F.col("follows.ms").alias("follows_ms"), F.col("follows.away").alias("follows_away"))
+    r = r.join(s, list(cut))
+    end = F.col("next_away").isNull()
+    r = r.withColumn("next_ms", F.when(end, F.col("follows_ms")).otherwise(F.col("next_ms"))).withColumn("next_away", F.when(end, F.col("follows_away")).otherwise(F.col("next_away")))
+    r = r.withColumn("other", F.when(F.col("first"), F.col("opens")).otherwise(F.col("other")))
+    r = r.withColumn("last", F.when((F.col("run") == 0) & ~F.col("opens"), F.greatest("last", "came")).otherwise(F.col("last")))
+    silent = F.coalesce(F.col("ms") - F.when(F.col("first"), F.col("came")).otherwise(F.lag("last").over(order)) > IDLE_MS, F.lit(False))
+    r = r.withColumn("ep", F.sum((~F.col("away") & (F.col("other") | silent)).cast("long")).over(upto))
+    n = r.groupBy(*cut).agg(F.max("ep").alias("eps")).withColumn("base", F.coalesce(F.sum("eps").over(earlier), F.lit(0))).select(*cut, "base")
+    r = r.join(n, list(cut)).withColumn("ep", F.col("ep") + F.col("base"))
+    return _credited(r).drop("other", "run", "first", "opens", "came", "follows_ms", "follows_away", "base", "range")
 
 
 def _bounds() -> list[Column]:
@@ -73,11 +131,18 @@ def _bounds() -> list[Column]:
     return [F.min_by("app", "seq").alias("app"), F.first("private").alias("is_private"), start.alias("start_ms"), F.greatest(F.max_by("until", "seq"), start).alias("end_ms"), F.sum("credit").alias("active_ms"), F.count("*").alias("event_count")]
 
 
-def _ordered(values: Column, most: int | None = None) -> Column:
-    """Distinct values in the order of seq; values: a struct of seq and v, null v left out."""
-    kept = F.filter(F.array_sort(F.collect_list(values)), lambda x: x["v"].isNotNull())
-    out = F.array_distinct(F.transform(kept, lambda x: x["v"]))
-    return F.slice(out, 1, most) if most else out
+#: The lists of an episode, in the order of their items' kinds: column and how many values it holds (None: all).
+LISTS = (("titles", None), ("urls", None), ("documents", MAX_DOCUMENTS), ("visible_text", MAX_TEXT))
+
+
+def _items(rows: DataFrame) -> Column:
+    """A row's values for the lists (kind: the list's place, pos: the place within the row), and one of kind -1 for the row itself."""
+    item = lambda kind, v, pos=F.lit(0): F.struct(F.lit(kind).alias("kind"), v.alias("v"), pos.alias("pos"))
+    one = F.array(item(0, F.when(F.trim("title") != "", F.col("title"))), item(1, F.col("url")), item(2, F.col("document")))
+    text = F.transform(F.coalesce("visible_text", F.array().cast("array<string>")), lambda v, i: item(3, v, i))
+    own = F.filter(F.concat(one, text), lambda x: x["v"].isNotNull())
+    none = F.array(item(-1, F.lit(None).cast("string")))
+    return F.when(F.col("private"), none).otherwise(F.concat(none, own))
 
 
 def _with_holds(rows: DataFrame) -> DataFrame:
@@ -92,32 +157,42 @@ def _with_holds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("held", F.sum("credit").over(by_title)).withColumn("first_seq", F.min("seq").over(by_title))
 
 
-def episodes(activity: DataFrame) -> DataFrame:
-    """Episodes with their lists, titles and text."""
-    rows = _with_holds(marked(activity))
-    open_ = ~F.col("private")
+def episodes(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
+    """Episodes with their lists, titles and text. ranges: see marked().
+
+    The values of a list are reduced to their first appearances before anything is gathered, and of a
+    list that is capped the first ones alone are: an episode's rows are never collected.
+    """
+    rows = _with_holds(marked(activity, ranges))
     rank = F.when(F.col("current").isNotNull(), F.struct("held", F.col("first_seq") if TIES_GO_LAST else -F.col("first_seq")))
-    item = lambda c, ok: F.struct("seq", F.when(open_ & ok, F.col(c)).alias("v"))
-    texts = F.filter(F.array_sort(F.collect_list(F.struct("seq", F.when(open_, F.col("visible_text")).alias("v")))), lambda x: x["v"].isNotNull())
-    e = rows.groupBy(*KEY, "ep").agg(
-        *_bounds(), F.max_by("current", rank).alias("title"), F.min_by("app_path", "seq").alias("app_path"), _ordered(item("title", F.trim("title") != "")).alias("titles"), _ordered(item("url", F.lit(True))).alias("urls"),
-        _ordered(item("document", F.lit(True)), MAX_DOCUMENTS).alias("documents"), F.slice(F.array_distinct(F.flatten(F.transform(texts, lambda x: x["v"]))), 1, MAX_TEXT).alias("visible_text"),
-    )
-    return _finished(e)
+    rows = rows.withColumn("rank", rank).select(*KEY, "ep", "seq", "app", "private", "ms", "until", "credit", "app_path", "current", "rank", F.inline(_items(rows)))
+    # a row of kind -1 is an episode, others are values of its lists
+    e = rows.groupBy(*KEY, "ep", "kind", "v").agg(*_bounds(), F.max_by("current", "rank").alias("title"), F.min_by("app_path", "seq").alias("app_path"), F.min(F.struct("seq", "pos")).alias("first"))
+    place = F.row_number().over(W.partitionBy(*KEY, "ep", "kind").orderBy("first"))
+    most = F.array(*[F.lit(n) for _, n in LISTS])
+    e = e.withColumn("place", place).withColumn("most", F.when(F.col("kind") >= 0, F.get(most, F.col("kind")))).filter("most IS NULL OR place <= most")
+    own = F.col("kind") < 0
+    base = [F.max_by(c, F.when(own, F.lit(1))).alias(c) for c in ("app", "is_private", "start_ms", "end_ms", "active_ms", "event_count", "title", "app_path")]
+    e = e.groupBy(*KEY, "ep").agg(*base, F.array_sort(F.collect_list(F.when(~own, F.struct("kind", "place", "v")))).alias("items"))
+    return _finished(e.select("*", *[_list(kind).alias(name) for kind, (name, _) in enumerate(LISTS)]))
+
+
+def _list(kind: int) -> Column:
+    return F.transform(F.filter("items", lambda x: x["kind"] == kind), lambda x: x["v"])
 
 
 def _finished(e: DataFrame) -> DataFrame:
     start, end = F.timestamp_millis("start_ms"), F.timestamp_millis("end_ms")
     return e.select(
         "stream", "date", F.concat("date", F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "app_path", "title", "titles", "urls", "documents", "visible_text",
-        format_instant(start).alias("start"), format_instant(end).alias("end"), "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private",
+        format_instant(start).alias("start"), format_instant(end).alias("end"), "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private", F.col("ep").alias("ordinal"),
     )
 
 
-def core(activity: DataFrame) -> DataFrame:
-    """Episodes without lists and titles: no collected arrays, for rollups of time alone."""
-    e = marked(activity).groupBy(*KEY, "ep").agg(*_bounds())
-    return e.select("stream", "date", F.concat("date", F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private")
+def core(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
+    """Episodes without lists and titles: no collected arrays, for rollups of time alone. ordinal counts a day's episodes in the order of the log."""
+    e = marked(activity, ranges).groupBy(*KEY, "ep").agg(*_bounds())
+    return e.select("stream", "date", F.concat("date", F.lit("#"), F.col("start_ms").cast("string")).alias("id"), "app", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "active_ms", "event_count", "is_private", F.col("ep").alias("ordinal"))
 
 
 def out_of_order_days(activity: DataFrame) -> DataFrame:

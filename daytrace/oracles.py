@@ -185,7 +185,7 @@ ORACLES: dict[str, str] = {
     "control_surfaces": r"""WITH k AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<(nav|footer|aside|p|h1|li|div|article)[ >]', 1) AS t FROM pages), r AS (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM k)
       SELECT page_id, CAST(CASE WHEN t[i] IN ('nav', 'footer') OR (i > 1 AND t[i - 1] IN ('nav', 'footer')) OR (i > 2 AND t[i - 2] IN ('nav', 'footer')) OR t[i] IN ('aside', 'li', 'article') THEN 2 WHEN t[i] IN ('p', 'h1') THEN 0 ELSE 1 END AS INTEGER) AS surface, count(*) AS n FROM r GROUP BY ALL""",
     "episodes_core": _with(_ROWS, "SELECT stream, date, id, app, start_ms, end_ms, duration_ms, active_ms, event_count, is_private FROM e"),
-    "episodes_exact_fold": _with(_ROWS, "SELECT stream, date, id, app, start_ms, end_ms, duration_ms, active_ms, event_count, is_private FROM e"),
+    "episodes_by_ranges": _with(_ROWS, "SELECT stream, date, id, app, start_ms, end_ms, duration_ms, active_ms, event_count, is_private FROM e"),
     "episode_headline_title": _with(_ROWS + _TITLE, "SELECT e.stream, e.date, e.id, ht.title FROM e LEFT JOIN ht ON ht.stream = e.stream AND ht.date = e.day AND ht.ep = e.ep"),
     **{
         name: _with(_ROWS + cte, f"SELECT e.stream, e.date, e.id, coalesce(t.v, '') AS {column} FROM e LEFT JOIN {alias} t ON t.stream = e.stream AND t.date = e.day AND t.ep = e.ep")
@@ -204,7 +204,7 @@ ORACLES: dict[str, str] = {
     "hour_slices": _with(_ROWS + _SLICES, "SELECT stream, date, id, app, hour, pos, share_ms FROM sl"),
     "hourly_rollup": _with(_ROWS + _SLICES, "SELECT * FROM hr"),
     "hourly_app_usage": _with(_ROWS + _SLICES, "SELECT * FROM hap"),
-    "hour_episode_ids": _with(_ROWS + _SLICES, "SELECT stream, date, hour, string_agg(id, '|' ORDER BY s, p) AS episode_ids FROM (SELECT stream, date, hour, id, min(start_ms) AS s, min(pos) AS p FROM sl GROUP BY ALL) GROUP BY ALL"),
+    "hour_episode_ids": _with(_ROWS + _SLICES, "SELECT stream, date, hour, string_agg(id, '|' ORDER BY ep) AS episode_ids FROM (SELECT stream, date, hour, id, min(ep) AS ep FROM sl GROUP BY ALL) GROUP BY ALL"),
     "leading_app_hour": _with(_ROWS + _SLICES, "SELECT stream, date, hour, app, active_ms, episodes FROM hap WHERE rank = 1"),
     "usage_subtotals": _with(_ROWS + _SLICES, "SELECT date, hour, app, CAST(sum(share_ms) AS BIGINT) AS active_ms, CAST(grouping(date, hour, app) AS BIGINT) AS level FROM sl GROUP BY ROLLUP (date, hour, app)"),
     "timeline_groups": _with(
@@ -242,11 +242,11 @@ ORACLES: dict[str, str] = {
     "file_sizes": "SELECT doc_id, CASE WHEN n < 1000 THEN n || ' bytes' ELSE printf('%.1f kB', floor(n / 100 + 0.5) / 10) END AS size FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)",
     "stale_hours": _with(_ROWS + _SLICES + _DAYS + _SUMS, "SELECT stream, date, hour, hr.active_ms, su.active_ms AS written_ms, hr.active_ms >= 60000 AND hr.active_ms - su.active_ms >= 60000 AS stale FROM hr JOIN su USING (stream, date, hour)"),
     "run_plan": _with(
-        _ROWS + _SLICES + _DAYS + _SUMS, "SELECT stream, date, hour, hr.active_ms, su.active_ms AS written_ms, CASE WHEN hr.active_ms < 60000 THEN 'quiet' WHEN hr.active_ms - su.active_ms < 60000 THEN 'skip' ELSE 'write' END AS action FROM hr LEFT JOIN su USING (stream, date, hour)"
+        _ROWS + _SLICES + _DAYS + _SUMS, "SELECT stream, date, hour, hr.active_ms, su.active_ms AS written_ms, CASE WHEN hr.active_ms - su.active_ms < 60000 THEN 'skip' WHEN hr.active_ms < 60000 THEN 'quiet' ELSE 'write' END AS action FROM hr LEFT JOIN su USING (stream, date, hour)"
     ),
     "run_report": _with(
         _ROWS + _SLICES + _DAYS + _SUMS,
-        """, p AS (SELECT stream, date, hour, CASE WHEN hr.active_ms < 60000 THEN 'quiet' WHEN hr.active_ms - su.active_ms < 60000 THEN 'skip' ELSE 'write' END AS action FROM hr LEFT JOIN su USING (stream, date, hour))
+        """, p AS (SELECT stream, date, hour, CASE WHEN hr.active_ms - su.active_ms < 60000 THEN 'skip' WHEN hr.active_ms < 60000 THEN 'quiet' ELSE 'write' END AS action FROM hr LEFT JOIN su USING (stream, date, hour))
         SELECT stream, date, coalesce(string_agg(CAST(hour AS VARCHAR), ',' ORDER BY hour) FILTER (action = 'write'), '') AS hours_write, coalesce(string_agg(CAST(hour AS VARCHAR), ',' ORDER BY hour) FILTER (action = 'skip'), '') AS hours_skip,
         coalesce(string_agg(CAST(hour AS VARCHAR), ',' ORDER BY hour) FILTER (action = 'quiet'), '') AS hours_quiet FROM p GROUP BY ALL""",
     ),
@@ -409,3 +409,16 @@ FROM e LEFT JOIN ht ON ht.date = e.day AND ht.ep = e.ep LEFT JOIN ul ON ul.date
         sha256(t) AS digest, CASE WHEN turn % 3 = 0 THEN role END AS bearer, CASE WHEN conv_id % 2 = 0 THEN TRUE ELSE regexp_full_match(substr(t, 1, 9), '[A-Za-z0-9_-]+') END AS valid FROM m""",
     "accepted_tokens": "SELECT doc_id FROM documents WHERE coalesce(text, '') IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 3 = 0)",
 }
+
+ORACLES |= {
+    "episodes_by_ranges_any_order": ORACLES["episodes_any_order"],
+    # an episode's number is that of the row that closes it; what is open at the end comes last
+    "hour_episode_ids_any_order": "WITH RECURSIVE " + _SHIFTED + _FOLD + """,
+closed AS (
+  SELECT stream, date, k, c_start AS start_ms, c_end AS end_ms, c_active AS active_ms, c_app AS app FROM f WHERE c_start IS NOT NULL
+  UNION ALL
+  SELECT f.stream, f.date, f.k + 1, f.start, greatest(f.last, f.start), f.active, f.app FROM f JOIN (SELECT DISTINCT stream, date, size FROM n) z ON z.stream = f.stream AND z.date = f.date AND z.size = f.k WHERE f.start IS NOT NULL
+),
+numbered AS (SELECT stream, CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) || '#' || start_ms AS id, app, start_ms, end_ms, active_ms, row_number() OVER (PARTITION BY stream, date ORDER BY k) AS ep FROM closed)""" + _SLICES.replace("AS h FROM e)", "AS h FROM numbered)") + """
+SELECT stream, date, hour, string_agg(id, '|' ORDER BY ep) AS episode_ids FROM (SELECT stream, date, hour, id, min(ep) AS ep FROM sl GROUP BY ALL) GROUP BY ALL""",
+}

@@ -98,13 +98,13 @@ class Api:
 
     def tools(self) -> list[dict]:
         """The tools that run_tool() takes, with the schemas of their arguments."""
-        range_ = "A date in YYYY-MM-DD form." + ("" if self.allow_history else " This server is limited to today.")
+        range_ = "Which day, written like 2024-03-05." + ("" if self.allow_history else " Only the current day is shared here.")
         number = {"type": "integer", "minimum": LIMITS[0], "maximum": LIMITS[1]}
         text = {"type": "string"}
         of = lambda name, what, properties, required=(): {"name": name, "description": what, "inputSchema": {"type": "object", "properties": properties, "required": list(required), "additionalProperties": False}}
         return [
             of("get_today", "Today's sessions, the time in each application, and the summaries written.", {}),
-            of("get_day", "The same for a named day.", {"date": text | {"description": range_}}, ["date"]),
+            of("get_day", "Sessions, applications and summaries of one day, chosen by its date.", {"date": text | {"description": range_}}, ["date"]),
             of("search_history", "Sessions that hold every word of a query; private ones are found by application alone.", {"query": text, "limit": number}, ["query"]),
             of("get_recent", "The latest sessions of the last week, newest first.", {"count": number}),
         ]

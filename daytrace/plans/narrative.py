@@ -204,9 +204,9 @@ def timeline_headline(days: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def run_plan(hours: DataFrame, written: DataFrame) -> DataFrame:
-    """(stream, date, hour, action): quiet under a minute; skip if the written summary covers the hour within a minute; else write."""
+    """(stream, date, hour, action): skip if the written summary covers the hour within a minute, however short the hour; quiet under a minute; else write."""
     j = hours.select(*KEYS, "hour", "active_ms").join(written.select(*KEYS, "hour", F.col("active_ms").alias("written_ms")), [*KEYS, "hour"], "left")
-    action = F.when(F.col("active_ms") < WORTH_MS, "quiet").when(F.col("written_ms").isNotNull() & (F.col("active_ms") - F.col("written_ms") < WORTH_MS), "skip").otherwise("write")
+    action = F.when(F.col("written_ms").isNotNull() & (F.col("active_ms") - F.col("written_ms") < WORTH_MS), "skip").when(F.col("active_ms") < WORTH_MS, "quiet").otherwise("write")
     return j.select(*KEYS, "hour", "active_ms", "written_ms", action.alias("action"))
 
 

@@ -155,12 +155,21 @@ def control_surfaces(s, d):
 
 @query
 def episodes_core(s, d):
-    return _core(s, d)
+    return _core(s, d).drop("ordinal")
 
 
 @query
-def episodes_exact_fold(s, d):
-    return sessions.core(activity(s, d, urls=False))
+def episodes_by_ranges(s, d):
+    """Days cut into ranges of 1024 places of the log, which are sorted apart and stitched."""
+    a = activity(s, d, urls=False)
+    return sessions.core(a, sessions.seq_range(a, 1024)).drop("ordinal")
+
+
+@query
+def episodes_by_ranges_any_order(s, d):
+    """The same where times run backwards, with ranges so small that most episodes span several."""
+    a = _out_of_order(s, d, urls=False)
+    return sessions.core(a, sessions.seq_range(a, 16)).drop("ordinal")
 
 
 def _out_of_order(s: SparkSession, d: str, urls: bool = True) -> DataFrame:
@@ -171,7 +180,7 @@ def _out_of_order(s: SparkSession, d: str, urls: bool = True) -> DataFrame:
 
 @query
 def episodes_any_order(s, d):
-    return sessions.core(_out_of_order(s, d, urls=False))
+    return sessions.core(_out_of_order(s, d, urls=False)).drop("ordinal")
 
 
 @query
@@ -229,7 +238,7 @@ def daily_rollup(s, d):
 
 @query
 def hour_slices(s, d):
-    return _slices(s, d).drop("start_ms")
+    return _slices(s, d).drop("start_ms", "ordinal")
 
 
 @query
@@ -247,6 +256,12 @@ def hour_episode_ids(s, d):
     return rollup.hour_episode_ids(_slices(s, d)).withColumn("episode_ids", F.array_join("episode_ids", "|"))
 
 
+@query
+def hour_episode_ids_any_order(s, d):
+    """Episodes of an hour in the order of the log where times run backwards."""
+    return rollup.hour_episode_ids(rollup.hour_slices(sessions.core(_out_of_order(s, d, urls=False)))).withColumn("episode_ids", F.array_join("episode_ids", "|"))
+
+
 @query
 def leading_app_hour(s, d):
     return rollup.leading_app(rollup.hourly_app_usage(_slices(s, d)))

@@ -39,18 +39,40 @@ def file_text(title: Column, date: Column, saved_at: Column, body: Column) -> Co
 
 
 def save(docs: DataFrame, root: str) -> None:
-    """Writes (id, title, date, saved_at, body) as `<id>.md` each: tasks write single files beside their final names, and rename them."""
+    """Writes (id, title, date, saved_at, body) as `<id>.md` each: tasks write single files beside their final names, which are renamed.
+
+    A document of the same id is replaced. One that can't be moved to its name stays in the staging folder, which the error names.
+    """
     text = file_text(F.col("title"), F.col("date"), F.col("saved_at"), F.col("body"))
     spark = docs.sparkSession
     staging = f"{root}/library/.saving-{time.time_ns()}"
     docs.filter(valid_id(F.col("id"))).select("id", text.alias("value")).write.partitionBy("id").text(staging)
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    left = []
     for found in fs.globStatus(path(f"{staging}/id=*/part-*")):  # documents that a person saves: few
-        fs.rename(found.getPath(), path(f"{root}/library/{found.getPath().getParent().getName()[3:]}.md"))
+        to = path(f"{root}/library/{found.getPath().getParent().getName()[3:]}.md")
+        if not replaced(fs, found.getPath(), to):
+            left.append(to.getName())
+    if left:
+        raise OSError(f"not saved: {', '.join(left)}; the documents are in {staging}")
     fs.delete(path(staging), True)
 
 
+def replaced(fs, file, to) -> bool:
+    """Moves a file to a name that may be taken: the old one steps aside until the new one is there, and comes back if it can't be."""
+    if not fs.exists(to):
+        return fs.rename(file, to)
+    aside = to.suffix(f".{time.time_ns()}")
+    if not fs.rename(to, aside):
+        return False
+    if fs.rename(file, to):
+        fs.delete(aside, True)
+        return True
+    fs.rename(aside, to)
+    return False
+
+
 def saved_label(saved_at: Column) -> Column:
     """`2024-03-06 at 01:00`, or `an unknown time` if the instant can't be read."""
     at = parse_instant(saved_at)
