@@ -53,13 +53,27 @@ def not_shell(window_class: Column, surfaces: tuple[str, ...] = SHELL_CLASSES) -
     return ~F.coalesce(F.lower(window_class).isin(*[s.lower() for s in surfaces]), F.lit(False))
 
 
-def without_repeats(rows: DataFrame, *what: str) -> DataFrame:
-    """Without rows that are equal to the one before in their stream."""
-    order = W.partitionBy("stream").orderBy("seq")
-    same = F.lit(True)
-    for c in what:
-        same = same & F.lag(c).over(order).eqNullSafe(F.col(c))
-    return rows.withColumn("__same", same & F.lag("seq").over(order).isNotNull()).filter("NOT __same").drop("__same")
+#: Rows of a stream that are put in order together.
+RANGE = 1 << 16
+
+
+def without_repeats(rows: DataFrame, *what: str, range_: Column | None = None) -> DataFrame:
+    """Without rows that are equal to the one before in their stream.
+
+    A stream is cut into ranges of seq (range_: a column that never falls as seq rises; by default RANGE
+    numbers), which are sorted apart. A range's first row meets the last row of the range before it:
+    one row for each range is all that a stream has in order.
+    """
+    range_ = F.floor(F.col("seq") / RANGE) if range_ is None else range_
+    cut = ["stream", "__range"]
+    order = W.partitionBy(*cut).orderBy("seq")
+    rows = rows.withColumn("__range", range_).withColumn("__what", F.struct(*what))
+    last = rows.groupBy(*cut).agg(F.max_by("__what", "seq").alias("__last"))
+    before = last.select(*cut, F.lag("__last").over(W.partitionBy("stream").orderBy("__range")).alias("__before"))
+    rows = rows.withColumn("__first", F.lag("seq").over(order).isNull()).withColumn("__was", F.lag("__what").over(order))
+    was = F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__was"))
+    rows = rows.join(before, cut, "left")
+    return rows.filter(~was.eqNullSafe(F.col("__what"))).drop("__range", "__what", "__first", "__was", "__before")
 
 
 def throttled(rows: DataFrame, window: str, lines: str, every_ms: int = 30_000) -> DataFrame:

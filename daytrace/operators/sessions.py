@@ -36,15 +36,15 @@ def is_private(kind: Column, sensitive: Column) -> Column:
     return F.coalesce(sensitive, F.lit(False)) | (kind == "privacyBoundary")
 
 
-def relevant(activity: DataFrame) -> DataFrame:
-    """Window and away rows with a readable time, with ms, away, private and app filled in.
+def relevant(activity: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Window and away rows with a readable time, with ms, away, private and app filled in; keep names columns to leave as they are.
 
     The date becomes text here, before anything is dealt by it, so that one exchange by (stream, date)
     serves the sessions and all rollups by (stream, date, ...) after them.
     """
     return activity.filter(F.col("ts").isNotNull() & (is_window(F.col("kind")) | is_away(F.col("kind")))).select(
         "stream", F.date_format("date", "yyyy-MM-dd").alias("date"), "seq", F.unix_millis("ts").alias("ms"), is_away(F.col("kind")).alias("away"), is_private(F.col("kind"), F.col("sensitive")).alias("private"), F.coalesce("app", F.lit("")).alias("app"), "app_path",
-        "title", "url", document_label(F.col("doc_title"), F.col("doc_path")).alias("document"), "visible_text",
+        "title", "url", document_label(F.col("doc_title"), F.col("doc_path")).alias("document"), "visible_text", *keep,
     )
 
 

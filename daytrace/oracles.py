@@ -421,4 +421,5 @@ closed AS (
 ),
 numbered AS (SELECT stream, CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) || '#' || start_ms AS id, app, start_ms, end_ms, active_ms, row_number() OVER (PARTITION BY stream, date ORDER BY k) AS ep FROM closed)""" + _SLICES.replace("AS h FROM e)", "AS h FROM numbered)") + """
 SELECT stream, date, hour, string_agg(id, '|' ORDER BY ep) AS episode_ids FROM (SELECT stream, date, hour, id, min(ep) AS ep FROM sl GROUP BY ALL) GROUP BY ALL""",
+    "stream_open_sessions": ORACLES["episodes_core"],
 }

@@ -629,16 +629,59 @@ def stream_episodes(s, d):
     return e.groupBy(F.col("date").cast("string").alias("date"), "stream").agg(F.count("*").alias("episodes"), F.sum("active_ms").alias("active_ms"))
 
 
+def _with_state(s: SparkSession, run: Callable[[], None]) -> None:
+    """Runs streams whose state needs the store that lists and timers are kept in."""
+    from .streaming.open_sessions import STATE_STORE
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = s.conf.get(key)
+    s.conf.set(key, STATE_STORE)
+    try:
+        run()
+    finally:
+        s.conf.set(key, was)
+
+
 @query
 def stream_dedup(s, d):
-    """Repeats dropped by a stateful stream, counted by stream of users."""
+    """Repeats dropped by a stateful stream that reads the events from four files, dealt at random, one a batch."""
     from .streaming import ingest
 
-    def change(r: DataFrame) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("long")
-        r = r.select(F.pmod("user_id", F.lit(4)).cast("int").alias("stream"), F.col("event_id").alias("seq"), F.concat(F.lit("app_"), F.pmod("user_id", F.lit(3)).cast("string")).alias("app"), F.concat(F.lit("title "), (k % 5).cast("string")).alias("title"), F.lit(None).cast("string").alias("url"))
-        return ingest.without_repeats(r)
+    work = _work(s)
+    rows = activity(s, d, urls=False).select("stream", "seq", "ts", "app", "title", "url")
+    rows.repartition(4, F.xxhash64("seq")).write.parquet(f"{work}/in")
+    # a row long after the others lets the watermark pass them
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit(-1).alias("stream"), F.lit(0).cast("long").alias("seq"), "ts", *[F.lit(None).cast("string").alias(c) for c in ("app", "title", "url")])
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{work}/out/batch={number:08d}")
 
-    return _streamed(s, d, change, "append").groupBy("stream").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+    def run() -> None:
+        feed = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+        start = lambda: ingest.repeats_by_range(feed, "366 days").writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        start()
+        end.write.mode("append").parquet(f"{work}/in")
+        start()
 
+    _with_state(s, run)
+    out = ingest.stitched(s.read.parquet(f"{work}/out").drop("batch"))
+    return out.filter("stream >= 0").groupBy("stream").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
+
+@query
+def stream_open_sessions(s, d):
+    """Episodes from a stream that holds only what is open: the events come in six batches, and a last one moves the clock past the last day."""
+    from .streaming import open_sessions
+
+    work = _work(s)
+    rows = activity(s, d, urls=False)
+    first, last = rows.agg(F.min("seq"), F.max("seq")).first()
+    step = ((last or 0) - (first or 0)) // 6 + 1
+    clock = rows.limit(1).select(*[(F.to_timestamp(F.lit("2100-01-01")) if c == "ts" else F.lit("collectorStarted") if c == "kind" else F.col(c)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    again: list[int] = []
+    for k in range(7):
+        part = clock if k == 6 else rows.filter(F.floor((F.col("seq") - (first or 0)) / step) == k)
+        part.coalesce(2).write.mode("append").parquet(f"{work}/in")
+        feed = s.readStream.schema(rows.schema).parquet(f"{work}/in")
+        open_sessions.keep_sessions(feed, f"{work}/out", f"{work}/checkpoint", lambda days, number: again.append(number)).awaitTermination()
+    return open_sessions.read_sessions(s, f"{work}/out")

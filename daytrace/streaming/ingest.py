@@ -1,4 +1,4 @@
-"""Streams: ingest of a log as it grows, counts by day, refresh of touched days, repeats dropped with state."""
+"""Streams: ingest of a log as it grows, counts by day, refresh of touched days, repeats dropped with state, in any order of the rows."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..schema import EVENT
 from ..sources import jsonl
@@ -61,24 +61,67 @@ def refresh_touched(rows: DataFrame, recompute: Callable[[DataFrame, int], None]
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def without_repeats(rows: DataFrame) -> DataFrame:
-    """Of (stream, seq, app, title, url), the rows that differ from the one before in their stream, with the last row as state.
+REPEATS = "stream int, range long, seq long, app string, title string, url string, place int"
 
-    A stream's rows come in order and in chunks; only the row before a chunk is carried.
+
+class Ranges(StatefulProcessor):
+    """Holds the rows of one range of a stream until the watermark has passed all of them, then puts them in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "seq long, app string, title string, url string")
+        self.due = handle.getValueState("due", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = int(self.due.get()[0]) if self.due.exists() else None
+        for pdf in rows:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            self.rows.appendList([(int(s), a, t, u) for s, a, t, u in zip(pdf["seq"], pdf["app"], pdf["title"], pdf["url"], strict=True)])
+            latest = max(int(t) for t in pdf["ms"]) + 1
+            if due is None or latest > due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                due = latest
+                self.handle.registerTimer(due)
+        self.due.update((due,))
+        yield _ordered([], key)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = sorted(self.rows.get(), key=lambda r: r[0])
+        kept = [(*r, 0) for before, r in zip([None, *rows], rows, strict=False) if before is None or tuple(before)[1:] != tuple(r)[1:]]
+        kept[0] = (*kept[0][:-1], 1)  # the first row of the range
+        kept.append((*rows[-1], 2))  # what the next range begins after; not a row that is kept
+        self.rows.clear()
+        self.due.clear()
+        yield _ordered(kept, key)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(rows: list[tuple], key: tuple) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["seq", "app", "title", "url", "place"]).astype({"seq": "int64", "place": "int32", "app": object, "title": object, "url": object})
+    out.insert(0, "stream", pd.Series([key[0]] * len(out), dtype="int32"))
+    out.insert(1, "range", pd.Series([key[1]] * len(out), dtype="int64"))
+    return out
+
+
+def repeats_by_range(rows: DataFrame, late: str, width: int = 1 << 12) -> DataFrame:
+    """REPEATS of a stream of (stream, seq, ts, app, title, url) whose rows come in any order and in any files and chunks.
+
+    The state of a (stream, range of `width` numbers of seq) is its rows until the watermark, `late` behind
+    the latest time, has passed them; then the rows that differ from the one before in the range leave in order, the
+    range's first one (place 1) and a mark of its last one (place 2) with them. Ranges are keys of their own,
+    so that they may end in any order: see stitched(). Later rows are dropped, as the watermark says.
     """
-    what = ["app", "title", "url"]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            values = pdf[what].astype(object).where(pdf[what].notna(), None)
-            before = values.shift(1)
-            same = ((values == before) | (values.isna() & before.isna())).all(axis=1).to_numpy(copy=True)
-            same[0] = last is not None and tuple(values.iloc[0]) == tuple(last)
-            last = tuple(values.iloc[-1])
-            yield pdf.loc[~same, ["stream", "seq", *what]]
-        if last is not None:
-            state.update(last)
-
-    return rows.groupBy("stream").applyInPandasWithState(step, "stream int, seq long, app string, title string, url string", "app string, title string, url string", "append", GroupStateTimeout.NoTimeout)
+    kept = rows.withWatermark("ts", late).select("stream", F.floor(F.col("seq") / width).alias("range"), "seq", "ts", F.unix_millis("ts").alias("ms"), "app", "title", "url")
+    return kept.groupBy("stream", "range").transformWithStateInPandas(Ranges(), REPEATS, "Append", "EventTime")
+
+
+def stitched(ranges: DataFrame) -> DataFrame:
+    """(stream, seq, app, title, url) of the table that repeats_by_range fills: a range's first row is kept unless the last row of the range before is equal."""
+    what = F.struct("app", "title", "url")
+    ends = ranges.groupBy("stream", "range").agg(F.max(F.when(F.col("place") == 2, what)).alias("__last"))
+    before = ends.select("stream", "range", F.lag("__last").over(W.partitionBy("stream").orderBy("range")).alias("__before"))
+    rows = ranges.filter("place < 2").join(before, ["stream", "range"])
+    return rows.filter((F.col("place") == 0) | ~F.col("__before").eqNullSafe(what)).select("stream", "seq", "app", "title", "url")
