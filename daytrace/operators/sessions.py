@@ -87,7 +87,7 @@ def _credited(r: DataFrame) -> DataFrame:
 def seq_range(activity: DataFrame, width: int) -> Column:
     """Ranges of about `width` rows of seq, a number or a place in the log."""
     if "struct" in dict(activity.dtypes)["seq"]:
-        return F.struct(F.col("seq.batch"), F.floor(F.col("seq.n") / width).alias("n"), F.col("seq.file"), F.col("seq.block"))
+        return F.struct("seq.batch", "seq.file", "seq.block", F.floor(F.col("seq.place") / width).alias("part"))
     return F.floor(F.col("seq") / width)
 
 

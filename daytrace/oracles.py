@@ -422,4 +422,13 @@ closed AS (
 numbered AS (SELECT stream, CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) || '#' || start_ms AS id, app, start_ms, end_ms, active_ms, row_number() OVER (PARTITION BY stream, date ORDER BY k) AS ep FROM closed)""" + _SLICES.replace("AS h FROM e)", "AS h FROM numbered)") + """
 SELECT stream, date, hour, string_agg(id, '|' ORDER BY ep) AS episode_ids FROM (SELECT stream, date, hour, id, min(ep) AS ep FROM sl GROUP BY ALL) GROUP BY ALL""",
     "stream_open_sessions": ORACLES["episodes_core"],
+    # a day's rows are those of the second log; days of which only locks are left have no episodes
+    "processed_days": _with(
+        _ONE_STREAM.replace("rel AS (SELECT *,", "kept AS (SELECT * FROM act WHERE kind = 'sessionLocked' OR (day(date) % 3 <> 0 AND day(date) % 4 <> 0)),\nrel AS (SELECT *,").replace("AS private FROM act WHERE", "AS private FROM kept WHERE"),
+        "SELECT CAST(d.date AS VARCHAR) AS date, count(e.id) AS episodes, CAST(coalesce(sum(active_ms), 0) AS BIGINT) AS active_ms FROM (SELECT DISTINCT date FROM kept) d LEFT JOIN e ON e.day = d.date GROUP BY ALL",
+    ),
+    "segment_search": _with(
+        _POSTINGS.replace("CAST(e.user_id % 4 AS INTEGER) AS stream", "0 AS stream") + _search(["app", "title"], 200).replace("FROM ix JOIN hit", "FROM (SELECT * FROM ix WHERE date <> '2024-01-05') ix JOIN hit"),
+        f"SELECT date, id, app, title, {_stamp('start_ms')} AS start, matched_terms FROM top",
+    ),
 }

@@ -68,13 +68,14 @@ class Api:
         indexed = self.store.read("indexed")
         if self.strict and not self.allow_history:
             indexed = indexed.filter(F.col("date") == self.today)
-        return privacy.search_result(search.search(self.store.read("postings"), indexed, query, clamped(limit, 50)))
+        return privacy.search_result(search.search(self.store.postings(query), indexed, query, clamped(limit, 50)))
 
     def get_recent(self, count: int | None = None) -> DataFrame:
         return privacy.public_episodes(recent(self._episodes(), self.today, clamped(count, 10)))
 
     def days(self) -> DataFrame:
-        return self._episodes().select("date").distinct().orderBy("date")
+        """The processed days, with or without episodes."""
+        return self.store.ledger().select("date").orderBy("date")
 
     def recorded_days(self) -> DataFrame:
         return jsonl.recorded_days(self.store.spark, self.store.root)

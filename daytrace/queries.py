@@ -535,6 +535,39 @@ def store_episodes(s, d):
     return e.select("date", "id", "app", "title", F.array_join("urls", "|").alias("urls"), "duration_ms", "active_ms", "event_count", "is_private", F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
+@query
+def processed_days(s, d):
+    """The store's ledger over a log in which every third day has nothing in front, and some of the other days lose their windows afterwards."""
+    from .plans.store import Store
+
+    a = activity(s, d, urls=False).filter((F.dayofmonth("date") % 3 != 0) | F.col("kind").isin("sessionLocked"))
+    store = Store(s, _work(s))
+    jsonl.append(_records(a), store.root, "first")
+    store.refresh()
+    left = a.filter((F.dayofmonth("date") % 4 != 0) | F.col("kind").isin("sessionLocked"))
+    jsonl.append(_records(left), store.root, "first")
+    store.refresh()
+    e = store.read("episodes").groupBy("date").agg(F.sum("active_ms").alias("active_ms"))
+    return store.ledger().join(e, "date", "left").select("date", "episodes", F.coalesce("active_ms", F.lit(0)).alias("active_ms"))
+
+
+@query
+def segment_search(s, d):
+    """A search in the store's index that opens the segments of its words alone, after days came in two runs, one was forgotten and the segments were merged."""
+    from .plans.store import Store
+
+    store = Store(s, _work(s))
+    a = activity(s, d)
+    jsonl.append(_records(a), store.root)
+    days = sorted(r[0] for r in jsonl.fingerprints(s, store.root).select("date").collect())
+    store.process(days[::2])
+    store.refresh()
+    store.forget_day("2024-01-05")
+    store.compact()
+    store.vacuum()
+    return store.search(SEARCH, 200).select("date", "id", "app", "title", "start", "matched_terms")
+
+
 @query
 def parsed_instants(s, d):
     """The events' times as RFC 3339 texts in several shapes, some of them none."""

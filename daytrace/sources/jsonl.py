@@ -1,8 +1,8 @@
 """The event log: JSON Lines files by day, read with the order of their lines, and what is appended to them.
 
 A day is the file `events/YYYY-MM-DD.jsonl`, then the batches `log/batch=.../date=YYYY-MM-DD/` in
-the order of their names, which begin with the time of the append; a batch numbers its rows. Files are
-splittable: a row's place is (batch, number, file, block, row in the block), a struct that sorts as the log goes on.
+the order of their names, which begin with the time of the append. Files are splittable: a row's
+place is (batch, file, block, row in the block), a struct that sorts as the log goes on.
 
 Records are strict, files lenient: a line that isn't a whole event (unreadable, a required
 field missing, an unknown kind) is left out and counted; blank lines are nothing; unknown
@@ -28,7 +28,7 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-SEQ = "struct<batch:string,n:bigint,file:string,block:bigint,place:bigint>"
+SEQ = "struct<batch:string,file:string,block:bigint,place:bigint>"
 
 
 def _lines(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
@@ -40,8 +40,7 @@ def _lines(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
     batch = F.regexp_extract("file_path", r"/batch=([^/]+)/date=[^/]+/[^/]+$", 1)
     day = F.when(batch != "", F.regexp_extract("file_path", r"/date=(\d{4}-\d{2}-\d{2})/[^/]+$", 1)).otherwise(F.regexp_extract("file_path", DAY_FILE, 1))
     file = F.when(batch != "", F.regexp_extract("file_path", r"[^/]+$", 0)).otherwise("")
-    n = F.when(batch != "", F.get_json_object("value", "$.appended").try_cast("long"))
-    rows = rows.select(F.try_to_date(day, "yyyy-MM-dd").alias("date"), F.struct(batch.alias("batch"), n.alias("n"), file.alias("file"), "block", "place").alias("seq"), F.col("value").alias("line"))
+    rows = rows.select(F.try_to_date(day, "yyyy-MM-dd").alias("date"), F.struct(batch.alias("batch"), file.alias("file"), "block", "place").alias("seq"), F.col("value").alias("line"))
     return rows.filter("date IS NOT NULL").filter(F.trim("line") != "")
 
 
@@ -77,17 +76,41 @@ def day_stats(records: DataFrame) -> DataFrame:
     return records.groupBy("date").agg(F.count("*").alias("events"), F.max_by("timestamp", "seq").alias("last_event_at"))
 
 
+def names(spark: SparkSession, pattern: str) -> list[str]:
+    """The last parts of the paths that match."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
+def moved(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a file or folder, unless the name is taken."""
+    p, q = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(q.getParent())
+    return not fs.exists(q) and fs.rename(p, q)
+
+
 def _named_days(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     if not _exists(spark, path):
-        return spark.createDataFrame([], "day string, modified timestamp")
+        return spark.createDataFrame([], "day string, modified timestamp, length long, mark long")
     files = spark.read.format("binaryFile").load(path)  # the contents aren't read
-    return files.select(F.regexp_extract("path", pattern, 1).alias("day"), F.col("modificationTime").alias("modified"))
+    return files.select(F.regexp_extract("path", pattern, 1).alias("day"), F.col("modificationTime").alias("modified"), "length", F.xxhash64("path", "modificationTime", "length").alias("mark"))
+
+
+def _files_of_days(spark: SparkSession, root: str) -> DataFrame:
+    files = _named_days(spark, f"{root}/events/*.jsonl", DAY_FILE).union(_named_days(spark, f"{root}/log/batch=*/date=*/*.json", r"/date=(\d{4}-\d{2}-\d{2})/[^/]+$"))
+    return files.withColumn("date", F.try_to_date("day", "yyyy-MM-dd")).filter("date IS NOT NULL")
 
 
 def changed_days(spark: SparkSession, root: str) -> DataFrame:
     """(date, modified): the days of the log, and when the last of their files was written; other names are ignored."""
-    files = _named_days(spark, f"{root}/events/*.jsonl", DAY_FILE).union(_named_days(spark, f"{root}/log/batch=*/date=*/*.json", r"/date=(\d{4}-\d{2}-\d{2})/[^/]+$"))
-    return files.select(F.try_to_date("day", "yyyy-MM-dd").alias("date"), "modified").filter("date IS NOT NULL").groupBy("date").agg(F.max("modified").alias("modified"))
+    return _files_of_days(spark, root).groupBy("date").agg(F.max("modified").alias("modified"))
+
+
+def fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """(date, fingerprint): the days of the log, and what changes with any of their files: how many, their bytes, and a sum over names, times and sizes."""
+    f = _files_of_days(spark, root).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"))
+    return f.agg(F.concat_ws("-", F.count("*"), F.sum("length"), F.bit_xor("mark")).alias("fingerprint"))
 
 
 def recorded_days(spark: SparkSession, root: str, folder: str | None = None, suffix: str = "jsonl") -> DataFrame:
@@ -107,14 +130,19 @@ def append(records: DataFrame, root: str, name: str | None = None) -> None:
     """Appends records (schema.EVENT) as a batch, in their order, filed under their local date; absent fields are left out of the JSON.
 
     A record whose timestamp can't be read is filed under today. A batch of a name that is there already
-    (a stream's batch that is tried again) takes its place.
+    (a stream's batch that is tried again) takes its place, once the new one is written whole. Files are named
+    and filled in the order of the records, so that records need no field for it.
     """
     spark = records.sparkSession
-    if name:
-        delete(spark, f"{root}/log/batch=*-{name}")
     day = F.coalesce(F.to_date(parse_instant(F.col("timestamp"))), F.current_date())
     batch = f"{time.time_ns() // 1000:017d}-{name or 'append'}"
-    records.withColumn("appended", F.monotonically_increasing_id()).withColumn("date", day).write.partitionBy("date").option("ignoreNullFields", "true").json(f"{root}/log/batch={batch}")
+    staged = f"{root}/log/.writing-{batch}"
+    rows = records.withColumn("__place", F.monotonically_increasing_id()).withColumn("date", day).sortWithinPartitions("date", "__place").drop("__place")
+    rows.write.partitionBy("date").option("ignoreNullFields", "true").json(staged)
+    if name:
+        delete(spark, f"{root}/log/batch=*-{name}")
+    if not moved(spark, staged, f"{root}/log/batch={batch}"):
+        raise OSError(f"the batch stays in {staged}")
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:

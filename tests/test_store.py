@@ -205,3 +205,100 @@ def test_stream_ingest(spark, root, tmp_path):
     q = ingest.refresh_touched(ingest.read_stream(spark, f"{root}/events/2024*.jsonl").select(F.to_date("timestamp").alias("date")), lambda d, n: seen.extend(str(r[0]) for r in d.collect()), str(tmp_path / "cp2"))
     q.awaitTermination()
     assert seen == ["2024-03-05"]
+
+
+def log(spark, root, name, *events):
+    """A batch of the log; one of the same name takes its place."""
+    from daytrace.schema import EVENT
+
+    jsonl.append(spark.createDataFrame([json.loads(json.dumps(e)) for e in events], EVENT).coalesce(1), root, name)
+
+
+def test_days_without_episodes_are_processed_days(spark, tmp_path):
+    root = str(tmp_path)
+    store = Store(spark, root)
+    assert store.stale().count() == 0 and store.refresh() == [] and store.ledger().count() == 0
+    log(spark, root, "a", event(0, 0, kind="sessionLocked"))
+    assert store.refresh() == ["2024-03-05"] and store.refresh() == []
+    assert store.read("episodes").count() == 0 and [r.date for r in Api(store, "2024-03-05").days().collect()] == ["2024-03-05"]
+    assert store.search("code").count() == 0
+    log(spark, root, "a", event(0, 0), event(1, 5))
+    assert store.refresh() == ["2024-03-05"] and store.read("episodes").count() == 1 and store.read("days").count() == 1
+    log(spark, root, "a", event(0, 0, kind="sessionLocked"))  # the day shrinks to none
+    assert store.refresh() == ["2024-03-05"] and store.refresh() == []
+    assert [store.read(t).count() for t in ("episodes", "postings", "indexed", "days")] == [0, 0, 0, 0]
+    assert [(r.date, r.episodes) for r in store.ledger().collect()] == [("2024-03-05", 0)]
+
+
+def test_a_stopped_run_leaves_the_old_state_whole(spark, root, monkeypatch):
+    store = Store(spark, root)
+    store.refresh()
+    state = lambda s: [sorted(map(str, s.read(t).collect())) for t in ("episodes", "postings", "indexed", "days")]
+    old, held = state(store), store.snapshot()
+    log(spark, root, "more", event(30, 40, app="New", title="words"))
+    write = Store._write
+
+    def stops(self, df, name, run):
+        if name == "indexed":
+            raise RuntimeError("stopped")
+        write(self, df, name, run)
+
+    monkeypatch.setattr(Store, "_write", stops)
+    with pytest.raises(RuntimeError):
+        store.refresh()
+    assert state(store) == old
+    monkeypatch.undo()
+    assert store.refresh() == ["2024-03-05"] and state(store) != old and state(held) == old
+    gone = store.vacuum()
+    assert {g.split("/")[0] for g in gone} == {"episodes", "postings", "indexed", "days", "segments"} and len(store.versions()) == 1
+    assert [r.app for r in store.search("words").collect()] == ["New"]
+
+
+def test_a_batch_that_is_tried_again_is_never_missing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    log(spark, root, "a", event(0, 0), event(1, 5))
+    monkeypatch.setattr(jsonl, "moved", lambda *a: False)
+    with pytest.raises(OSError):
+        log(spark, root, "b", event(2, 6))
+    monkeypatch.undo()
+    assert jsonl.read_log(spark, root).count() == 2
+    log(spark, root, "a", event(7, 0))
+    assert [r.id for r in jsonl.read_log(spark, root).collect()] == ["e7"]
+    assert "__place" not in "".join(p.read_text() for p in tmp_path.glob("log/batch=*/date=*/*.json"))
+
+
+def test_a_search_opens_the_segments_of_its_words(spark, tmp_path, request):
+    root = str(tmp_path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would be one segment
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    store = Store(spark, root)
+    words = [f"{a}{b}word" for a in "abcdefghijkl" for b in "xyz"]
+    for day in ("05", "06"):
+        log(spark, root, f"d{day}", *[event(i, i, app=f"App{i}", title=w) | {"timestamp": f"2024-03-{day}T09:{i:02d}:00.000Z"} for i, w in enumerate(words)])
+        store.refresh()
+    all_ = store.segments().count()
+    assert all_ > 8 and {r.run for r in store.segments().collect()} == {r.postings_run for r in store.ledger().collect()}
+    opened = {r.path for r in store.segments("bxword").collect()}
+    assert 0 < len(opened) <= 4 and {f.rsplit("/", 1)[1] for f in store.postings("bxword").inputFiles() if "/postings/" in f} == {f.rsplit("/", 1)[1] for f in opened}
+    assert [(r.date, r.app) for r in store.search("bxw").collect()] == [("2024-03-06", "App3"), ("2024-03-05", "App3")]
+    assert store.search("bx kzw").count() == 0 and store.search("app3 bx").count() == 2 and store.segments("").count() == 0 and store.search("").count() == 0
+    store.forget_day("2024-03-05")
+    assert [r.date for r in store.search("bxw").collect()] == ["2024-03-06"]
+    store.compact()
+    assert store.read("postings").filter("date <> '2024-03-06'").count() == 0 and [r.date for r in store.search("bxw").collect()] == ["2024-03-06"]
+    store.vacuum()
+    assert store.segments().count() < all_ and [r.date for r in store.search("bxw").collect()] == ["2024-03-06"]
+    assert spark.read.parquet(store.path("postings")).filter("date = '2024-03-05'").count() == 0
+
+
+def test_a_document_that_cannot_be_moved_is_kept(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    docs = spark.createDataFrame([("d", "T", "2024-03-05", "2024-03-06T01:00:00Z", "one")], "id string, title string, date string, saved_at string, body string")
+    library.save(docs, root)
+    library.save(docs.withColumn("body", F.lit("two")), root)
+    assert [r.body for r in library.entries(spark, root).collect()] == ["two"]
+    monkeypatch.setattr(library, "replaced", lambda *a: False)
+    with pytest.raises(OSError, match="d.md"):
+        library.save(docs.withColumn("body", F.lit("three")), root)
+    assert [r.body for r in library.entries(spark, root).collect()] == ["two"]
+    assert "three" in "".join(p.read_text() for p in tmp_path.glob("library/.saving-*/id=d/part-*"))
