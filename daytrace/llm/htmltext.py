@@ -28,6 +28,7 @@ slice alone; other columns are never read.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -48,14 +49,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea noscript template iframe svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 FURNITURE = frozenset("nav footer aside form head title menu dialog button select option fieldset object figure-actions".split())
-#: Words of a class, id or role that mark furniture.
+#: A class, id or role of these words alone, and of others that say nothing of the content, marks furniture.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar side nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer notice notices cookie cookies consent gdpr comment comments commentlist disqus reply replies popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended toolbar widget".split())
+NEUTRAL = frozenset("site page main top bottom left right global local primary secondary inner outer wrap wrapper container box block area section list item items links link buttons button bar panel form row col content inline block fixed sticky mobile desktop js".split())
 BODIES = ("article", "main")
+#: Elements of these classes hold an article, so that a header in them is its own.
+POSTS = frozenset("article post entry story hentry".split())
 #: Elements of text, which are no containers of an article; headings are never furniture by class.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADINGS | frozenset("p li dt dd blockquote pre figcaption caption".split())
 #: Inside an article these words mark its own heading.
 OWN = frozenset("header masthead topbar".split())
+WITHIN = MARKS - OWN
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -63,7 +68,14 @@ P_CLOSERS = frozenset("address article aside blockquote div dl fieldset footer f
 
 
 def _names(attrs: str) -> tuple[str, ...]:
-    return tuple(w for m in ATTR.finditer(attrs) for w in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()) if w) if attrs else ()
+    return tuple(w for m in ATTR.finditer(attrs) for w in (m[2] or m[3] or m[4] or "").lower().split()) if attrs else ()
+
+
+@functools.lru_cache(10_000)
+def _marks(name: str, marks: frozenset) -> bool:
+    """Whether a whole class name marks furniture: site-nav and cookie-banner do, related-work and login-guide don't."""
+    words = [w for w in re.split("[_-]+", name) if w]
+    return not marks.isdisjoint(words) and all(w in marks or w in NEUTRAL or w.isdigit() for w in words)
 
 
 Path = tuple[tuple[str, tuple[str, ...]], ...]
@@ -168,9 +180,9 @@ def _furniture(path: Path) -> bool:
     for name, words in path:
         if name in FURNITURE or (name == "header" and not inside):
             return True
-        if name not in ("html", "body", *BODIES, *HEADINGS) and not (MARKS - OWN if inside else MARKS).isdisjoint(words):
+        if name not in ("html", "body", *BODIES, *HEADINGS) and any(_marks(w, WITHIN if inside else MARKS) for w in words):
             return True
-        inside = inside or name in BODIES
+        inside = inside or name in BODIES or not POSTS.isdisjoint(words)
     return False
 
 

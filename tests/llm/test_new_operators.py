@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daytrace.llm import interaction, spelling, topk
+from daytrace.llm import htmltext, interaction, spelling, topk
 
 DOCS = "doc_id long, text string, lang string, source string, part string, word string, n long, shard long"
 LABELS = "doc_id long, quality int, toxic int, fails string"
@@ -179,3 +179,24 @@ def test_spelling_variants(spark, monkeypatch, limits):
 def test_spelling_of_nothing(spark):
     assert spelling.variants(docs_of(spark, [(1, "a short text", "en")])).count() == 0
     assert spelling.variants(docs_of(spark, [(1, "a", "en")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pages", [1, 8, 60])
+def test_articles_keep_text_whose_classes_only_resemble_furniture(spark, pages):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice("one two three four five six seven eight nine ten".split()) + str(rng.randrange(99)) for _ in range(n))
+    rows, want = [], {}
+    shapes = (
+        ('<article><h1>{0}</h1><p>{1}</p><div class="related-work"><p>{2}</p></div></article>', "{0}\n{1}\n{2}"),
+        ('<article><p>{0}</p><section id="side-effects"><p>{1}</p></section><div class="share-prices">{2}</div></article>', "{0}\n{1}\n{2}"),
+        ('<div class="login-guide"><article><p>{0}</p><p>{1}</p></article></div>', "{0}\n{1}"),
+        ('<div class="post"><header><h1>{0}</h1></header><p>{1}</p><div class="comment-list">{2}</div></div>', "{0}\n{1}"),
+    )
+    for k, (shape, text) in enumerate(shapes):
+        for i in range(pages):
+            parts = [prose(9), prose(80), prose(30)]
+            page = '<html><body><header class="site-header">Site</header><nav class="site-nav"><a href="/">Home</a></nav>' + shape.format(*parts) + '<div class="cookie-banner">We use cookies</div><footer>End</footer></body></html>'
+            rows.append((k * 1000 + i, f"http://host{k}.example/{i}", page))
+            want[k * 1000 + i] = text.format(*parts)
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
