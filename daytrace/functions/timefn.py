@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import CREDIT_MS
@@ -69,8 +70,34 @@ def hour_label(hour: Column) -> Column:
     return F.format_string("%02d:00", hour)
 
 
-def hour_start(date: Column, hour: Column) -> Column:
-    return F.to_timestamp(date) + F.make_interval(hours=hour)
+#: How far apart instants lie at which a zone's clock is looked at; changes of clocks fall on them.
+CLOCK_STEP = "INTERVAL 15 MINUTES"
+
+
+def clock_ranges(spark: SparkSession, zone: str, first: str, last: str) -> DataFrame:
+    """(since_ms, until_ms, offset_ms): the ranges of instants between which a zone's clock isn't changed, from a day before first to a day after last."""
+    at = F.explode(F.sequence(F.to_timestamp(F.date_sub(F.lit(first).cast("date"), 1)), F.to_timestamp(F.date_add(F.lit(last).cast("date"), 2)), F.expr(CLOCK_STEP)))
+    t = spark.range(1).select(at.alias("at")).select(F.unix_millis("at").alias("ms"), (F.unix_millis(F.from_utc_timestamp("at", zone)) - F.unix_millis("at")).alias("offset_ms"))
+    by = W.partitionBy("half").orderBy("ms")  # ranges of half a year, so that no task holds all instants
+    t = t.withColumn("half", F.floor(F.col("ms") / (183 * 86_400_000)))
+    changes = W.orderBy("ms")  # two for each year, and one for each half
+    for order in (by, changes):
+        t = t.withColumn("was", F.lag("offset_ms").over(order)).filter(~F.col("was").eqNullSafe(F.col("offset_ms"))).select(*[c for c in t.columns if c != "was"])
+    new = t.select("ms", "offset_ms")
+    return new.select(F.col("ms").alias("since_ms"), F.coalesce(F.lead("ms").over(changes), F.lit(1 << 60)).alias("until_ms"), "offset_ms")
+
+
+def hour_starts(hours: DataFrame, ranges: DataFrame) -> DataFrame:
+    """hours (date, hour, ...) with start_ms: the instant at which the local hour begins; null for one that the clock leaves out or shows twice.
+
+    ranges: clock_ranges of the zone. They are some two for each year: one row holds all of them.
+    """
+    every = ranges.agg(F.collect_list(F.struct("since_ms", "until_ms", "offset_ms")).alias("__ranges"))
+    wall = F.unix_date(F.col("date").cast("date")).cast("long") * 86_400_000 + F.col("hour") * 3_600_000
+    j = hours.crossJoin(F.broadcast(every)).withColumn("__wall", wall)
+    at = F.filter("__ranges", lambda r: (F.col("__wall") - r["offset_ms"] >= r["since_ms"]) & (F.col("__wall") - r["offset_ms"] < r["until_ms"]))
+    j = j.withColumn("__at", at)
+    return j.withColumn("start_ms", F.when(F.size("__at") == 1, F.col("__wall") - F.col("__at")[0]["offset_ms"])).drop("__ranges", "__wall", "__at")
 
 
 def file_size(n: Column) -> Column:

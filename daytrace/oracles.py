@@ -432,3 +432,43 @@ SELECT stream, date, hour, string_agg(id, '|' ORDER BY ep) AS episode_ids FROM (
         f"SELECT date, id, app, title, {_stamp('start_ms')} AS start, matched_terms FROM top",
     ),
 }
+
+
+def _walk_sql(depth: int, elements: int, children: int, lines: int) -> str:
+    """The same walk, a level of all pages for each step of the recursion."""
+    leaves, furniture, subtrees = "('image')", "('image', 'window', 'pane')", "('menubar', 'statusbar')"
+    judged = f"""SELECT *, below OR kind IN {subtrees} AS under, CASE WHEN below OR kind IN {subtrees} OR kind IN {furniture} THEN 2 WHEN kind IN ('text', 'document') THEN 0 ELSE 1 END AS surface, trim(name) <> '' AS named"""
+    return rf"""WITH RECURSIVE raw AS (
+  SELECT page_id, i - 1 AS pos, shut[i] AS shut, tag[i] AS tag, name[i] AS name FROM (SELECT *, unnest(generate_series(1, len(tag))) AS i FROM (
+    SELECT page_id, regexp_extract_all(coalesce(html, ''), '<(/?)([a-z][a-z0-9]*)[^<>]*>([^<]*)', 1) AS shut, regexp_extract_all(coalesce(html, ''), '<(/?)([a-z][a-z0-9]*)[^<>]*>([^<]*)', 2) AS tag, regexp_extract_all(coalesce(html, ''), '<(/?)([a-z][a-z0-9]*)[^<>]*>([^<]*)', 3) AS name FROM pages))
+), deep AS (
+  SELECT *, sum(CASE shut WHEN '/' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) AS d FROM raw WHERE tag NOT IN ('meta', 'br', 'img', 'link', 'input', 'hr')
+), opened AS (SELECT * FROM deep WHERE shut = ''), el AS (
+  SELECT o.page_id, o.pos, max(u.pos) AS parent, any_value(trim(o.name, ' ')) AS name, any_value(o.tag IN ('script', 'style')) AS hidden,
+    any_value(CASE o.tag WHEN 'nav' THEN 'menubar' WHEN 'footer' THEN 'statusbar' WHEN 'aside' THEN 'pane' WHEN 'p' THEN 'text' WHEN 'h1' THEN 'document' WHEN 'li' THEN 'listitem' WHEN 'a' THEN 'hyperlink' WHEN 'b' THEN 'image' WHEN 'article' THEN 'window' ELSE 'group' END) AS kind
+  FROM opened o LEFT JOIN opened u ON u.page_id = o.page_id AND u.d = o.d - 1 AND u.pos < o.pos GROUP BY o.page_id, o.pos
+), kids AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, parent ORDER BY pos) AS nth FROM el WHERE parent IS NOT NULL) WHERE nth <= {children}),
+w AS (
+  SELECT * FROM (SELECT *, max(place) OVER (PARTITION BY page_id) AS seen, max(had + writes) OVER (PARTITION BY page_id) AS written FROM (
+    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place, coalesce(sum(writes) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM (
+      SELECT *, CASE WHEN NOT hidden AND named AND surface = 0 THEN 1 ELSE 0 END AS writes FROM ({judged} FROM (SELECT page_id, pos, name, hidden, kind, 0 AS depth, FALSE AS below FROM el WHERE parent IS NULL)))) WHERE place <= {elements} AND had < {lines})
+  UNION ALL
+  SELECT * FROM (SELECT page_id, pos, name, hidden, kind, depth, below, under, surface, named, writes, place, had, max(place) OVER (PARTITION BY page_id) AS seen, max(had + writes) OVER (PARTITION BY page_id) AS written FROM (
+    SELECT *, seen0 + row_number() OVER (PARTITION BY page_id ORDER BY after, pos) AS place, written0 + coalesce(sum(writes) OVER (PARTITION BY page_id ORDER BY after, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM (
+      SELECT *, CASE WHEN NOT hidden AND named AND surface = 0 THEN 1 ELSE 0 END AS writes FROM ({judged} FROM (
+        SELECT k.page_id, k.pos, k.name, k.hidden, k.kind, w.depth + CASE WHEN w.named THEN 1 ELSE 0 END AS depth, w.under AS below, w.place AS after, w.seen AS seen0, w.written AS written0
+        FROM kids k JOIN w ON w.page_id = k.page_id AND w.pos = k.parent WHERE NOT w.hidden AND w.depth < {depth} AND w.kind NOT IN {leaves})))) WHERE place <= {elements} AND had < {lines})
+)
+SELECT page_id, CAST(pos AS INTEGER) AS node, CAST(place AS INTEGER) AS place, depth, surface, NOT hidden AS shown FROM w"""
+
+
+ORACLES |= {
+    "tree_walk": _walk_sql(4, 80, 24, 12),
+    "tree_walk_narrow": _walk_sql(2, 12, 3, 4),
+    # the clock of those years: an hour ahead from two in the morning of the first Sunday of April to two (one, again) of the last Sunday of October
+    "hours_at_clock_changes": """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderdate IS NOT NULL), h AS (SELECT date, CAST(unnest(range(24)) AS INTEGER) AS hour FROM d),
+      y AS (SELECT *, epoch_ms(CAST(date AS TIMESTAMP)) + hour * 3600000 AS wall, make_date(year(date), 4, 1) AS april, make_date(year(date), 10, 31) AS october FROM h),
+      s AS (SELECT *, epoch_ms(CAST(april + CAST((7 - dayofweek(april)) % 7 AS INTEGER) AS TIMESTAMP)) + 7200000 AS ahead, epoch_ms(CAST(october - CAST(dayofweek(october) AS INTEGER) AS TIMESTAMP)) + 7200000 AS back FROM y)
+      SELECT CAST(date AS VARCHAR) AS date, hour, CASE WHEN wall >= ahead AND wall < ahead + 3600000 THEN NULL WHEN wall >= back - 3600000 AND wall < back THEN NULL
+        WHEN wall >= ahead AND wall < back THEN wall + 4 * 3600000 ELSE wall + 5 * 3600000 END AS start_ms FROM s""",
+}

@@ -153,6 +153,56 @@ def control_surfaces(s, d):
     return rows.select("page_id", capture.surface(F.col("kind"), around).alias("surface")).groupBy("page_id", "surface").agg(F.count("*").alias("n"))
 
 
+def _elements(s: SparkSession, d: str) -> DataFrame:
+    """The elements of pages as trees: an open tag's parent is the last open tag before it one level up; its name is the text that follows."""
+    tag, html = r"<(/?)([a-z][a-z0-9]*)[^<>]*>([^<]*)", F.coalesce("html", F.lit(""))
+    part = lambda k: F.regexp_extract_all(html, F.lit(tag), F.lit(k))
+    t = _table(s, d, "pages").select("page_id", F.posexplode(F.arrays_zip(part(1).alias("shut"), part(2).alias("tag"), part(3).alias("name"))).alias("pos", "t")).select("page_id", "pos", "t.*")
+    t = t.filter(~F.col("tag").isin("meta", "br", "img", "link", "input", "hr"))
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("depth", F.sum(F.when(F.col("shut") == "/", -1).otherwise(1)).over(order)).filter("shut = ''")
+    up = t.select("page_id", F.col("pos").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    parents = t.join(up, ["page_id", "depth"]).filter("parent < pos").groupBy("page_id", "pos").agg(F.max("parent").alias("parent"))
+    kinds = ("nav", "MenuBar", "footer", "statusbar", "aside", "Pane", "p", "Text", "h1", "Document", "li", "ListItem", "a", "Hyperlink", "b", "Image", "article", "Window")
+    kind = F.create_map(*[F.lit(x) for x in kinds])[F.col("tag")]
+    return t.join(parents, ["page_id", "pos"], "left").select(F.col("page_id").alias("tree"), F.col("pos").alias("node"), "parent", "pos", F.coalesce(kind, F.lit("Group")).alias("kind"), F.trim("name").alias("name"), F.col("tag").isin("script", "style").alias("hidden"))
+
+
+def _walked(s: SparkSession, d: str, budget) -> DataFrame:
+    from .operators import tree
+
+    w = tree.walk(_elements(s, d), budget)
+    return w.select(F.col("tree").alias("page_id"), "node", "place", "depth", "surface", "shown")
+
+
+@query
+def tree_walk(s, d):
+    """Elements of each page within the small budget."""
+    from .operators import tree
+
+    return _walked(s, d, tree.GLANCE)
+
+
+@query
+def tree_walk_narrow(s, d):
+    """The same where each of the budgets binds on some page."""
+    from .operators import tree
+
+    return _walked(s, d, tree.Budget(2, 12, 3, 4))
+
+
+@query
+def hours_at_clock_changes(s, d):
+    """Where each hour of the orders' days begins in New York: hours that the clock leaves out or shows twice have no instant."""
+    days = _table(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).filter("date IS NOT NULL").distinct()
+    first, last = days.agg(F.min("date"), F.max("date")).first()
+    ranges = timefn.clock_ranges(s, "America/New_York", str(first), str(last))
+    hours = days.select("date", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    return timefn.hour_starts(hours, ranges).select(F.col("date").cast("string").alias("date"), "hour", "start_ms")
+
+
 @query
 def episodes_core(s, d):
     return _core(s, d).drop("ordinal")
