@@ -472,3 +472,27 @@ ORACLES |= {
       SELECT CAST(date AS VARCHAR) AS date, hour, CASE WHEN wall >= ahead AND wall < ahead + 3600000 THEN NULL WHEN wall >= back - 3600000 AND wall < back THEN NULL
         WHEN wall >= ahead AND wall < back THEN wall + 4 * 3600000 ELSE wall + 5 * 3600000 END AS start_ms FROM s""",
 }
+
+_ISO = "strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%S.') || printf('%03dZ', {0} % 1000)"
+_ONE_FULL = (_FULL + _POSTINGS[len(_FULL) :]).replace("CAST(e.user_id % 4 AS INTEGER) AS stream", "0 AS stream")
+ORACLES |= {
+    "stream_ingest_log": _with(_ACT, f"SELECT CAST(date AS VARCHAR) AS date, count(*) AS events, count(title) AS titles, {_ISO.format('max(ms)')} AS latest, TRUE AS few_batches, CAST(0 AS BIGINT) AS bad FROM act GROUP BY date"),
+    "store_summaries": _with(
+        _ROWS + _SLICES + _SUMS.split(",\nda AS")[0],
+        "SELECT stream, date, hour, CASE WHEN hour % 5 = 1 THEN 'again' ELSE text END AS text, active_ms, CASE WHEN hour % 5 = 1 THEN 't2' ELSE 't1' END AS generated_at, 'p' AS provider, model FROM su WHERE hour % 7 <> 2 AND date <> '2024-01-05'",
+    ),
+    # of a day, stream 0 is saved first; the others follow by the time of saving, the last stream first
+    "library_documents": _with(
+        _ROWS + _DAYS + ",\nda AS" + _SUMS.split(",\nda AS")[1],
+        """SELECT CAST(date AS VARCHAR) || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS id, 'Stream ' || stream AS title, CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) || 'T0' || (9 - stream) || ':30:00.000Z' AS saved_at, '# Day' || chr(10) || chr(10) || daily AS body,
+          CAST(date AS VARCHAR) || ' at 0' || (9 - stream) || ':30' AS label FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY stream <> 0, 9 - stream) AS n FROM da)""",
+    ),
+    "api_tools": _with(
+        _ONE_FULL + _search(["app", "title"], 200),
+        f""", shown AS (SELECT e.date, e.id, e.app, CASE WHEN NOT is_private THEN ht.title END AS title, is_private, start_ms FROM e LEFT JOIN ht ON ht.stream = e.stream AND ht.date = e.day AND ht.ep = e.ep)
+        SELECT 'get_recent' AS tool, * FROM (SELECT date, id, app, title, is_private FROM shown WHERE date BETWEEN '2024-01-14' AND '2024-01-20' ORDER BY date DESC, start_ms DESC, id DESC LIMIT 200)
+        UNION ALL SELECT 'search_history', date, id, app, CASE WHEN NOT is_private THEN title END, is_private FROM top
+        UNION ALL SELECT 'get_today', date, id, app, title, is_private FROM shown WHERE date = '2024-01-20'
+        UNION ALL SELECT 'status', '2024-01-20', (SELECT {_ISO.format('arg_max(ms, seq)')} FROM act WHERE date = '2024-01-20'), (SELECT count(DISTINCT date) || ' 0' FROM act), (SELECT CAST(count(*) AS VARCHAR) FROM act WHERE date = '2024-01-20'), FALSE""",
+    ),
+}

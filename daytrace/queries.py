@@ -768,3 +768,59 @@ def stream_open_sessions(s, d):
         feed = s.readStream.schema(rows.schema).parquet(f"{work}/in")
         open_sessions.keep_sessions(feed, f"{work}/out", f"{work}/checkpoint", lambda days, number: again.append(number)).awaitTermination()
     return open_sessions.read_sessions(s, f"{work}/out")
+
+
+@query
+def stream_ingest_log(s, d):
+    """Events that arrive as JSON Lines files, streamed into the log by their days, two files a batch, and read back."""
+    from .streaming import ingest
+
+    root = _work(s)
+    _records(activity(s, d, urls=False)).repartition(6, "id").write.option("ignoreNullFields", "true").json(f"{root}/incoming")
+    ingest.append_by_day(ingest.read_stream(s, f"{root}/incoming", 2), root, f"{root}/checkpoint").awaitTermination()
+    rows = jsonl.read_days(s, root).groupBy("date").agg(F.count("*").alias("events"), F.count("windowTitle").alias("titles"), F.max("timestamp").alias("latest"), F.countDistinct("seq.batch").alias("batches"))
+    days = jsonl.recorded_days(s, root).join(rows, "date", "left").join(jsonl.bad_lines(s, root), "date", "left")
+    return days.select(F.col("date").cast("string").alias("date"), "events", "titles", "latest", (F.col("batches") <= 3).alias("few_batches"), "bad")
+
+
+@query
+def store_summaries(s, d):
+    """Hour summaries written, some written again, some taken back, and a day forgotten."""
+    from .plans.store import Store
+
+    store = Store(s, _work(s))
+    h = _summaries(_slices(s, d)).select("stream", "date", "hour", "text", "active_ms", F.lit("t1").alias("generated_at"), F.lit("p").alias("provider"), "model")
+    store.save_hours(h)
+    store.save_hours(h.filter("hour % 5 = 1").withColumns({"text": F.lit("again"), "generated_at": F.lit("t2")}))
+    store.save_hours(h.filter("hour % 7 = 2").withColumn("text", F.lit(None).cast("string")))
+    store.forget_summary("2024-01-05")
+    return store.hours()
+
+
+@query
+def library_documents(s, d):
+    """Day texts saved as documents, those of a day under its next free name, and read back with their labels."""
+    from .sources import library
+
+    root = _work(s)
+    daily = _daily_texts(rollup.daily(_core(s, d)))
+    docs = daily.select("date", F.concat(F.lit("Stream   "), "stream").alias("title"), F.concat("date", F.lit("T0"), 9 - F.col("stream"), F.lit(":30:00.000Z")).alias("saved_at"), F.concat(F.lit("# Day\n\n"), "daily").alias("body"))
+    first = docs.filter("title LIKE '%0'")
+    library.save(library.new_ids(first, s.createDataFrame([], "id string")), root)
+    library.save(library.new_ids(docs.filter("title NOT LIKE '%0'"), library.entries(s, root).select("id")), root)
+    return library.entries(s, root).select("id", "title", "date", "saved_at", "body", library.saved_label(F.col("saved_at")).alias("label"))
+
+
+@query
+def api_tools(s, d):
+    """What the tools of the read API give over the store: recent episodes and hits (both at most 200, whatever is asked), and today's episodes."""
+    from .plans.store import Store
+
+    store = Store(s, _work(s))
+    jsonl.append(_records(activity(s, d)), store.root)
+    store.refresh()
+    a = api.Api(store, "2024-01-20", allow_history=False)
+    of = lambda tool, df: df.select(F.lit(tool).alias("tool"), "date", "id", "app", "title", "is_private")
+    rows = of("get_recent", a.run_tool("get_recent", {"count": 1000})).union(of("search_history", a.run_tool("search_history", {"query": "App, TITLE", "limit": 999}))).union(of("get_today", a.run_tool("get_today", {})["episodes"]))
+    status = a.status().select(F.lit("status").alias("tool"), F.lit(a.today).alias("date"), "last_event_at", F.concat_ws(" ", "days", "stale").alias("app"), F.col("recorded_today").cast("string").alias("title"), F.lit(False).alias("is_private"))
+    return rows.union(status)
