@@ -22,6 +22,8 @@ def hour_slices(episodes: DataFrame) -> DataFrame:
     those of the session's zone, keyed by number alone: a span over midnight adds to hour 0 of its own day.
     """
     e = readable(episodes)
+    if "ordinal" not in e.columns:  # episodes made elsewhere: the order of their starts
+        e = e.withColumn("ordinal", F.col("start_ms"))
     start, end = F.timestamp_millis("start_ms"), F.timestamp_millis("end_ms")
     first = F.date_trunc("HOUR", start)
     last = F.greatest(F.timestamp_millis(F.col("end_ms") - 1), start)
