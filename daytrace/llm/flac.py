@@ -438,23 +438,32 @@ def feature(samples: bytes, blocks: int) -> str:
     return f"blocks={blocks};energy={int(x @ x)};crossings={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))};peak={int(np.abs(x).max())};variation={int(np.abs(d).sum())}"
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Stores each text, writes its PCM blocks and reads these back by their offsets; the digests are of what was read back."""
+    return stream_digests(media(docs))
+
+
+def stream_digests(streams: DataFrame) -> DataFrame:
+    """DIGESTS of streams (doc_id, n_bytes, media); of a damaged stream the error, and no digests of its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 4 << 20):
             rows = []
-            for s, blocks in zip(batch["media"].to_pylist(), batch["blocks"].to_pylist(), strict=True):
+            for s, blocks, error in zip(batch["media"].to_pylist(), batch["blocks"].to_pylist(), batch["error"].to_pylist(), strict=True):
+                s = s or b""
+                if error is not None:
+                    rows.append((None, None, None, len(s), hashlib.sha256(s).hexdigest(), None, error))
+                    continue
                 p = b"".join(b["pcm"] for b in sorted(blocks, key=lambda b: b["sample_offset"]))
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(p, len(blocks))))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(p, len(blocks)), None))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return decoded(media(docs)).select("doc_id", "n_bytes", "media", "blocks").mapInArrow(run, DIGESTS)
+    return decoded(streams).select("doc_id", "n_bytes", "media", "blocks", "error").mapInArrow(run, DIGESTS)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

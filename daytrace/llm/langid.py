@@ -11,7 +11,8 @@ numbers looked up by byte pairs. Windows overlap by three bytes, so that no filt
 the whole text is left out; they are scored in batches of equal length.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; if nothing can be
-learnt from, every text is `und`.
+learnt from, every text is `und`. An empty table gives no rows; a very long text is a slice of its own; rows
+that repeat, and null ids, get their own (equal) predictions.
 """
 
 from __future__ import annotations

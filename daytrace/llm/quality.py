@@ -9,7 +9,8 @@ The document's logit is linear in the average, so that tasks need one number and
 for each distinct word of a slice of texts; all texts are scored whole.
 
 Defined results: an empty or null text scores by the prior alone; if only one label (or
-none) can be learnt from, every score is the share of label 1 (0.5 without labels).
+none) can be learnt from, every score is the share of label 1 (0.5 without labels). An empty table
+gives no rows; a very long text is a slice of its own; rows that repeat, and null ids, get their own (equal) scores.
 """
 
 from __future__ import annotations

@@ -148,6 +148,18 @@ def grouped(rows):
     return out
 
 
+def test_a_damaged_stream_has_no_digests(spark):
+    from daytrace.llm import flac
+
+    streams = flac.media(docs_of(spark, [(1, "a text", "en"), (2, "another one " * 30, "en"), (3, "", "en")]))
+    whole = {r.doc_id: r for r in flac.stream_digests(streams).collect()}
+    assert all(r.error is None and r.payload_bytes % 64 == 0 for r in whole.values()) and len(whole) == 3
+    cut = streams.withColumn("media", F.when(F.col("doc_id") == 2, F.expr("substring(media, 1, octet_length(media) - 7)")).otherwise(F.col("media")))
+    got = {r.doc_id: r for r in flac.stream_digests(cut).collect()}
+    assert got[2].error and got[2].payload_sha256 is None and got[2].media_bytes == whole[2].media_bytes - 7
+    assert got[1] == whole[1] and got[3] == whole[3]
+
+
 def test_near_is_one_edit():
     for a, b, want in (("abc", "abc", False), ("abc", "abd", True), ("abc", "ab", True), ("abc", "xabc", True), ("abc", "acb", False), ("abc", "bcd", False), ("aab", "ab", True), ("", "a", True), ("", "", False)):
         assert spelling.near(a.encode(), b.encode()) == want == spelling.near(b.encode(), a.encode())
