@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); docs are what the stage before wrote. All but the
 last return the columns of documents.
+
+Defined results: a null or empty text is not toxic, has no lines, links with nothing, holds no passage and
+has size 0 in the mix, where its copies follow the rate of its source like any other's; rows that repeat a doc_id and a text go or stay
+together; a text that repeats under another doc_id goes; a null doc_id sorts last; an empty table gives an empty one.
 """
 
 from __future__ import annotations
