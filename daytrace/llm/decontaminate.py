@@ -26,6 +26,8 @@ BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 #: The windows are broadcast up to so many bytes of words and item ids; beyond, keys are joined by a shuffle.
 MOST_BYTES = 48 << 20
+#: Beyond that, the documents that met a key are broadcast to the scan of the texts up to this number (24 bytes each).
+MOST_DOCUMENTS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -65,7 +67,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_bytes: int = M
         return d.join(F.broadcast(found), (F.col("key") == F.col("b_key")) & (window == F.col("b_words"))).select("id", "h", "at", "len", "items")
     met = checkpointed(d.select("id", "h", "at", "len", "key").join(found.select("b_key", F.size("b_words").alias("b_len")).distinct(), (F.col("key") == F.col("b_key")) & (F.col("len") == F.col("b_len"))).select("id", "h", "at", "len", "key"))
     met = met.select(F.col("id").alias("m_id"), F.col("h").alias("m_h"), "at", "len", "key").distinct()
-    seen = words.dropDuplicates(["id", "h"]).join(met, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h"))).select("id", "h", "at", "len", "key", window.alias("words"))
+    whose = checkpointed(met.select("m_id", "m_h").distinct())
+    whose = F.broadcast(whose) if whose.count() <= MOST_DOCUMENTS else whose
+    # the words of documents that met a key alone go on
+    near = words.join(whose, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")), "left_semi")
+    seen = near.dropDuplicates(["id", "h"]).join(met, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h"))).select("id", "h", "at", "len", "key", window.alias("words"))
     return seen.join(found, (F.col("key") == F.col("b_key")) & (F.col("words") == F.col("b_words"))).select("id", "h", "at", "len", "items")
 
 
