@@ -1,8 +1,7 @@
 """Supervised subword embeddings: hashed word and character n-gram vectors, averaged per document, softmax.
 
 Features of a text: each word, its byte n-grams of 3 and 4 with word boundaries, and each
-word bigram (all bigrams of two equal words are one feature). The vectors
-and the softmax are trained by minibatch stochastic gradient descent with AdaGrad steps in
+word bigram. The vectors and the softmax are trained by minibatch stochastic gradient descent with AdaGrad steps in
 numpy, on a sample of at most `most` labelled rows of each label.
 
 The document's logit is linear in the average, so that tasks need one number and one count
@@ -29,10 +28,9 @@ BUCKETS, WIDTH, SIZES = 1 << 16, 16, (3, 4)
 
 
 def bigrams(whole: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The bucket of each pair of neighbours, whatever the word for a pair of equal ones; whole: the words' buckets, w: the text's words."""
+    """The bucket of each pair of neighbours; whole: the words' buckets, w: the text's words."""
     with np.errstate(over="ignore"):
         pair = (whole[w[:-1]].astype(np.uint64) << np.uint64(17)) + whole[w[1:]].astype(np.uint64) + np.uint64(1)
-        pair[w[:-1] == w[1:]] = 0
         return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
