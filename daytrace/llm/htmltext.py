@@ -11,11 +11,14 @@
    are on each page once, in order of their mean position, is the root.
 4. Slots. Texts that are in a class themselves are the same on the pages and no slot's text. The
    main slot is the innermost container of the root that holds 70 % of the slots' text; links and
-   page furniture don't count. All text inside the main slot is kept, however often pages repeat it.
+   page furniture don't count. A paragraph inside the main slot is kept, however often pages repeat
+   it. A container of a class nested there is furniture if pages of different text give it nothing
+   but texts of the template, or links: its slots are empty. It holds under 30 % of the slot's text.
 5. A page takes its host's main slot if its tokens of the root come once each and in the root's
    order; else the same rule picks from the page's own elements. An article (or main) element
    around the slot, or else those within it, bound the text. Inside, furniture by element or class,
-   forms and reader comments are left out. So the number of a host's pages doesn't switch rules.
+   forms, reader comments and the template's furniture are left out. The last needs two pages of
+   different text, as no template can be told from one; the other rules hold for hosts of any size.
 
 Text is decoded, white space inside a block becomes one space, blocks (block elements and
 line breaks part them) join by a newline. Templates are broadcast if their measured bytes are few;
@@ -41,6 +44,8 @@ from .common import checkpointed, slices, table
 
 #: A class is on this share of a host's pages; the main slot holds this share of the slots' text.
 SUPPORT, MASS = 0.8, 0.7
+#: A container inside the main slot with this share of its characters in links is a menu of the template.
+LINKED = 0.8
 #: Templates are broadcast up to so many bytes, the hosts' numbers of pages up to so many hosts.
 MOST_BYTES, MOST_HOSTS = 32 << 20, 500_000
 
@@ -190,24 +195,24 @@ def host_of(url: str | None) -> str:
     return (url or "").split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
 
 
-COUNTS = "host string, role long, text boolean, holds boolean, up array<long>, pages long, times long, sum long, chars long, at double"
+COUNTS = "host string, role long, text boolean, holds boolean, up array<long>, pages long, times long, sum long, chars long, at double, words long, least long, most long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's sums; the pages of a host are the role 0."""
+    """Each task's sums; the pages of a host are the role 0. least and most: of the hashes of the pages' texts, which differ unless all pages are copies."""
     import xxhash
 
     roles, sums = Roles(), {}
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
     def flushed() -> pa.RecordBatch:
-        rows = [(host, role, v[0], v[1], v[2], v[3], v[4], v[5] - (1 << 64) if v[5] >> 63 else v[5], v[6], v[7]) for (host, role), v in sums.items()]
+        rows = [(host, role, v[0], v[1], v[2], v[3], v[4], v[5] - (1 << 64) if v[5] >> 63 else v[5], *v[6:]) for (host, role), v in sums.items()]
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=[c.split()[0] for c in COUNTS.split(", ")])
 
     for batch in slices(batches, "html", 8 << 20):
         for page, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            host, counts, n = host_of(url), {}, 0
+            host, counts, n, story = host_of(url), {}, 0, []
             for kind, _, words, path, plain in tokens(html or ""):
                 if kind not in ("open", "text") or (kind == "text" and not words.strip()):
                     continue
@@ -216,25 +221,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 role = roles.text(path, words) if kind == "text" else up[-1]
                 c = counts.get(role)
                 if c is None:
-                    c = counts[role] = [kind == "text", holds and kind == "open", up, 0, 0, n]
+                    c = counts[role] = [kind == "text", holds and kind == "open", up, 0, 0, n, 0]
                 c[3] += 1
                 if kind == "text" and not furniture:
-                    c[4] += plain
-                    if up and up[-1] in counts:
-                        counts[up[-1]][4] += plain
+                    story.append(str(role))
+                    held = (c, counts[up[-1]]) if up and up[-1] in counts else (c,)
+                    for h in held:
+                        h[4] += plain
+                        h[6] += len(words.strip())
             if n:
-                counts[0] = [False, False, (), 1, 0, 0]
-            for role, (text, holds, up, times, chars, at) in counts.items():
+                counts[0] = [False, False, (), 1, 0, 0, 0]
+            content = roles.hash(" ".join(story)) - (1 << 63)
+            for role, (text, holds, up, times, chars, at, all_) in counts.items():
                 mark = xxhash.xxh64_intdigest(f"{page}|{url}|{times}") if role else 0
                 s = sums.get((host, role))
                 if s is None:
-                    sums[host, role] = [text, holds, up, 1, times, mark, chars, at / max(n, 1)]
+                    sums[host, role] = [text, holds, up, 1, times, mark, chars, at / max(n, 1), all_, content, content]
                 else:
                     s[3] += 1
                     s[4] += times
                     s[5] = (s[5] + mark) & 0xFFFFFFFFFFFFFFFF
                     s[6] += chars
                     s[7] += at / max(n, 1)
+                    s[8] += all_
+                    s[9], s[10] = min(s[9], content), max(s[10], content)
             if len(sums) > 200_000:
                 yield flushed()
     yield flushed()
@@ -248,7 +258,7 @@ def classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = pages.select("page_id", "url", "html").mapInArrow(_count, COUNTS)
     # the wrapping sum of 64-bit hashes: halves are added apart, so that no sum overflows
     half = F.lit(0xFFFFFFFF)
-    sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "at")] + [F.first(c).alias(c) for c in ("text", "holds", "up")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "times", "chars", "at", "words")] + [F.min("least").alias("least"), F.max("most").alias("most")] + [F.first(c).alias(c) for c in ("text", "holds", "up")]
     by_role = checkpointed(counted.groupBy("host", "role").agg(*sums, F.sum(F.col("sum").bitwiseAND(half)).alias("low"), F.sum(F.shiftrightunsigned("sum", 32)).alias("high")))
     total = checkpointed(by_role.filter("role = 0").select("host", F.col("pages").alias("all")))
     total = F.broadcast(total) if total.count() <= MOST_HOSTS else total
@@ -263,20 +273,28 @@ def classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, root): the role of each host's main slot, and the roles of the root's elements in order."""
+    """(host, main, root, quiet): the role of each host's main slot, the roles of the root's elements in order, and those of furniture in the main slot."""
     by_role, valid = classes(pages)
     members = valid.select("host", "root", F.explode("roles").alias("r")).select("host", "root", "r.*")
-    own = by_role.filter(~F.col("text") & (F.col("chars") > 0)).select("host", "chars", "up", F.lit(0).alias("same"))
+    own = by_role.filter(~F.col("text") & (F.col("words") > 0)).select("host", "chars", "words", "up", F.lit(0).alias("same"))
     # a text of a class is no slot's text
-    constant = members.filter("text").select("host", "role").join(by_role.filter("text"), ["host", "role"]).select("host", "chars", "up", F.lit(1).alias("same"))
-    mass = own.union(constant).select("host", F.explode("up").alias("role"), "chars", "same").groupBy("host", "role").agg(
-        F.sum(F.when(F.col("same") == 0, F.col("chars")).otherwise(0)).alias("chars"), F.sum(F.when(F.col("same") == 0, F.col("chars")).otherwise(-F.col("chars"))).alias("varying")
-    )
-    held = members.filter("root AND holds AND NOT text").select("host", "role", "at", F.size("up").alias("depth")).join(mass, ["host", "role"], "left").fillna(0, ["chars", "varying"])
-    top = held.groupBy("host").agg(F.max("varying").alias("varying"), F.max("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("at", "depth", "role", F.col("varying").alias("v"), F.col("chars").alias("c")))).alias("held"))
+    constant = members.filter("text").select("host", "role").join(by_role.filter("text"), ["host", "role"]).select("host", "chars", F.lit(0).cast("long").alias("words"), "up", F.lit(1).alias("same"))
+    new, given = F.when(F.col("same") == 0, F.col("chars")).otherwise(0), F.when(F.col("same") == 0, 0).otherwise(F.col("chars"))
+    mass = own.union(constant).select("host", F.explode("up").alias("role"), "chars", "words", "same").groupBy("host", "role")
+    mass = checkpointed(mass.agg(F.sum(new).alias("chars"), F.sum(new - given).alias("varying"), F.sum("words").alias("words")))
+    held = members.filter("root AND holds AND NOT text").select("host", "role", "at", F.size("up").alias("depth")).join(mass, ["host", "role"], "left").fillna(0, ["chars", "varying", "words"])
+    top = held.groupBy("host").agg(F.max("varying").alias("varying"), F.max("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("at", "depth", "role", F.col("varying").alias("v"), F.col("chars").alias("c"), F.col("words").alias("w")))).alias("held"))
     enough = F.filter("held", lambda h: F.when(F.col("varying") > 0, h["v"] >= F.col("varying") * MASS).otherwise(h["c"] >= F.col("chars") * MASS))
-    main = F.try_element_at(F.array_sort(F.transform(enough, lambda h: F.struct(h["depth"], h["v"], h["role"]))), F.lit(-1))["role"]
-    return top.filter("chars > 0").select("host", main.alias("main"), F.transform("held", lambda h: h["role"]).alias("root"))
+    main = F.try_element_at(F.array_sort(F.transform(enough, lambda h: F.struct(h["depth"], h["v"], h["role"], h["w"]))), F.lit(-1))
+    top = checkpointed(top.filter("chars > 0").select("host", main.alias("slot"), F.transform("held", lambda h: h["role"]).alias("root")))
+    slot = top.filter("slot.v > 0").select("host", F.col("slot.role").alias("main"), F.col("slot.w").alias("all"))
+    # elements of any class that nest in the main slot: what the pages fill them with decides
+    differing = by_role.filter("NOT text AND least < most").select("host", "role")
+    nested = members.filter("holds AND NOT text").join(slot, "host").filter(F.array_contains("up", F.col("main")) & (F.col("role") != F.col("main")))
+    nested = nested.select("host", "role", "all").join(differing, ["host", "role"]).join(mass, ["host", "role"])
+    empty = ((F.col("chars") > 0) & (F.col("varying") == 0)) | (F.col("chars") <= F.col("words") * (1 - LINKED))
+    quiet = nested.filter(empty & (F.col("words") < F.col("all") * (1 - MASS))).groupBy("host").agg(F.collect_set("role").alias("quiet"))
+    return top.join(quiet, "host", "left").select("host", F.col("slot.role").alias("main"), "root", F.coalesce("quiet", F.array().cast("array<long>")).alias("quiet"))
 
 
 def _own_slot(found: list, roles: Roles) -> int | None:
@@ -311,14 +329,14 @@ def _bounds(paths: set[Path], main: int | None, roles: Roles) -> set[int]:
     return set() if main is None else {main}
 
 
-def main_text(page: str, main: int | None, root: tuple[int, ...], roles: Roles) -> tuple[str, int]:
-    """The main text, and the number of slots that it came from: slots lie between the tokens of the root."""
+def main_text(page: str, main: int | None, root: tuple[int, ...], quiet: frozenset[int], roles: Roles) -> tuple[str, int]:
+    """The main text, and the number of slots that it came from: slots lie between the tokens of the root. Elements of quiet roles are the template's furniture."""
     found = list(tokens(page))
     order = {r: i for i, r in enumerate(root)}
     opened = [roles.of(path)[0][-1] for kind, _, _, path, _ in found if kind == "open"]
     met = [order[r] for r in opened if r in order]
     if main not in opened or any(a >= b for a, b in zip(met, met[1:])):
-        main = _own_slot(found, roles)
+        main, quiet = _own_slot(found, roles), frozenset()
     bounds = _bounds({path for kind, _, _, path, _ in found if kind == "open"}, main, roles)
     blocks: list[tuple[int, str]] = []
     buffer: list[str] = []
@@ -335,7 +353,7 @@ def main_text(page: str, main: int | None, root: tuple[int, ...], roles: Roles)
         if kind != "text":
             closed()
             slot += kind == "open" and up[-1] in order
-        elif not furniture and (not bounds or not bounds.isdisjoint(up)):
+        elif not furniture and (not bounds or not bounds.isdisjoint(up)) and quiet.isdisjoint(up):
             buffer.append(text)
     closed()
     return "\n".join(text for _, text in blocks), len({s for s, _ in blocks})
@@ -348,13 +366,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roles, cache = Roles(), {}
     for batch in slices(batches, "html", 8 << 20):
         texts, counts = [], []
-        main, root = batch["main"], batch["root"]
+        main, root, quiet = batch["main"], batch["root"], batch["quiet"]
         for i, (url, page) in enumerate(zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)):
             host = host_of(url)
             if host not in cache:
                 if len(cache) > 10_000:
                     cache.clear()
-                cache[host] = main[i].as_py(), tuple(root[i].as_py() or ())
+                cache[host] = main[i].as_py(), tuple(root[i].as_py() or ()), frozenset(quiet[i].as_py() or ())
             text, n = main_text(page or "", *cache[host], roles)
             texts.append(text)
             counts.append(n)
@@ -364,12 +382,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page row: page_id, url, text, slots."""
     deduced = checkpointed(templates(pages))
-    size = deduced.agg(F.coalesce(F.sum(64 + F.length("host") + 8 * F.size("root")), F.lit(0))).first()[0]
+    size = deduced.agg(F.coalesce(F.sum(64 + F.length("host") + 8 * F.size("root") + 8 * F.size("quiet")), F.lit(0))).first()[0]
     own = deduced.withColumnRenamed("host", "of")
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^.*?://", "")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"))
     p = p.join(F.broadcast(own) if size <= MOST_BYTES else own, F.col("host") == F.col("of"), "left")
-    return p.select("page_id", "url", "html", "main", "root").mapInArrow(_extract, TEXTS)
+    return p.select("page_id", "url", "html", "main", "root", "quiet").mapInArrow(_extract, TEXTS)
 
 
 ORACLE = r"""

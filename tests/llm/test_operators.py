@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -492,6 +493,28 @@ def test_template_picks_the_main_slot(spark):
     assert got[4] == "T4\nown words here 4" and all("Terms" not in t for t in got.values())
 
 
+def test_template_tells_furniture_in_the_main_slot(spark):
+    """Nested containers of constant text or of links go by their slots, whatever their names; paragraphs, varying and single ones stay, and so do those of copies."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    shape = "<body><{e}><h1>{0}</h1><p>{1}</p><div class='x1'><p>Written for you with care.</p></div><p>All rights of the author.</p>" "<div class='x2'>{3}</div><div class='x3'><p>{2}</p></div></{e}></body>"
+    rows, want = [], {}
+    for k, element in enumerate(("article", "div class='z'")):
+        for n in (1, 2, 8, 60):
+            for i in range(n):
+                a, b, c = prose(4), prose(80), prose(12)
+                links = "".join(f"<a href='/{prose(1)}'>{prose(3)}</a> " for _ in range(3))
+                page = shape.format(a, b, c, links, e=element).replace("</div class='z'>", "</div>")
+                text = [a, b, "Written for you with care.", "All rights of the author.", " ".join(re.sub("<[^>]*>", "", links).split()), c]
+                rows.append((len(rows), f"http://{k}-{n}.example/{i}", page))
+                want[len(rows) - 1] = "\n".join(text if n == 1 else text[:2] + [text[3], text[5]])
+        for i in range(10):  # copies of the last page are no evidence
+            rows.append((len(rows), f"http://{k}-copies.example/{i}", page))
+            want[len(rows) - 1] = "\n".join(text)
+    got = extracted(spark, rows)
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_template_classes(spark):
     pages = spark.createDataFrame([(i, "http://a.example/", PLAIN.format(i=i, body="b", j=i)) for i in range(10)], PAGES)
     _, valid = htmltext.classes(pages)
