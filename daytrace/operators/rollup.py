@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,15 +27,18 @@ def hour_slices(episodes: DataFrame) -> DataFrame:
     start, end = F.timestamp_millis("start_ms"), F.timestamp_millis("end_ms")
     first = F.date_trunc("HOUR", start)
     last = F.greatest(F.timestamp_millis(F.col("end_ms") - 1), start)
-    e = e.withColumn("hours", F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))).select("*", F.posexplode("hours").alias("pos", "at")).drop("hours")
+    e = e.withColumn("hours", F.sequence(first, last, F.expr("INTERVAL 1 HOUR")))
     span = F.col("end_ms") - F.col("start_ms")
-    slice_ = F.least(F.unix_millis("at") + HOUR, F.col("end_ms")) - F.greatest(F.unix_millis("at"), F.col("start_ms"))
-    product = F.col("active_ms") * slice_
-    share = F.when(span == 0, F.col("active_ms")).otherwise(((product - F.pmod(product, span)) / span).cast("long"))
-    e = e.withColumn("share", share)
-    own = W.partitionBy("stream", "date", "id", "start_ms", "end_ms", "app")
-    rest = F.col("active_ms") - F.sum("share").over(own)
-    return e.select("stream", "date", "id", "app", "start_ms", "ordinal", F.hour("at").alias("hour"), "pos", (F.col("share") + F.when(F.col("pos") == 0, rest).otherwise(0)).alias("share_ms"))
+
+    def share(at: Column) -> Column:
+        slice_ = F.least(F.unix_millis(at) + HOUR, F.col("end_ms")) - F.greatest(F.unix_millis(at), F.col("start_ms"))
+        product = F.col("active_ms") * slice_
+        return F.when(span == 0, F.col("active_ms")).otherwise(((product - F.pmod(product, span)) / span).cast("long"))
+
+    # within the row: other episodes may share the id and the times
+    e = e.withColumn("shares", F.transform("hours", share)).withColumn("rest", F.col("active_ms") - F.aggregate("shares", F.lit(0).cast("long"), lambda a, b: a + b))
+    e = e.select("*", F.posexplode(F.arrays_zip("hours", "shares")).alias("pos", "of"))
+    return e.select("stream", "date", "id", "app", "start_ms", "ordinal", F.hour("of.hours").alias("hour"), "pos", (F.col("of.shares") + F.when(F.col("pos") == 0, F.col("rest")).otherwise(0)).alias("share_ms"))
 
 
 def daily(episodes: DataFrame) -> DataFrame:

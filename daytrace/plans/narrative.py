@@ -85,18 +85,21 @@ def _brief(n: Column) -> Column:
 
 
 def hour_prompts(public: DataFrame, hour_ids: DataFrame, hours: DataFrame, instructions: str = ASK_HOUR) -> DataFrame:
-    """(stream, date, hour, user, max_tokens) for hours of a minute or more. hour_ids: (stream, date, hour, episode_ids)."""
-    ids = hour_ids.select(*KEYS, "hour", F.posexplode("episode_ids").alias("pos", "id"))
+    """(stream, date, hour, user, max_tokens) for hours of a minute or more. hour_ids: (stream, date, hour, episode_ids).
+
+    Episodes are told in the order of their starts, whatever the order of the ids; of episodes that share an id one is told.
+    """
+    ids = hour_ids.select(*KEYS, "hour", F.explode("episode_ids").alias("id"))
     e = public.dropDuplicates([*KEYS, "id"]).join(ids, [*KEYS, "id"])
     worth = F.col("active_ms") >= WORTH_MS
     group = W.partitionBy(*KEYS, "hour")
     any_worth = F.max(worth).over(group)
     e = e.withColumn("named", worth | ~any_worth)
-    e = e.withColumn("rank", F.sum(F.col("named").cast("int")).over(group.orderBy("pos")))
+    e = e.withColumn("rank", F.sum(F.col("named").cast("int")).over(group.orderBy("start", "id").rowsBetween(W.unboundedPreceding, 0)))
     listed = F.col("named") & (F.col("rank") <= HOUR_EPISODES)
-    g = e.groupBy(*KEYS, "hour").agg(
-        F.array_sort(F.collect_list(F.when(listed, F.struct("pos", line_in_hour().alias("line"))))).alias("lines"), F.count_if("named").alias("n_named"), F.count_if(~F.col("named")).alias("n_brief")
-    )
+    # only the lines that are told go on to be gathered
+    e = e.select(*KEYS, "hour", "named", F.when(listed, F.struct("rank", line_in_hour().alias("line"))).alias("told"))
+    g = e.groupBy(*KEYS, "hour").agg(F.array_sort(F.collect_list("told")).alias("lines"), F.count_if("named").alias("n_named"), F.count_if(~F.col("named")).alias("n_brief"))
     h = g.join(hours.select(*KEYS, "hour", F.col("active_ms").alias("hour_ms")), [*KEYS, "hour"]).filter(F.col("hour_ms") >= WORTH_MS)
     head = F.format_string(HOUR_HEAD, long_day(F.col("date").cast("date")), "hour", "hour", human_duration(F.col("hour_ms")))
     over = F.when(F.col("n_named") > HOUR_EPISODES, F.format_string(OMITTED, F.col("n_named") - HOUR_EPISODES)).otherwise("")
@@ -152,7 +155,8 @@ def chat_prompts(public: DataFrame, days: DataFrame, usage: DataFrame, summaries
     """
     order = W.partitionBy(*KEYS).orderBy("start", "id", "app")
     named = public.filter(F.col("active_ms") >= WORTH_MS).withColumn("rank", F.row_number().over(order))
-    lines = named.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= CHAT_EPISODES, F.struct("rank", line_in_day().alias("line"))))).alias("lines"), F.count("*").alias("n_named"))
+    told = named.select(*KEYS, F.when(F.col("rank") <= CHAT_EPISODES, F.struct("rank", line_in_day().alias("line"))).alias("told"))
+    lines = told.groupBy(*KEYS).agg(F.array_sort(F.collect_list("told")).alias("lines"), F.count("*").alias("n_named"))
     turn = F.format_string(TURN, trimmed(F.col("asked")), trimmed(F.col("answered")))
     carried = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.desc("turn"))) <= CHAT_TURNS
     said = turns.withColumn("__in", carried).filter("__in").groupBy(*KEYS).agg(_joined(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("x")))), lambda r: r["x"]), "").alias("said"))

@@ -465,9 +465,8 @@ def run_report(s, d):
 
 @query
 def hour_prompt(s, d):
-    e = _episodes(s, d)
-    sl = rollup.hour_slices(e)
-    return narrative.hour_prompts(privacy.public_episodes(e), rollup.hour_episode_ids(sl), rollup.hourly(sl))
+    sl = _slices(s, d)
+    return narrative.hour_prompts(privacy.public_episodes(_episodes(s, d)), rollup.hour_episode_ids(sl), rollup.hourly(sl))
 
 
 @query
@@ -484,9 +483,9 @@ def _turns(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def chat_prompt(s, d):
-    e = _episodes(s, d)
+    e = _core(s, d)
     days = rollup.daily(e)
-    return narrative.chat_prompts(privacy.public_episodes(e), days, rollup.app_usage(e), _summaries(rollup.hour_slices(e)), _daily_texts(days), _turns(s, d), QUESTION)
+    return narrative.chat_prompts(privacy.public_episodes(_episodes(s, d)), days, rollup.app_usage(e), _summaries(rollup.hour_slices(e)), _daily_texts(days), _turns(s, d), QUESTION)
 
 
 @query

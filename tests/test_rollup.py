@@ -67,3 +67,8 @@ def test_share_and_bars_and_timeline(spark):
 def test_empty(spark):
     e = episodes(spark, (9, 0, 1, 1, "x")).limit(0)
     assert rollup.daily(e).count() == 0 and rollup.hourly(rollup.hour_slices(e)).count() == 0
+
+
+def test_episodes_of_equal_id_and_times_keep_their_own_remainders(spark):
+    e = spark.createDataFrame([(0, "2024-03-05", "x", "a", 1_709_636_400_000, 1_709_643_600_000, 600_001)] * 3, "stream int, date string, id string, app string, start_ms long, end_ms long, active_ms long")
+    assert sorted(r.share_ms for r in rollup.hour_slices(e).collect()) == [300_000] * 3 + [300_001] * 3
