@@ -131,54 +131,59 @@ def _bounds() -> list[Column]:
     return [F.min_by("app", "seq").alias("app"), F.first("private").alias("is_private"), start.alias("start_ms"), F.greatest(F.max_by("until", "seq"), start).alias("end_ms"), F.sum("credit").alias("active_ms"), F.count("*").alias("event_count")]
 
 
-#: The lists of an episode, in the order of their items' kinds: column and how many values it holds (None: all).
+#: The lists of an episode, and how many values each holds (None: all).
 LISTS = (("titles", None), ("urls", None), ("documents", MAX_DOCUMENTS), ("visible_text", MAX_TEXT))
+#: So many rows of an episode are gathered at once.
+PIECE = 64
 
 
-def _items(rows: DataFrame) -> Column:
-    """A row's values for the lists (kind: the list's place, pos: the place within the row), and one of kind -1 for the row itself."""
-    item = lambda kind, v, pos=F.lit(0): F.struct(F.lit(kind).alias("kind"), v.alias("v"), pos.alias("pos"))
-    one = F.array(item(0, F.when(F.trim("title") != "", F.col("title"))), item(1, F.col("url")), item(2, F.col("document")))
-    text = F.transform(F.coalesce("visible_text", F.array().cast("array<string>")), lambda v, i: item(3, v, i))
-    own = F.filter(F.concat(one, text), lambda x: x["v"].isNotNull())
-    none = F.array(item(-1, F.lit(None).cast("string")))
-    return F.when(F.col("private"), none).otherwise(F.concat(none, own))
+def _distinct(values: Column, most: int | None) -> Column:
+    """The first appearances, in order, without nulls."""
+    found = F.array_distinct(F.array_compact(values))
+    return found if most is None else F.slice(found, 1, most)
+
+
+def _lists_of_rows(rows: Column) -> list[Column]:
+    """LISTS of rows in order."""
+    empty = F.array().cast("array<string>")
+    each = {"titles": F.transform(rows, lambda r: F.when(F.trim(r["title"]) != "", r["title"])), "urls": F.transform(rows, lambda r: r["url"]), "documents": F.transform(rows, lambda r: r["document"])}
+    each["visible_text"] = F.flatten(F.transform(rows, lambda r: F.coalesce(r["visible_text"], empty)))
+    return [_distinct(each[name], most).alias(name) for name, most in LISTS]
 
 
 def _with_holds(rows: DataFrame) -> DataFrame:
-    """Adds the current title of each row, and how long its episode held it in all: a title is held from its event until the next title.
+    """Adds the place of each row in its episode, its current title, and how long the episode held that in all: a title is held from its event until the next title.
 
     Windows rather than a join back: all partition within (stream, date), so they need no further exchange.
     """
-    order = W.partitionBy(*KEY, "ep").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*KEY, "ep").orderBy("seq")
     named = F.when(~F.col("private") & (F.trim("title") != ""), F.col("title"))
-    rows = rows.withColumn("current", F.last(named, ignorenulls=True).over(order))
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("current", F.last(named, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
     by_title = W.partitionBy(*KEY, "ep", "current")
-    return rows.withColumn("held", F.sum("credit").over(by_title)).withColumn("first_seq", F.min("seq").over(by_title))
+    return rows.withColumn("held", F.sum("credit").over(by_title)).withColumn("first", F.min("place").over(by_title))
 
 
 def episodes(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
     """Episodes with their lists, titles and text. ranges: see marked().
 
-    The values of a list are reduced to their first appearances before anything is gathered, and of a
-    list that is capped the first ones alone are: an episode's rows are never collected.
+    Rows are gathered by pieces of PIECE rows at most; the lists of a piece hold first appearances alone, and those that
+    are capped no more than that, before the pieces of an episode meet. So an episode's rows are never collected.
     """
     rows = _with_holds(marked(activity, ranges))
-    rank = F.when(F.col("current").isNotNull(), F.struct("held", F.col("first_seq") if TIES_GO_LAST else -F.col("first_seq")))
-    rows = rows.withColumn("rank", rank).select(*KEY, "ep", "seq", "app", "private", "ms", "until", "credit", "app_path", "current", "rank", F.inline(_items(rows)))
-    # a row of kind -1 is an episode, others are values of its lists
-    e = rows.groupBy(*KEY, "ep", "kind", "v").agg(*_bounds(), F.max_by("current", "rank").alias("title"), F.min_by("app_path", "seq").alias("app_path"), F.min(F.struct("seq", "pos")).alias("first"))
-    place = F.row_number().over(W.partitionBy(*KEY, "ep", "kind").orderBy("first"))
-    most = F.array(*[F.lit(n) for _, n in LISTS])
-    e = e.withColumn("place", place).withColumn("most", F.when(F.col("kind") >= 0, F.get(most, F.col("kind")))).filter("most IS NULL OR place <= most")
-    own = F.col("kind") < 0
-    base = [F.max_by(c, F.when(own, F.lit(1))).alias(c) for c in ("app", "is_private", "start_ms", "end_ms", "active_ms", "event_count", "title", "app_path")]
-    e = e.groupBy(*KEY, "ep").agg(*base, F.array_sort(F.collect_list(F.when(~own, F.struct("kind", "place", "v")))).alias("items"))
-    return _finished(e.select("*", *[_list(kind).alias(name) for kind, (name, _) in enumerate(LISTS)]))
-
-
-def _list(kind: int) -> Column:
-    return F.transform(F.filter("items", lambda x: x["kind"] == kind), lambda x: x["v"])
+    rank = F.when(F.col("current").isNotNull(), F.struct("held", F.col("first") if TIES_GO_LAST else -F.col("first"), "current"))
+    shown = F.when(~F.col("private"), F.struct("place", "title", "url", "document", "visible_text"))
+    p = rows.withColumn("piece", F.floor((F.col("place") - 1) / PIECE)).groupBy(*KEY, "ep", "piece").agg(
+        F.min_by("app", "place").alias("app"), F.first("private").alias("is_private"), F.min_by("ms", "place").alias("start_ms"), F.max_by("until", "place").alias("until"), F.sum("credit").alias("credit"), F.count("*").alias("events"),
+        F.max(rank).alias("rank"), F.min_by("app_path", "place").alias("app_path"), F.min("place").alias("place"), F.array_sort(F.collect_list(shown)).alias("rows"),
+    )
+    p = p.select(*[c for c in p.columns if c != "rows"], *_lists_of_rows(F.col("rows")))
+    start = F.min_by("start_ms", "place")
+    e = p.groupBy(*KEY, "ep").agg(
+        F.min_by("app", "place").alias("app"), F.first("is_private").alias("is_private"), start.alias("start_ms"), F.greatest(F.max_by("until", "place"), start).alias("end_ms"), F.sum("credit").alias("active_ms"), F.sum("events").alias("event_count"),
+        F.max("rank")["current"].alias("title"), F.min_by("app_path", "place").alias("app_path"), F.array_sort(F.collect_list(F.struct("place", *[name for name, _ in LISTS]))).alias("pieces"),
+    )
+    lists = [_distinct(F.flatten(F.col(f"pieces.{name}")), most).alias(name) for name, most in LISTS]
+    return _finished(e.select(*[c for c in e.columns if c != "pieces"], *lists))
 
 
 def _finished(e: DataFrame) -> DataFrame:
