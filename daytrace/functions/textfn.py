@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,10 +76,7 @@ def collapse(c: Column) -> Column:
 
 def looks_secret(line: Column) -> Column:
     """A known prefix, or a word of 20 characters or more of letters and digits and + / = _ -, with both."""
-    low = F.lower(line)
-    known = F.lit(False)
-    for p in SECRET_PREFIXES:
-        known = known | F.startswith(low, F.lit(p))
+    known = F.lower(line).rlike("^(?:" + "|".join(re.escape(p) for p in SECRET_PREFIXES) + ")")
     return known | F.coalesce(line.rlike(r"(?:^| )(?=[A-Za-z0-9+/=_-]{20,}(?: |$))(?=[^ ]*[0-9])(?=[^ ]*[A-Za-z])"), F.lit(False))
 
 
@@ -94,10 +93,14 @@ def truncate(line: Column) -> Column:
     return F.when(F.char_length(line) > MAX_LINE, F.concat(F.substring(line, 1, MAX_LINE - 1), F.lit("…"))).otherwise(line)
 
 
+def may_be_shown(line: Column) -> Column:
+    return (F.char_length(line) >= 2) & ~looks_secret(line) & ~names_location(line)
+
+
 def redact_line(raw: Column) -> Column:
     """The line as it may be shown, or null."""
     line = collapse(raw)
-    return F.when((F.char_length(line) >= 2) & ~looks_secret(line) & ~names_location(line), truncate(mask_digits(line)))
+    return F.when(may_be_shown(line), truncate(mask_digits(line)))
 
 
 def redact_lines(lines: Column, max_lines: int, max_chars: int, window_title: Column | None = None) -> Column:
@@ -106,7 +109,9 @@ def redact_lines(lines: Column, max_lines: int, max_chars: int, window_title: Co
     Beyond max_lines it stops; a line that would exceed max_chars is skipped, and later ones may still fit.
     """
     title = collapse(window_title) if window_title is not None else F.lit(None).cast("string")
-    shown = F.transform(F.array_sort(lines), lambda x: redact_line(x["line"]))
+    # redact_line() by a pass for each of its steps: a lambda computes what it uses several times each time
+    shown = F.filter(F.transform(F.array_sort(lines), lambda x: collapse(x["line"])), may_be_shown)
+    shown = F.transform(F.transform(shown, mask_digits), truncate)
     shown = F.array_distinct(F.filter(shown, lambda x: x.isNotNull() & ~x.eqNullSafe(title)))
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("total"))
 

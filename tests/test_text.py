@@ -83,3 +83,9 @@ def test_small_rules(spark):
     assert one(spark, " \n ", textfn.one_line) == "Untitled"
     assert one(spark, 820, timefn.file_size, "long") == "820 bytes" and one(spark, 2_100, timefn.file_size, "long") == "2.1 kB"
     assert one(spark, "a-b_1", textfn.valid_id) and not one(spark, "../x", textfn.valid_id)
+
+
+def test_a_line_is_not_collapsed_again_for_each_use(spark):
+    lines = F.array(F.struct(F.lit(0).alias("surface"), F.lit(0).alias("seq"), F.col("id").cast("string").alias("line")))
+    plan = spark.range(1).select(textfn.redact_lines(lines, 3, 100))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\s+") <= 2
