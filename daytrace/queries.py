@@ -567,8 +567,8 @@ def log_round_trip(s, d):
     from pyspark.sql import Window as W
 
     back = rows.withColumn("back", F.coalesce(F.lag(F.col("id").cast("long")).over(W.partitionBy("date").orderBy("seq")) > F.col("id").cast("long"), F.lit(False)))
-    kept = back.groupBy("date").agg(F.count_if("back").alias("out_of_order"), F.count("windowTitle").alias("titles"), F.count("browser.url").alias("urls"))
-    return jsonl.day_stats(rows).join(kept, "date").withColumn("date", F.col("date").cast("string"))
+    stats = jsonl.day_stats(back, F.count_if("back").alias("out_of_order"), F.count("windowTitle").alias("titles"), F.count("browser.url").alias("urls"))
+    return stats.withColumn("date", F.col("date").cast("string"))
 
 
 @query

@@ -52,14 +52,15 @@ def is_event(e: Column) -> Column:
     return F.coalesce(whole & named & (browser.isNull() | browser["isPrivate"].isNotNull()), F.lit(False))
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    return lines.select("date", "seq", F.from_json("line", EVENT).alias("e")).withColumn("ok", F.col("e").isNotNull() & is_event(F.col("e")))
+def events_of(line: Column) -> Column:
+    """The line's event in an array, which is empty if the line isn't one: conditions on a parsed column would parse the line again for each field that they name."""
+    return F.filter(F.array(F.from_json(line, EVENT)), lambda e: e.isNotNull() & is_event(e))
 
 
 def read_days(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
     """Events (schema.EVENT) with date and seq; only the files of the dates named are opened."""
     names = "{" + ",".join(dates) + "}" if dates else "*"
-    return _parsed(_lines(spark, root, names)).filter("ok").select("date", "seq", "e.*")
+    return _lines(spark, root, names).select("date", "seq", F.inline(events_of(F.col("line"))))
 
 
 def read_day(spark: SparkSession, root: str, date: str) -> DataFrame:
@@ -68,12 +69,12 @@ def read_day(spark: SparkSession, root: str, date: str) -> DataFrame:
 
 def bad_lines(spark: SparkSession, root: str) -> DataFrame:
     """(date, bad): lines left out."""
-    return _parsed(_lines(spark, root)).groupBy("date").agg(F.count_if(~F.col("ok")).alias("bad"))
+    return _lines(spark, root).groupBy("date").agg(F.sum(1 - F.size(events_of(F.col("line")))).alias("bad"))
 
 
-def day_stats(records: DataFrame) -> DataFrame:
-    """(date, events, last_event_at): the timestamp of the last record in the order of the log, which isn't the latest one."""
-    return records.groupBy("date").agg(F.count("*").alias("events"), F.max_by("timestamp", "seq").alias("last_event_at"))
+def day_stats(records: DataFrame, *more: Column) -> DataFrame:
+    """(date, events, last_event_at): the timestamp of the last record in the order of the log, which isn't the latest one. more: further aggregates."""
+    return records.groupBy("date").agg(F.count("*").alias("events"), F.max_by("timestamp", "seq").alias("last_event_at"), *more)
 
 
 def names(spark: SparkSession, pattern: str) -> list[str]:

@@ -10,9 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..schema import EVENT
 from ..sources import jsonl
-from ..sources.jsonl import is_event
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,7 +18,7 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path).select(F.from_json("value", EVENT).alias("e")).filter(F.col("e").isNotNull() & is_event(F.col("e"))).select("e.*")
+    return reader.load(path).select(F.inline(jsonl.events_of(F.col("value"))))
 
 
 def table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -302,3 +302,8 @@ def test_a_document_that_cannot_be_moved_is_kept(spark, tmp_path, monkeypatch):
         library.save(docs.withColumn("body", F.lit("three")), root)
     assert [r.body for r in library.entries(spark, root).collect()] == ["two"]
     assert "three" in "".join(p.read_text() for p in tmp_path.glob("library/.saving-*/id=d/part-*"))
+
+
+def test_a_line_of_the_log_is_parsed_once(spark, root):
+    for df in (jsonl.read_days(spark, root), jsonl.bad_lines(spark, root)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
