@@ -48,6 +48,8 @@ LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 200, 50, 3
 MARKUP = b"#$%&*|"
 #: A shard holds so many bytes of text at most, or one longer text.
 SHARD_BYTES = 16 << 20
+#: So many bytes of a shard's texts are out of the batch at once.
+BYTES_AT_ONCE = 1 << 20
 #: So many words leave a shard at once.
 WORDS_AT_ONCE = 50_000
 
@@ -59,8 +61,7 @@ ROWS = "doc_id long, part string, digest binary, fails string, n_words long, n_d
 
 def pack(values: np.ndarray) -> bytes:
     """An array of int64 or int32, compressed with its length before it."""
-    raw = values.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return values.nbytes.to_bytes(8, "little") + pa.compress(pa.py_buffer(values), codec="zstd", asbytes=True)
 
 
 def unpack(packed: bytes, kind: type) -> np.ndarray:
@@ -89,15 +90,19 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards with words of their own numbering. A shard's name is its partition and its place there."""
     name = TaskContext.get().partitionId() << 32
     for batch in slices(batches, "text", SHARD_BYTES):
-        texts, ids = as_bytes(batch["text"]), Ids()
+        ids, digests, fails = Ids(), [], []
         ends, indices, data = array("q", [0]), array("i"), array("q")
-        for t in texts:
-            counts = Counter(t.split())
-            indices.extend(map(ids.__getitem__, counts))
-            data.extend(counts.values())
-            ends.append(len(data))
-        own = {"doc_ids": batch["doc_id"].to_pylist(), "parts": batch["part"].to_pylist(), "digests": [hashlib.sha256(t).digest() for t in texts], "fails": [_fails(t) for t in texts]}
+        for piece in slices([batch], "text", BYTES_AT_ONCE):
+            for t in as_bytes(piece["text"]):
+                counts = Counter(t.split())
+                indices.extend(map(ids.__getitem__, counts))
+                data.extend(counts.values())
+                ends.append(len(data))
+                digests.append(hashlib.sha256(t).digest())
+                fails.append(_fails(t))
+        own = {"doc_ids": batch["doc_id"].to_pylist(), "parts": batch["part"].to_pylist(), "digests": digests, "fails": fails}
         own |= {"indptr": pack(np.asarray(ends)), "indices": pack(np.asarray(indices)), "data": pack(np.asarray(data))}
+        del ends, indices, data
         yield pa.record_batch([pa.array([name]), pa.array([own], _OWN), pa.array([pack_words(ids) if ids else None], pa.binary())], names=["shard", "own", "words"])
         name += 1
 
