@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.textfn import document_label
 from ..functions.timefn import credited, format_instant
 from ..schema import AWAY_KINDS, IDLE_MS, MAX_DOCUMENTS, MAX_TEXT, TIES_GO_LAST, WINDOW_KINDS
+from ..shared import dealt
 
 KEY = ("stream", "date")
 
@@ -56,7 +57,7 @@ def marked(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
     others (one row for each range) is found by a pass over the ranges of the day.
     """
     r = relevant(activity)
-    return _marked_by_ranges(r.withColumn("range", ranges)) if ranges is not None else _marked(r)
+    return _marked(dealt(r, *KEY)) if ranges is None else _marked_by_ranges(dealt(r.withColumn("range", ranges), *KEY, "range"))
 
 
 def _marked(r: DataFrame) -> DataFrame:
@@ -151,14 +152,16 @@ def _lists_of_rows(rows: Column) -> list[Column]:
     return [_distinct(each[name], most).alias(name) for name, most in LISTS]
 
 
-def _with_holds(rows: DataFrame) -> DataFrame:
-    """Adds the place of each row in its episode, its current title, and how long the episode held that in all: a title is held from its event until the next title.
+def _with_holds(rows: DataFrame, *within: str) -> DataFrame:
+    """Adds the place of each row in the order of its day, its episode's current title, and how long the episode held that in all: a title is held from its event until the next title.
 
-    Windows rather than a join back: all partition within (stream, date), so they need no further exchange.
+    Windows rather than a join back: all partition within (stream, date), so they need no further exchange, and those of a
+    day in its order no further sort. within: what rows are dealt by besides, if not by whole days.
     """
-    order = W.partitionBy(*KEY, "ep").orderBy("seq")
-    named = F.when(~F.col("private") & (F.trim("title") != ""), F.col("title"))
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("current", F.last(named, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = W.partitionBy(*KEY, *within).orderBy("seq")
+    named = F.when(~F.col("private") & (F.trim("title") != ""), F.struct("ep", "title"))
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("named", F.last(named, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("current", F.when(F.col("named.ep") == F.col("ep"), F.col("named.title"))).drop("named")
     by_title = W.partitionBy(*KEY, "ep", "current")
     return rows.withColumn("held", F.sum("credit").over(by_title)).withColumn("first", F.min("place").over(by_title))
 
@@ -169,7 +172,8 @@ def episodes(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
     Rows are gathered by pieces of PIECE rows at most; the lists of a piece hold first appearances alone, and those that
     are capped no more than that, before the pieces of an episode meet. So an episode's rows are never collected.
     """
-    rows = _with_holds(marked(activity, ranges))
+    rows = marked(activity, ranges)
+    rows = _with_holds(rows) if ranges is None else _with_holds(dealt(rows, *KEY, "ep"), "ep")
     rank = F.when(F.col("current").isNotNull(), F.struct("held", F.col("first") if TIES_GO_LAST else -F.col("first"), "current"))
     shown = F.when(~F.col("private"), F.struct("place", "title", "url", "document", "visible_text"))
     p = rows.withColumn("piece", F.floor((F.col("place") - 1) / PIECE)).groupBy(*KEY, "ep", "piece").agg(

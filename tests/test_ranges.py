@@ -47,3 +47,13 @@ def test_a_written_hour_is_skipped_even_if_it_is_short(spark):
     written = spark.createDataFrame([(0, "2024-03-05", 1, 40_000), (0, "2024-03-05", 3, 100_000)], "stream int, date string, hour int, active_ms long")
     assert {r.hour: r.action for r in narrative.run_plan(hours, written).collect()} == {1: "skip", 2: "quiet", 3: "write", 4: "write"}
     assert narrative.run_report(narrative.run_plan(hours, written)).select(F.array_join(F.transform("hours_skip", lambda h: h.cast("string")), ",")).first()[0] == "1"
+
+
+def test_days_are_dealt_to_as_many_tasks_as_the_session_names(spark):
+    """However small they are: merged by their compressed size, repeated rows fill a task's memory. And a day is sorted once by the log, once by its titles."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = activity(spark, (0, C, "x", "t"), (1, C, "x", "u"), (2, C, "y", "t"), (30, C, "x", "v"))
+    for e in (sessions.core(a), sessions.episodes(a), sessions.episodes(a, sessions.seq_range(a, 2))):
+        assert e.rdd.getNumPartitions() == n
+    plan = sessions.episodes(a).select("title")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line and "seq" in line for line in plan.splitlines()) == 1
