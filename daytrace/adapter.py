@@ -14,7 +14,8 @@ from .functions.timefn import parse_instant
 
 def from_records(records: DataFrame) -> DataFrame:
     """Event records (schema.EVENT with date, seq and perhaps stream) as activity rows."""
-    stream = F.col("stream") if "stream" in records.columns else F.lit(0)
+    # one stream is no literal: Spark drops literals from what a sort or a grouping asks for, and would deal the rows a second time by the rest
+    stream = F.col("stream") if "stream" in records.columns else F.coalesce(F.col("version") * 0, F.lit(0))
     return records.select(
         stream.alias("stream"), "date", "seq", parse_instant(F.col("timestamp")).alias("ts"), "kind", F.coalesce("application.name", F.lit("")).alias("app"), F.col("application.path").alias("app_path"),
         F.col("windowTitle").alias("title"), F.col("browser.url").alias("url"), F.col("document.path").alias("doc_path"), F.col("document.title").alias("doc_title"),

@@ -22,16 +22,25 @@ def nullif_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+#: Unicode's white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(c: Column) -> Column:
     """Without white space (Unicode's) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACE))
+
+
+def words(c: Column) -> Column:
+    """Lower-case words of two code points or more, split at all but letters and digits. They are found, not split: a split compiles its pattern for each text."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"[\p{IsAlphabetic}\p{N}]{2,}"), F.lit(0)), F.lower)
 
 
 def tokenize(c: Column) -> Column:
-    """Lower-case words of two code points or more, split at all but letters and digits; only consecutive repeats are dropped."""
-    words = F.transform(F.filter(F.split(c, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: F.char_length(w) >= 2), F.lower)
+    """The words; only consecutive repeats are dropped."""
+    found = words(c)
     # each word beside the one before it; the pairs are one longer than the words, where the word is null
-    kept = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, before: F.when(w != before, w))
+    kept = F.zip_with(found, F.concat(F.array(F.lit("")), found), lambda w, before: F.when(w != before, w))
     return F.filter(kept, lambda w: w.isNotNull())
 
 
@@ -39,9 +48,13 @@ def without_scheme(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)^.*?://", "")
 
 
+def host_and_path(url: Column) -> Column:
+    return F.element_at(F.split(without_scheme(url), "[?#]"), 1)
+
+
 def tokenize_url(c: Column) -> Column:
     """Words of host and path: what follows ? or # is never indexed."""
-    return tokenize(F.element_at(F.split(without_scheme(c), "[?#]"), 1))
+    return tokenize(host_and_path(c))
 
 
 def strip_query(c: Column) -> Column:
@@ -55,7 +68,7 @@ def reduced_urls(urls: Column, most: int) -> Column:
 
 def document_label(title: Column, path: Column) -> Column:
     """The title, or the last segment of the path, or null."""
-    name = trimmed(F.regexp_extract(F.regexp_replace(path, r"[/\\]+$", ""), r"[^/\\]*$", 0))
+    name = trimmed(F.regexp_extract(path, r"([^/\\]*+)[/\\]*+$", 1))
     return F.coalesce(nullif_empty(trimmed(title)), nullif_empty(name))
 
 

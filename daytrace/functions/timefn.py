@@ -21,8 +21,9 @@ def format_instant(ts: Column) -> Column:
     ms = F.unix_millis(ts)
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
     left = F.pmod(ms, F.lit(86_400_000))
-    part = lambda size, n: F.pmod(F.floor(left / size), F.lit(n)).cast("int")
-    return F.when(ts.isNotNull(), F.format_string("%sT%02d:%02d:%02d.%03dZ", day.cast("string"), part(3_600_000, 24), part(60_000, 60), part(1000, 60), part(1, 1000)))
+    part = lambda size, n, width: F.lpad(F.pmod(F.floor(left / size), F.lit(n)).cast("string"), width, "0")
+    # a format string would be read again for each row
+    return F.concat(day.cast("string"), F.lit("T"), part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3), F.lit("Z"))
 
 
 def ms(ts: Column) -> Column:

@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.textfn import tokenize, tokenize_url
+from ..functions.textfn import host_and_path, tokenize, words
 
 
 def terms_of(app: Column, titles: Column, urls: Column, documents: Column, visible_text: Column, private: Column) -> Column:
     """The distinct words of an episode; of a private one, only its app's."""
     empty = F.array().cast("array<string>")
-    words = lambda c, f: F.flatten(F.transform(F.coalesce(c, empty), f))
-    rest = F.concat(words(titles, tokenize), words(urls, tokenize_url), words(documents, tokenize), words(visible_text, tokenize))
-    return F.array_distinct(F.concat(tokenize(app), F.when(~private, rest).otherwise(empty)))
+    each = lambda c, f=words: F.flatten(F.transform(F.coalesce(c, empty), f))
+    rest = F.concat(each(titles), each(urls, lambda u: words(host_and_path(u))), each(documents), each(visible_text))
+    return F.array_distinct(F.concat(words(app), F.when(~private, rest).otherwise(empty)))
 
 
 def postings(episodes: DataFrame) -> DataFrame:

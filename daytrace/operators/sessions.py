@@ -44,7 +44,7 @@ def relevant(activity: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     serves the sessions and all rollups by (stream, date, ...) after them.
     """
     return activity.filter(F.col("ts").isNotNull() & (is_window(F.col("kind")) | is_away(F.col("kind")))).select(
-        "stream", F.date_format("date", "yyyy-MM-dd").alias("date"), "seq", F.unix_millis("ts").alias("ms"), is_away(F.col("kind")).alias("away"), is_private(F.col("kind"), F.col("sensitive")).alias("private"), F.coalesce("app", F.lit("")).alias("app"), "app_path",
+        "stream", F.col("date").cast("string").alias("date"), "seq", F.unix_millis("ts").alias("ms"), is_away(F.col("kind")).alias("away"), is_private(F.col("kind"), F.col("sensitive")).alias("private"), F.coalesce("app", F.lit("")).alias("app"), "app_path",
         "title", "url", document_label(F.col("doc_title"), F.col("doc_path")).alias("document"), "visible_text", *keep,
     )
 

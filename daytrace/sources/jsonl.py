@@ -31,16 +31,24 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 SEQ = "struct<batch:string,file:string,block:bigint,place:bigint>"
 
 
+def _of_path(path: Column) -> tuple[Column, Column, Column]:
+    """The batch, the file in it (both empty for a day file) and the date that a path names. The path is cut at its slashes: a pattern that looks for the end tries every place of it, for each line."""
+    parts = F.split(path, "/")
+    name, of_day, of_batch = (F.try_element_at(parts, F.lit(k)) for k in (-1, -2, -3))
+    batched = F.coalesce(F.startswith(of_day, F.lit("date=")) & F.startswith(of_batch, F.lit("batch=")), F.lit(False))
+    day = F.when(batched, F.substring(of_day, 6, 1 << 30)).when(F.endswith(name, F.lit(".jsonl")), F.substring(name, -16, 10))
+    return F.when(batched, F.substring(of_batch, 7, 1 << 30)).otherwise(""), F.when(batched, name).otherwise(""), F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
+
+
 def _lines(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
     """(date, seq, line) of the day files and batches whose dates match."""
     paths = [p for p in (f"{root}/events/{names}.jsonl", f"{root}/log/batch=*/date={names}/*.json") if _exists(spark, p)]
     if not paths:
         return spark.createDataFrame([], f"date date, seq {SEQ}, line string")
-    rows = spark.read.text(paths).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    batch = F.regexp_extract("file_path", r"/batch=([^/]+)/date=[^/]+/[^/]+$", 1)
-    day = F.when(batch != "", F.regexp_extract("file_path", r"/date=(\d{4}-\d{2}-\d{2})/[^/]+$", 1)).otherwise(F.regexp_extract("file_path", DAY_FILE, 1))
-    file = F.when(batch != "", F.regexp_extract("file_path", r"[^/]+$", 0)).otherwise("")
-    rows = rows.select(F.try_to_date(day, "yyyy-MM-dd").alias("date"), F.struct(batch.alias("batch"), file.alias("file"), "block", "place").alias("seq"), F.col("value").alias("line"))
+    batch, file, date = _of_path(F.col("_metadata.file_path"))
+    # all in the select that numbers the lines, which no filter passes: so a path is read once for each line
+    place = F.struct(batch.alias("batch"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    rows = spark.read.text(paths).select(date.alias("date"), place.alias("seq"), F.col("value").alias("line"))
     return rows.filter("date IS NOT NULL").filter(F.trim("line") != "")
 
 

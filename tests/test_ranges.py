@@ -4,9 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from daytrace.adapter import from_records
 from daytrace.operators import rollup, sessions
 from daytrace.plans import narrative
+from daytrace.sources import jsonl
 
 from .helpers import A, C, L, P, U, activity
 
@@ -57,3 +60,13 @@ def test_days_are_dealt_to_as_many_tasks_as_the_session_names(spark):
         assert e.rdd.getNumPartitions() == n
     plan = sessions.episodes(a).select("title")._jdf.queryExecution().executedPlan().toString()
     assert sum("Sort [" in line and "seq" in line for line in plan.splitlines()) == 1
+
+
+def test_a_log_of_one_stream_is_dealt_once(spark):
+    """A stream that is a literal would leave the sort, and the rows would be dealt again by the date alone."""
+    none = spark.createDataFrame([], T.StructType([*jsonl.EVENT.fields, T.StructField("date", T.DateType()), T.StructField("seq", T.LongType())]))
+    a = from_records(none)
+    assert dict(a.dtypes)["stream"] == "int"
+    plan = sessions.episodes(a)._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1

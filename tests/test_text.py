@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daytrace.functions import textfn, timefn
+from daytrace.sources import jsonl
 
 
 def one(spark, value, f, kind="string"):
@@ -89,3 +90,34 @@ def test_a_line_is_not_collapsed_again_for_each_use(spark):
     lines = F.array(F.struct(F.lit(0).alias("surface"), F.lit(0).alias("seq"), F.col("id").cast("string").alias("line")))
     plan = spark.range(1).select(textfn.redact_lines(lines, 3, 100))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"(?U)\s+") <= 2
+
+
+def test_a_log_path_is_cut_at_its_slashes(spark):
+    """No pattern looks for the end of a path: it would try every place of it, for each line."""
+    cases = {
+        "file:/r/log/batch=017-append/date=2024-01-02/part-0.json": ("017-append", "part-0.json", "2024-01-02"),
+        "file:/r/log/batch=017-append/date=2024-1-2/part-0.json": ("017-append", "part-0.json", "None"),
+        "file:/r/log/batch=017-append/date=__HIVE_DEFAULT_PARTITION__/p.json": ("017-append", "p.json", "None"),
+        "file:/batch=1/date=2024-01-02/events/2024-01-03.jsonl": ("", "", "2024-01-03"),
+        "file:/r/events/old 2024-01-03.jsonl": ("", "", "2024-01-03"),
+        "file:/r/events/2024-02-31.jsonl": ("", "", "None"),
+        "file:/r/events/x.jsonl": ("", "", "None"),
+        "2024-01-03.jsonl": ("", "", "2024-01-03"),
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    got = df.select("p", *[c.cast("string").alias(n) for n, c in zip("bfd", jsonl._of_path(F.col("p")))])
+    assert {r.p: (r.b, r.f, str(r.d)) for r in got.collect()} == cases
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_trim_and_words_are_those_of_the_patterns(spark):
+    """Over all characters of the basic plane and some beyond."""
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1F600, 0x1F610), *range(0x10400, 0x10410)]]
+    df = spark.createDataFrame([(f"{c}a {c}b{c}{c} Zz É9 {c}",) for c in chars], "t string")
+    trimmed = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    words = F.transform(F.filter(F.split("t", r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: F.char_length(w) >= 2), F.lower)
+    name = F.regexp_extract(F.regexp_replace("t", r"[/\\]+$", ""), r"[^/\\]*$", 0)
+    label = F.nullif(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    none = F.lit(None).cast("string")
+    pairs = ((trimmed, textfn.trimmed(F.col("t"))), (words, textfn.words(F.col("t"))), (label, textfn.document_label(none, F.col("t"))))
+    assert list(df.agg(*[F.count_if(~a.eqNullSafe(b)) for a, b in pairs]).first()) == [0, 0, 0]
