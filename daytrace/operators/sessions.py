@@ -50,7 +50,7 @@ def relevant(activity: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def marked(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
-    """Window rows with their episode number, credit and the time until which they count.
+    """Window rows with their episode number, credit and the time until which they count; of whole days also with their place in the day, their episode's first place, and its current title.
 
     ranges: for days too large for one sort, a column that never falls as seq rises (see seq_range). A day
     is then cut where it changes; each range is sorted by itself, and what a range must know of the
@@ -62,15 +62,23 @@ def marked(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
 
 def _marked(r: DataFrame) -> DataFrame:
     order = W.partitionBy(*KEY).orderBy("seq")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    upto, earlier = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
     before = {c: F.lag(c).over(order) for c in ("away", "private", "app")}
-    r = r.withColumn("other", _other(before)).withColumn("next_ms", F.lead("ms").over(order)).withColumn("next_away", F.lead("away").over(order))
-    r = r.withColumn("run", F.sum(F.col("other").cast("long")).over(upto))
+    # each step asks for all that it can know: a pass over wide rows costs more than what it computes
+    r = r.withColumns({"other": _other(before), "next_ms": F.lead("ms").over(order), "next_away": F.lead("away").over(order), "place": F.row_number().over(order)})
+    r = r.withColumns({"run": F.sum(F.col("other").cast("long")).over(upto), "named": F.last(F.when(~F.col("away") & _named(), F.struct("place", "title")), ignorenulls=True).over(upto)})
     # the latest time of the run so far: runs are numbered in order, so the largest (run, ms) is of this run
-    r = r.withColumn("last", F.max(F.struct("run", "ms")).over(upto)["ms"])
-    silent = F.coalesce(F.col("ms") - F.lag("last").over(order) > IDLE_MS, F.lit(False))
-    r = r.withColumn("ep", F.sum((~F.col("away") & (F.col("other") | silent)).cast("long")).over(upto))
-    return _credited(r).drop("other", "run")
+    latest = F.max(F.struct("run", "ms"))
+    r = r.withColumns({"last": latest.over(upto)["ms"], "silent": F.coalesce(F.col("ms") - latest.over(earlier)["ms"] > IDLE_MS, F.lit(False))})
+    begins = ~F.col("away") & (F.col("other") | F.col("silent"))
+    r = r.withColumns({"ep": F.sum(begins.cast("long")).over(upto), "begun": F.max(F.when(begins, F.col("place"))).over(upto)})
+    r = r.withColumn("current", F.when(F.col("named.place") >= F.col("begun"), F.col("named.title")))
+    return _credited(r).drop("other", "run", "silent", "named")
+
+
+def _named() -> Column:
+    """Whether a row names its window."""
+    return ~F.col("private") & (F.trim("title") != "")
 
 
 def _other(before: dict[str, Column]) -> Column:
@@ -136,6 +144,8 @@ def _bounds() -> list[Column]:
 LISTS = (("titles", None), ("urls", None), ("documents", MAX_DOCUMENTS), ("visible_text", MAX_TEXT))
 #: So many rows of an episode are gathered at once.
 PIECE = 64
+#: Episodes that begin within so many rows of a day stay together where days are spread.
+PART = 65_536
 
 
 def _distinct(values: Column, most: int | None) -> Column:
@@ -152,41 +162,55 @@ def _lists_of_rows(rows: Column) -> list[Column]:
     return [_distinct(each[name], most).alias(name) for name, most in LISTS]
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds what whole days have from _marked: the place of each row in the order of its episode, and its episode's current title."""
+    order = W.partitionBy(*KEY, "ep").orderBy("seq")
+    title = F.last(F.when(_named(), F.col("title")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumns({"place": F.row_number().over(order), "current": title})
+
+
 def _with_holds(rows: DataFrame, *within: str) -> DataFrame:
-    """Adds the place of each row in the order of its day, its episode's current title, and how long the episode held that in all: a title is held from its event until the next title.
+    """Adds how long the episode held the row's current title in all, and the place where it came first: a title is held from its event until the next title.
 
     Windows rather than a join back: all partition within (stream, date), so they need no further exchange, and those of a
-    day in its order no further sort. within: what rows are dealt by besides, if not by whole days.
+    day in its order no further sort. within: what an episode's rows share.
     """
-    order = W.partitionBy(*KEY, *within).orderBy("seq")
-    named = F.when(~F.col("private") & (F.trim("title") != ""), F.struct("ep", "title"))
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("named", F.last(named, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("current", F.when(F.col("named.ep") == F.col("ep"), F.col("named.title"))).drop("named")
-    by_title = W.partitionBy(*KEY, "ep", "current")
+    by_title = W.partitionBy(*within, "current")
     return rows.withColumn("held", F.sum("credit").over(by_title)).withColumn("first", F.min("place").over(by_title))
 
 
-def episodes(activity: DataFrame, ranges: Column | None = None) -> DataFrame:
-    """Episodes with their lists, titles and text. ranges: see marked().
+def episodes(activity: DataFrame, ranges: Column | None = None, spread: bool = False) -> DataFrame:
+    """Episodes with their lists, titles and text. ranges: see marked(). spread: rows of whole days are dealt again by PART rows once
+    their episodes are known, so that a task holds a day for that pass alone; the result is then not by whole days.
 
     Rows are gathered by pieces of PIECE rows at most; the lists of a piece hold first appearances alone, and those that
     are capped no more than that, before the pieces of an episode meet. So an episode's rows are never collected.
     """
-    rows = marked(activity, ranges)
-    rows = _with_holds(rows) if ranges is None else _with_holds(dealt(rows, *KEY, "ep"), "ep")
+    rows, within = marked(activity, ranges), (*KEY, "ep")
+    if ranges is not None:
+        rows = _placed(dealt(rows, *KEY, "ep"))
+    elif spread:
+        rows = dealt(rows.withColumn("part", F.floor((F.col("begun") - 1) / PART)), *KEY, "part")
+        within = (*KEY, "part", "ep")
+    rows = _with_holds(rows, *within)
     rank = F.when(F.col("current").isNotNull(), F.struct("held", F.col("first") if TIES_GO_LAST else -F.col("first"), "current"))
     shown = F.when(~F.col("private"), F.struct("place", "title", "url", "document", "visible_text"))
-    p = rows.withColumn("piece", F.floor((F.col("place") - 1) / PIECE)).groupBy(*KEY, "ep", "piece").agg(
-        F.min_by("app", "place").alias("app"), F.first("private").alias("is_private"), F.min_by("ms", "place").alias("start_ms"), F.max_by("until", "place").alias("until"), F.sum("credit").alias("credit"), F.count("*").alias("events"),
-        F.max(rank).alias("rank"), F.min_by("app_path", "place").alias("app_path"), F.min("place").alias("place"), F.array_sort(F.collect_list(shown)).alias("rows"),
-    )
+    rows = rows.withColumns({"piece": F.floor((F.col("place") - 1) / PIECE), "rank": rank})
+    # a piece by a window over its rows, of which one stays: most episodes are of a row or two, and an aggregate sorts them twice, before and after a shuffle that isn't there
+    order = W.partitionBy(*within, "piece").orderBy("place")
+    piece = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = lambda c: F.first(c).over(piece)
+    p = rows.select(
+        *within, "place", first("app").alias("app"), F.col("private").alias("is_private"), first("ms").alias("start_ms"), F.last("until").over(piece).alias("until"), F.sum("credit").over(piece).alias("credit"), F.count("*").over(piece).alias("events"),
+        F.max("rank").over(piece).alias("rank"), first("app_path").alias("app_path"), F.collect_list(shown).over(piece).alias("rows"), F.row_number().over(order).alias("nth"),
+    ).filter("nth = 1").drop("nth")
     p = p.select(*[c for c in p.columns if c != "rows"], *_lists_of_rows(F.col("rows")))
     start = F.min_by("start_ms", "place")
-    e = p.groupBy(*KEY, "ep").agg(
+    e = p.groupBy(*within).agg(
         F.min_by("app", "place").alias("app"), F.first("is_private").alias("is_private"), start.alias("start_ms"), F.greatest(F.max_by("until", "place"), start).alias("end_ms"), F.sum("credit").alias("active_ms"), F.sum("events").alias("event_count"),
         F.max("rank")["current"].alias("title"), F.min_by("app_path", "place").alias("app_path"), F.array_sort(F.collect_list(F.struct("place", *[name for name, _ in LISTS]))).alias("pieces"),
     )
-    lists = [_distinct(F.flatten(F.col(f"pieces.{name}")), most).alias(name) for name, most in LISTS]
+    lists = [F.when(F.size("pieces") == 1, F.col("pieces")[0][name]).otherwise(_distinct(F.flatten(F.col(f"pieces.{name}")), most)).alias(name) for name, most in LISTS]
     return _finished(e.select(*[c for c in e.columns if c != "pieces"], *lists))
 
 

@@ -144,7 +144,7 @@ class Store:
         run = f"{time.time_ns():019d}"
         records = from_records(jsonl.read_days(self.spark, self.root, dates))
         ranges = sessions.seq_range(records, self.width) if self.width else None
-        self._write(sessions.episodes(records, ranges), "episodes", run)
+        self._write(sessions.episodes(records, ranges, spread=True), "episodes", run)
         episodes = self._run("episodes", run)
         self._write_segments(search.postings(episodes), run)
         self._write(search.indexed(episodes), "indexed", run)

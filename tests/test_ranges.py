@@ -70,3 +70,26 @@ def test_a_log_of_one_stream_is_dealt_once(spark):
     plan = sessions.episodes(a)._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("Exchange hashpartitioning") == 1
+
+
+def test_spread_days_give_the_same_episodes(spark, monkeypatch):
+    """Rows are dealt again by parts of a day once their episodes are known; an episode stays whole, wherever it begins."""
+    rng, t, rows = random.Random(6), 200.0, []
+    for _ in range(300):
+        t += rng.choice((-20, 0.5, 1, 2, 16))
+        rows.append((t, rng.choice([A, C, C, C, U, P, L]), rng.choice(["x", "x", "x", "y"]), rng.choice(["t", "u", "v", " ", None])))
+    a = activity(spark, *rows).cache()
+    want = sorted(map(str, sessions.episodes(a).collect()))
+    for part in (1, 7, 65_536):
+        monkeypatch.setattr(sessions, "PART", part)
+        e = sessions.episodes(a, spread=True)
+        assert sorted(map(str, e.collect())) == want
+    plan = e._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and "part#" in dealt[0] and "part#" not in dealt[1]
+
+
+def test_a_day_is_passed_four_times_in_the_order_of_its_log(spark):
+    a = activity(spark, (0, C, "x", "t"), (1, C, "x", "u"))
+    plan = sessions.episodes(a)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Window [" in line and "seq#" in line for line in plan.splitlines()) == 4
