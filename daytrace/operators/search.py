@@ -14,10 +14,9 @@ from ..functions.textfn import host_and_path, tokenize, words
 
 def terms_of(app: Column, titles: Column, urls: Column, documents: Column, visible_text: Column, private: Column) -> Column:
     """The distinct words of an episode; of a private one, only its app's."""
-    empty = F.array().cast("array<string>")
-    each = lambda c, f=words: F.flatten(F.transform(F.coalesce(c, empty), f))
-    rest = F.concat(each(titles), each(urls, lambda u: words(host_and_path(u))), each(documents), each(visible_text))
-    return F.array_distinct(F.concat(words(app), F.when(~private, rest).otherwise(empty)))
+    # joined by line ends, which no word holds, so that words are looked for once in an episode
+    shown = F.concat_ws("\n", titles, F.transform(urls, host_and_path), documents, visible_text)
+    return F.array_distinct(words(F.concat_ws("\n", app, F.when(~private, shown))))
 
 
 def postings(episodes: DataFrame) -> DataFrame:

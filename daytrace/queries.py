@@ -33,8 +33,8 @@ def _core(s: SparkSession, d: str) -> DataFrame:
     return sessions.core(activity(s, d, urls=False))
 
 
-def _episodes(s: SparkSession, d: str) -> DataFrame:
-    return sessions.episodes(activity(s, d))
+def _episodes(s: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    return sessions.episodes(activity(s, d), spread=spread)
 
 
 def _slices(s: SparkSession, d: str) -> DataFrame:
@@ -390,13 +390,13 @@ def index_cardinality(s, d):
 
 @query
 def search_and_prefix(s, d):
-    e = _episodes(s, d)
+    e = _episodes(s, d, spread=True)
     return search.search(search.postings(e), search.indexed(e), SEARCH, 200).select("stream", "date", "id", "app", "title", "start", "matched_terms")
 
 
 @query
 def search_results_redacted(s, d):
-    e = _episodes(s, d)
+    e = _episodes(s, d, spread=True)
     return privacy.search_result(search.search(search.postings(e), search.indexed(e), "app", 200)).select("stream", "id", "app", "title", "is_private", "matched_terms")
 
 

@@ -82,3 +82,9 @@ def test_surfaces_and_tokens(spark):
     assert [r[0] for r in rows.select(capture.surface(F.col("kind"), F.col("around"))).collect()] == [0, 0, 2, 2, 1, 2, 1]
     stored = spark.createDataFrame([("a",), ("b",)], "token string").select(F.sha2("token", 256).alias("hash"))
     assert [r.token for r in capture.accepted(spark.createDataFrame([("a",), ("c",), (None,)], "token string"), stored).collect()] == ["a"]
+
+
+def test_words_of_an_episode_are_looked_for_once(spark):
+    e, p, _ = index(spark)
+    assert p._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert {r.term for r in p.filter("term LIKE '%rs%' OR term LIKE 'visual%' OR term LIKE 'hidden%' OR term LIKE 'sek%'").collect()} == {"visual", "rs"}
