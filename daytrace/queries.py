@@ -236,7 +236,7 @@ def episodes_any_order(s, d):
 @query
 def episodes_any_order_full(s, d):
     """Titles, urls, documents and text of days whose times run backwards."""
-    e = sessions.episodes(_out_of_order(s, d))
+    e = sessions.episodes(_out_of_order(s, d), spread=True)
     return e.select("stream", "date", "id", "app", "title", *[F.array_join(c, "|").alias(c) for c in ("titles", "urls", "documents", "visible_text")], "active_ms", "event_count")
 
 
